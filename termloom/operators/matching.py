@@ -56,7 +56,7 @@ def expand_patterns(index: SearchIndex, clauses: DataFrame, n_clauses: int, fiel
     starts = vocabulary(index, field).select(
         "term", F.explode(F.transform(lengths, lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("_key")
     )
-    return starts.join(small(keyed, n_clauses), "_key").where(F.col("term").rlike(F.col("_pattern"))).drop("_key", "_pattern")
+    return starts.join(small(keyed, n_clauses), "_key").where(F.rlike("term", F.col("_pattern"))).drop("_key", "_pattern")
 
 
 def _deletions(term: Column, distance: int) -> Column:
