@@ -76,23 +76,27 @@ def _deletions(term: Column, distance: int) -> Column:
     return out
 
 
-def expand_fuzzy(index: SearchIndex, clauses: DataFrame, n_clauses: int, field: str, max_distance: int = 2) -> DataFrame:
-    """Clause rows with every term within the clause's edit distance (``~n``, 1 by default, up to ``max_distance``).
+def fuzzy_distance(value: Column) -> Column:
+    return F.coalesce(F.regexp_extract(value, r"~([0-9]+)$", 1).try_cast("int"), F.lit(1))
+
+
+def expand_fuzzy(index: SearchIndex, clauses: DataFrame, n_clauses: int, field: str, max_distance: int) -> DataFrame:
+    """Clause rows with every term within the clause's edit distance: ``~n``, 1 by default, none above ``max_distance``.
 
     Two words within n edits share a word after at most n deletions on each side, so they meet on an equality; the
     edit distance is then checked.
     """
-    distance = F.coalesce(F.regexp_extract("value", r"~([0-9]+)$", 1).try_cast("int"), F.lit(1))
-    wanted = clauses.withColumn("_word", F.lower(F.regexp_replace("value", r"~[0-9]*$", ""))).withColumn("_n", distance)
-    wanted = wanted.where(F.assert_true(F.col("_n") <= max_distance, F.lit("edit distance too large")).isNull())
+    wanted = clauses.withColumn("_word", F.lower(F.regexp_replace("value", r"~[0-9]*$", "")))
+    wanted = wanted.withColumn("_n", fuzzy_distance(F.col("value")))
     wanted = wanted.withColumn("_key", F.explode(_deletions(F.col("_word"), max_distance)))
     terms = vocabulary(index, field).select("term", F.explode(_deletions(F.col("term"), max_distance)).alias("_key"))
-    pairs = terms.join(small(wanted, n_clauses * KEY_LENGTH * KEY_LENGTH), "_key")
-    near = pairs.where(F.levenshtein("term", "_word") <= F.col("_n"))
-    return near.drop("_key", "_n", "_word").distinct()
+    pairs = terms.join(wanted, "_key").drop("_key").distinct()
+    return pairs.where(F.levenshtein("term", "_word") <= F.col("_n")).drop("_n", "_word")
 
 
-def clause_terms(index: SearchIndex, clauses: DataFrame, field: str, n_clauses: int, kinds: set[str]) -> DataFrame:
+def clause_terms(
+    index: SearchIndex, clauses: DataFrame, field: str, n_clauses: int, kinds: set[str], max_distance: int = 1
+) -> DataFrame:
     """Every clause on ``field`` as weighted terms: ``query_id, clause_no, occur, term, weight``."""
     here = clauses.where(F.col("field") == field)
     parts = []
@@ -104,7 +108,7 @@ def clause_terms(index: SearchIndex, clauses: DataFrame, field: str, n_clauses:
         found = expand_patterns(index, here.where(F.col("kind").isin(*PATTERN_KINDS)), n_clauses, field)
         parts.append(found.select(*CLAUSE, "boost", "term"))
     if "fuzzy" in kinds:
-        found = expand_fuzzy(index, here.where(F.col("kind") == "fuzzy"), n_clauses, field)
+        found = expand_fuzzy(index, here.where(F.col("kind") == "fuzzy"), n_clauses, field, max_distance)
         parts.append(found.select(*CLAUSE, "boost", "term"))
     rows = union(parts)
     return rows.groupBy(*CLAUSE, "term").agg(F.sum("boost").alias("weight"))
@@ -193,13 +197,16 @@ def match_clauses(index: SearchIndex, clauses: DataFrame, scope: str = "shard")
         *CLAUSE, "kind", F.coalesce("field", F.lit(ALL)).alias("field"), "value", F.coalesce("boost", F.lit(1.0)).alias("boost")
     )
     # Which kinds and fields occur decides the branches of the plan: at most kinds x fields rows, and a count each.
-    shape = clauses.groupBy("kind", "field").agg(F.count("*"), F.sum(F.length("value") + 1)).collect()
+    shape = clauses.groupBy("kind", "field").agg(
+        F.count("*"), F.sum(F.length("value") + 1), F.max(F.when(F.col("kind") == "fuzzy", fuzzy_distance(F.col("value"))))
+    ).collect()
     n_clauses, n_words = sum(r[2] for r in shape), sum(r[3] or 0 for r in shape)
+    max_distance = max((r[4] or 0 for r in shape), default=0)
     parts = []
     for field in sorted({r["field"] for r in shape if r["kind"] != "range"}):
         kinds = {r["kind"] for r in shape if r["field"] == field}
         if kinds - {"phrase", "range"}:
-            terms = clause_terms(index, clauses, field, n_clauses, kinds)
+            terms = clause_terms(index, clauses, field, n_clauses, kinds, max_distance)
             # Patterns may expand to any number of terms, so no bound is claimed for them.
             n_terms = n_words if kinds <= {"match", "phrase", "range"} else 1 << 62
             rows = matching_postings(index, term_weights(index, terms, n_terms, field, "bm25", scope), n_terms, field)
