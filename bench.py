@@ -19,8 +19,9 @@ from termloom.operators.indexing import build_index, upsert_index
 from termloom.plans.hybrid import HybridSearch
 from termloom.plans.search import KeywordSearch
 from termloom.session import local_session, work_path
+from termloom.sources.corpus import corpus
 from termloom.sources.index_store import Layout, SearchIndex
-from termloom.sources.tables import corpus, table
+from termloom.sources.tables import local_table, table
 
 N_QUERIES = 1000
 LAYOUT = Layout(n_shards=8, term_buckets=8)
@@ -57,13 +58,13 @@ def run(spark: SparkSession, sf_dir: str) -> tuple[dict[str, float], dict[str, f
     )
     with_vectors = registry.corpus_index(spark, sf_dir)
     rows = distinct_queries(index)
-    asked = spark.createDataFrame(rows, "query_id int, q string, limit int")
+    asked = local_table(spark, rows, "query_id int, q string, limit int")
     timed(times, "keyword_batch_1000", lambda: consume(KeywordSearch(index, asked).results()))
-    one = spark.createDataFrame(rows[:1], "query_id int, q string, limit int")
+    one = local_table(spark, rows[:1], "query_id int, q string, limit int")
     timed(times, "keyword_single", lambda: KeywordSearch(index, one).results().collect())
     vectors = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(N_QUERIES).collect()
     hybrid_rows = [(*r, [float(x) for x in v["embedding"]]) for r, v in zip(rows, vectors * (1 + len(rows) // len(vectors)))]
-    hybrid_asked = spark.createDataFrame(hybrid_rows, "query_id int, q string, limit int, query_vector array<double>")
+    hybrid_asked = local_table(spark, hybrid_rows, "query_id int, q string, limit int, query_vector array<double>")
     timed(times, "hybrid_batch_1000", lambda: consume(HybridSearch(with_vectors, hybrid_asked).results()))
     changed = docs.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0).withColumn("body", F.concat("body", F.lit(" revised")))
     upserted = timed(times, "index_upsert_1pct", lambda: upsert_index(index, changed, unique_ids=True))

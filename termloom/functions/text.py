@@ -35,8 +35,10 @@ STOP_WORDS = tuple(
 
 # A word is a run of letters, marks, digits and underscores; an apostrophe or dot between two runs joins them.
 # Han and Hiragana characters are words of their own. The bound keeps Java's matcher from recursing without end.
-_RUN = r"[\p{L}\p{M}\p{N}_&&[^\p{IsHan}\p{IsHiragana}]]+"
-WORD = rf"{_RUN}(?:['’.]{_RUN}){{0,64}}|[\p{{IsHan}}\p{{IsHiragana}}]"
+# Frequent characters and plain ranges come first in each class, since property look-ups are what matching costs.
+_IDEOGRAPH = r"\u2e80-\ufaff\x{20000}-\x{3ffff}&&[\p{IsHan}\p{IsHiragana}]"
+_RUN = rf"[a-z0-9_[\p{{L}}\p{{M}}\p{{N}}&&[^{_IDEOGRAPH}]]]+"
+WORD = rf"{_RUN}(?:['’.]{_RUN}){{0,64}}|[{_IDEOGRAPH}]"
 
 
 def truncate(text: Column, n: int, unit: str = "chars") -> Column:
@@ -81,11 +83,11 @@ def is_stop_word(term: Column) -> Column:
     return term.isin(*STOP_WORDS)
 
 
-def analyzed(text: Column, **tags: Column) -> Column:
-    """``array<struct<term, *tags, pos>>`` without stop words; positions keep the gaps the stop words leave."""
-    extra = [value.alias(name) for name, value in tags.items()]
+def analyzed(text: Column, first: int = 0) -> Column:
+    """``array<struct<term, pos>>`` without stop words; positions count from ``first`` and keep the stop words' gaps."""
     placed = F.transform(
-        words(string_or_empty(text)), lambda w, i: F.struct(w.alias("term"), *extra, i.alias("pos"))
+        words(string_or_empty(text)),
+        lambda w, i: F.struct(w.alias("term"), (i + F.lit(first) if first else i).alias("pos")),
     )
     return F.filter(placed, lambda t: ~is_stop_word(t["term"]))
 

@@ -59,15 +59,15 @@ def posting_rows(docs: DataFrame, layout: Layout) -> DataFrame:
     shuffled.
     """
     fields = layout.fields
-    placed = [_placed_words(F.col(f), i).alias(f"_w_{f}") for i, f in enumerate(fields)]
+    placed = [analyzed(F.col(f), i * FIELD_GAP).alias(f"_w_{f}") for i, f in enumerate(fields)]
     per_field = docs.select("id", "shard", *placed)
-    n_words = F.size("_w")
     sorted_words = per_field.select(
         "id",
         "shard",
         *[F.size(f"_w_{f}").alias(f"dl_{f}") for f in fields],
         F.sort_array(F.concat(*[F.col(f"_w_{f}") for f in fields])).alias("_w"),
     )
+    n_words = F.size("_w")
     term_at = lambda i: F.get("_w", i)["term"]
     starts = F.filter(F.sequence(F.lit(0), n_words - 1), lambda i: (i == 0) | (term_at(i) != term_at(i - 1)))
     runs = sorted_words.withColumn("_starts", F.when(n_words > 0, starts))
@@ -75,7 +75,7 @@ def posting_rows(docs: DataFrame, layout: Layout) -> DataFrame:
         "_starts",
         lambda s, k: F.struct(
             term_at(s).alias("term"),
-            F.slice("_w", s + 1, F.coalesce(F.get("_starts", k + 1), n_words) - s)["place"].alias("places"),
+            F.slice("_w", s + 1, F.coalesce(F.get("_starts", k + 1), n_words) - s)["pos"].alias("places"),
         ),
     )
     rows = runs.select("id", "shard", *[f"dl_{f}" for f in fields], F.explode(entry).alias("e"))
@@ -87,12 +87,6 @@ def posting_rows(docs: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
-def _placed_words(text: Column, field: int) -> Column:
-    return F.transform(
-        analyzed(text), lambda t: F.struct(t["term"].alias("term"), (t["pos"] + F.lit(field * FIELD_GAP)).alias("place"))
-    )
-
-
 def _count_in_field(places: Column, field: int) -> Column:
     low = field * FIELD_GAP
     return F.size(F.filter(places, lambda p: (p >= F.lit(low)) & (p < F.lit(low + FIELD_GAP))))
@@ -169,11 +163,12 @@ def upsert_index(
     Writes a delta segment: the new rows, the ids they replace, and the *differences* of the statistics, for which
     only the replaced documents are analysed again.
     """
-    spark, layout = index.spark, index.layout
+    layout = index.layout
     seg = index.version  # the base is segment 0 of version 1, so this number is free
-    at = index.table_path
+    target = SearchIndex(index.spark, index.path, index.version + 1, index.base, (*index.deltas, seg), layout, tag)
+    at = target.table_path
     write_segment(prepare_docs(docs, layout, encoder, unique_ids), at("docs", seg), "docs", ("id",), base=False)
-    new = index.segment("docs", seg)
+    new = target.segment("docs", seg)
     place = ["shard", "slot", "id"]
     write_segment(
         index.docs().select(*place).join(new.select(*place), place, "left_semi"),
@@ -182,11 +177,11 @@ def upsert_index(
         ("id",),
         base=False,
     )
-    dead = index.segment("tombstones", seg)
+    dead = target.segment("tombstones", seg)
     old = index.docs().join(dead, place, "left_semi")
     write_segment(posting_rows(new, layout), at("postings", seg), "postings", TERM_ORDER, base=False)
     delta = union([
-        term_counts(index.segment("postings", seg), layout),
+        term_counts(target.segment("postings", seg), layout),
         term_counts(posting_rows(old, layout), layout, sign=-1),
     ])
     sums = [F.sum(c).alias(c) for c in delta.columns if c.startswith(("df_", "ctf_"))]
@@ -197,7 +192,7 @@ def upsert_index(
         new.groupBy("shard").agg(F.count("*").alias("n")),
         dead.groupBy("shard").agg((-F.count("*")).alias("n")),
     ])
-    lengths = index.segment("term_stats", seg).groupBy("shard").agg(
+    lengths = target.segment("term_stats", seg).groupBy("shard").agg(
         *[F.sum(f"ctf_{f}").alias(f"len_{f}") for f in layout.fields]
     )
     stats = change.groupBy("shard").agg(F.sum("n").alias("n_docs")).join(lengths, "shard", "full").select(
@@ -206,7 +201,7 @@ def upsert_index(
         *[F.coalesce(f"len_{f}", F.lit(0)).alias(f"len_{f}") for f in layout.fields],
     )
     write_segment(stats, at("shard_stats", seg), "shard_stats", (), base=False)
-    return commit(SearchIndex(spark, index.path, index.version + 1, index.base, (*index.deltas, seg), layout, tag))
+    return commit(target)
 
 
 def compact_index(index: SearchIndex, layout: Layout | None = None) -> SearchIndex:

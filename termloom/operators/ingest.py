@@ -11,6 +11,7 @@ from ..functions.keys import shard_of
 from ..functions.text import MAX_BODY, MIN_BODY_BYTES, clean_markup, long_enough
 from ..functions.vectors import has_vector
 from ..session import work_path
+from ..sources.tables import local_table
 
 ROW_BITS = 33  # monotonically_increasing_id() keeps the row number in the low 33 bits
 
@@ -52,7 +53,7 @@ def number_rows(df: DataFrame, order_by: str | None = None, column: str = "seq")
     sizes.sort(key=lambda r: r["_part"])
     before = accumulate((r["count"] for r in sizes[:-1]), initial=0)
     rows = [(r["_part"], start) for r, start in zip(sizes, before)]
-    offsets = spark.createDataFrame(rows, "_part int, _before long")
+    offsets = local_table(spark, rows, "_part int, _before long")
     within = F.col("_place").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     # As many rows as there were partitions, so the broadcast is bounded by the scheduler's own limits.
     numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")

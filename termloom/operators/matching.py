@@ -59,23 +59,6 @@ def expand_patterns(index: SearchIndex, clauses: DataFrame, n_clauses: int, fiel
     return starts.join(small(keyed, n_clauses), "_key").where(F.rlike("term", F.col("_pattern"))).drop("_key", "_pattern")
 
 
-def _deletions(term: Column, distance: int) -> Column:
-    """The term and everything left of it after up to ``distance`` deletions."""
-    out = F.array(term)
-    for _ in range(distance):
-        shorter = F.flatten(
-            F.transform(
-                out,
-                lambda t: F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))),
-                    lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))),
-                ),
-            )
-        )
-        out = F.array_distinct(F.concat(out, shorter))
-    return out
-
-
 def fuzzy_distance(value: Column) -> Column:
     return F.coalesce(F.regexp_extract(value, r"~([0-9]+)$", 1).try_cast("int"), F.lit(1))
 
@@ -83,15 +66,18 @@ def fuzzy_distance(value: Column) -> Column:
 def expand_fuzzy(index: SearchIndex, clauses: DataFrame, n_clauses: int, field: str, max_distance: int) -> DataFrame:
     """Clause rows with every term within the clause's edit distance: ``~n``, 1 by default, none above ``max_distance``.
 
-    Two words within n edits share a word after at most n deletions on each side, so they meet on an equality; the
-    edit distance is then checked.
+    n edits change the length by at most n, so terms and clauses meet on an equal length, each clause standing at all
+    lengths it can reach; the edit distance is checked on those pairs, and given up early beyond ``max_distance``.
     """
+    word, n = F.col("_word"), F.col("_n")
     wanted = clauses.withColumn("_word", F.lower(F.regexp_replace("value", r"~[0-9]*$", "")))
     wanted = wanted.withColumn("_n", fuzzy_distance(F.col("value")))
-    wanted = wanted.withColumn("_key", F.explode(_deletions(F.col("_word"), max_distance)))
-    terms = vocabulary(index, field).select("term", F.explode(_deletions(F.col("term"), max_distance)).alias("_key"))
-    pairs = terms.join(wanted, "_key").drop("_key").distinct()
-    return pairs.where(F.levenshtein("term", "_word") <= F.col("_n")).drop("_n", "_word")
+    reach = F.sequence(F.greatest(F.length(word) - n, F.lit(1)), F.length(word) + n)
+    wanted = wanted.withColumn("_length", F.explode(reach))
+    terms = vocabulary(index, field).withColumn("_length", F.length("term"))
+    pairs = terms.join(small(wanted, n_clauses * (2 * max_distance + 1)), "_length")
+    near = F.levenshtein("term", "_word", max_distance)
+    return pairs.where((near >= 0) & (near <= n)).drop("_n", "_word", "_length")
 
 
 def clause_terms(

@@ -10,6 +10,7 @@ from ..operators.embedding import Encoder
 from ..operators.ingest import shard_catalogue
 from ..operators.routing import hot_listing
 from ..sources.index_store import SearchIndex
+from ..sources.tables import local_table
 from .hybrid import HybridSearch
 from .search import KeywordSearch
 
@@ -26,7 +27,7 @@ class SearchEngine:
         return KeywordSearch(self.index, queries, self.kv, **options)
 
     def search_one(self, q: str, limit: int | None = None, **options) -> DataFrame:
-        asked = self.index.spark.createDataFrame([(1, q, limit)], "query_id long, q string, limit int")
+        asked = local_table(self.index.spark, [(1, q, limit)], "query_id long, q string, limit int")
         return self.search(asked, **options).responses().drop("query_id")
 
     def hybrid(self, queries: DataFrame, **options) -> HybridSearch:
@@ -36,7 +37,7 @@ class SearchEngine:
         self, q: str, limit: int | None = None, alpha: float | None = None, fusion: str | None = None, **options
     ) -> DataFrame:
         schema = "query_id long, q string, limit int, alpha double, fusion string"
-        asked = self.index.spark.createDataFrame([(1, q, limit, alpha, fusion)], schema)
+        asked = local_table(self.index.spark, [(1, q, limit, alpha, fusion)], schema)
         return self.hybrid(asked, **options).responses().drop("query_id")
 
     def shards(self) -> DataFrame:

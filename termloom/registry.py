@@ -32,10 +32,11 @@ from .operators.routing import hot_listing, last_hot_stats, put_entries, route,
 from .plans.hybrid import HybridSearch
 from .plans.search import KeywordSearch
 from .session import configure, work_path
+from .sources.corpus import corpus
 from .sources.index_store import Layout, SearchIndex, open_index
 from .sources.jsonl import bad, good, read_documents, write_documents, write_sharded
 from .sources.pages import read_pages, write_pages
-from .sources.tables import corpus, query_log, spread, table
+from .sources.tables import local_table, query_log, spread, table
 from .streaming.ingest import stream_upserts
 from .streaming.log import stream_collapse, stream_query_counts, write_snapshots
 
@@ -148,7 +149,7 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
 
 
 def keyword_table(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(KEYWORD_QUERIES if rows is None else rows, "query_id int, q string, limit int")
+    return local_table(spark, KEYWORD_QUERIES if rows is None else rows, "query_id int, q string, limit int")
 
 
 def hybrid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +157,7 @@ def hybrid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector = [float(x) for x in vec[0][0]]
     rows = [(*r[:5], vector if r[5] else None) for r in HYBRID_QUERIES]
     schema = "query_id int, q string, limit int, alpha double, fusion string, query_vector array<double>"
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, rows, schema)
 
 
 def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +204,7 @@ def hot_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = per_q.where(F.col("n") % 2 == 0).select(
         F.concat(F.lit("/hot_terms/"), F.col("q"), F.lit("/shards")).alias("key"), lists.alias("value")
     )
-    return rows.unionByName(spark.createDataFrame(ROUTING_ENTRIES, "key string, value string"))
+    return rows.unionByName(local_table(spark, ROUTING_ENTRIES, "key string, value string"))
 
 
 def routed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +362,7 @@ def q_match_tfidf(spark, sf):
 
 def _clauses(key: str) -> Query:
     def run(spark, sf):
-        clauses = spark.createDataFrame(CLAUSES[key], CLAUSE_SCHEMA)
+        clauses = local_table(spark, CLAUSES[key], CLAUSE_SCHEMA)
         return match_clauses(corpus_index(spark, sf), clauses).select("query_id", "id", "score")
 
     return run
@@ -375,7 +376,7 @@ def q_range_match(spark, sf):
 
 
 def _routed_search(spark, sf) -> KeywordSearch:
-    kv = spark.createDataFrame(ROUTING_ENTRIES, "key string, value string")
+    kv = local_table(spark, ROUTING_ENTRIES, "key string, value string")
     return KeywordSearch(corpus_index(spark, sf), keyword_table(spark, ROUTED_QUERIES), kv)
 
 
@@ -555,7 +556,7 @@ def _hybrid(keep: Callable[[tuple], bool]) -> Query:
 
 
 def q_hybrid_summary(spark, sf):
-    kv = spark.createDataFrame(ROUTING_ENTRIES, "key string, value string")
+    kv = local_table(spark, ROUTING_ENTRIES, "key string, value string")
     found = HybridSearch(corpus_index(spark, sf), hybrid_table(spark, sf), kv).responses()
     return found.select(
         "query_id",

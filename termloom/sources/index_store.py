@@ -12,9 +12,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.keys import MAX_SHARDS
+from .tables import local_table
 
 BYTES_PER_DIRECTORY = 4 << 30
 FIELD_GAP = 1 << 32  # distance between the places of two fields, more than any text has words
@@ -64,6 +64,8 @@ class Layout:
         return "id string, shard int, slot int"
 
 
+PIECES = {"docs": "id", "postings": "term", "term_stats": "term"}
+N_PIECES = 64
 PARTITIONS = {"docs": ("shard", "slot"), "postings": ("bucket",), "term_stats": ("bucket",)}
 
 
@@ -86,9 +88,17 @@ class SearchIndex:
     def table_path(self, table: str, segment: int) -> str:
         return f"{self.path}/{table}/seg-{segment}"
 
+    @cached_property
+    def _opened(self) -> dict[tuple[str, int], DataFrame]:
+        return {}
+
     def segment(self, table: str, segment: int) -> DataFrame:
-        schema = getattr(self.layout, f"{table}_schema")()
-        return self.spark.read.schema(schema).parquet(self.table_path(table, segment))
+        """A written segment never changes, so its files are listed once."""
+        key = (table, segment)
+        if key not in self._opened:
+            schema = getattr(self.layout, f"{table}_schema")()
+            self._opened[key] = self.spark.read.schema(schema).parquet(self.table_path(table, segment))
+        return self._opened[key]
 
     def parts(self, table: str) -> list[tuple[int, DataFrame]]:
         return [(s, self.segment(table, s)) for s in self.segments]
@@ -144,10 +154,8 @@ class SearchIndex:
     def shard_literals(self) -> DataFrame:
         """The shard statistics as a local relation, which Spark knows to be tiny."""
         names = ["shard", *self.totals]
-        schema = T.StructType(
-            [T.StructField(n, T.IntegerType() if n == "shard" else T.LongType(), False) for n in names]
-        )
-        return self.spark.createDataFrame([tuple(r[n] for n in names) for r in self.shard_rows], schema)
+        schema = ", ".join(f"{n} {'int' if n == 'shard' else 'long'}" for n in names)
+        return local_table(self.spark, [tuple(r[n] for n in names) for r in self.shard_rows], schema)
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
@@ -158,14 +166,19 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 
 def write_segment(rows: DataFrame, path: str, table: str, order: tuple[str, ...], base: bool) -> None:
-    """One shuffle that evens out file sizes: directories too big for one task are split, small ones merged."""
+    """One shuffle that evens out file sizes, then a sort, then a write.
+
+    Directories are cut into pieces by term or id, so that a few directories still keep all tasks busy; pieces too big
+    for one task, such as a term found in a third of the corpus, are split at run time, and small ones merged.
+    """
     keys = PARTITIONS.get(table, ()) if base else ()
-    if keys:
-        rows = rows.hint("rebalance", *keys)
+    if table in PIECES:
+        piece = F.pmod(F.shiftright(F.xxhash64(PIECES[table]), 32), F.lit(N_PIECES))
+        rows = rows.withColumn("_piece", piece).hint("rebalance", *keys, "_piece").drop("_piece")
     else:
         rows = rows.hint("rebalance")
     if order:
-        rows = rows.sortWithinPartitions(*keys, *(c for c in order if c not in keys))
+        rows = rows.sortWithinPartitions(*keys, *order)
     rows.write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
@@ -180,7 +193,7 @@ def commit(index: SearchIndex) -> SearchIndex:
         list(index.layout.fields),
         index.tag,
     )
-    df = index.spark.createDataFrame([row], MANIFEST).coalesce(1)
+    df = local_table(index.spark, [row], MANIFEST).coalesce(1)
     df.write.mode("append").json(f"{index.path}/manifest")
     return index
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.keys import shard_of
-from ..operators.ingest import clean_pages
 
 ID_PREFIX = "wiki_"
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few driver-side rows as a local relation: its size is known to the planner and no Python worker reads it."""
+    struct = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [() for _ in struct]
+    arrays = [pa.array(list(c), type=to_arrow_type(f.dataType)) for c, f in zip(columns, struct)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=struct.names), struct)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,19 +30,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
 
 
-def corpus(spark: SparkSession, sf_dir: str, n_shards: int = 8, vectors: bool = True) -> DataFrame:
-    """``documents`` as a corpus: whole clean bodies, the first line as title, ``embeddings`` as title vectors."""
-    raw = spread(table(spark, sf_dir, "documents")).select(
-        "doc_id", "lang", F.substring_index("text", "\n", 1).alias("title"), "text"
-    )
-    docs = clean_pages(raw, max_len=None)
-    if vectors:
-        vec = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("title_vector"))
-        docs = docs.join(vec, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id")
-    identity = F.concat(F.lit(ID_PREFIX), F.col("doc_id").cast("string"))
-    return docs.withColumn("id", identity).withColumn("shard", shard_of(F.col("id"), n_shards))
-
-
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a query log: ``query_id, ts, q, limit, status, shard, latency_s``."""
     return table(spark, sf_dir, "events").select(
