@@ -169,16 +169,10 @@ def upsert_index(
     at = target.table_path
     write_segment(prepare_docs(docs, layout, encoder, unique_ids), at("docs", seg), "docs", ("id",), base=False)
     new = target.segment("docs", seg)
-    place = ["shard", "slot", "id"]
-    write_segment(
-        index.docs().select(*place).join(new.select(*place), place, "left_semi"),
-        at("tombstones", seg),
-        "tombstones",
-        ("id",),
-        base=False,
-    )
+    replaced = find_live(index, new.select("shard", "slot", "id"))
+    write_segment(replaced, at("tombstones", seg), "tombstones", ("id",), base=False)
     dead = target.segment("tombstones", seg)
-    old = index.docs().join(dead, place, "left_semi")
+    old = read_replaced(index, dead)
     write_segment(posting_rows(new, layout), at("postings", seg), "postings", TERM_ORDER, base=False)
     delta = union([
         term_counts(target.segment("postings", seg), layout),
@@ -204,6 +198,36 @@ def upsert_index(
     return commit(target)
 
 
+MAX_FILES = 10_000
+
+
+def find_live(index: SearchIndex, ids: DataFrame) -> DataFrame:
+    """Where the live documents with these ids are: ``id, shard, slot, seg, file``. Reads no text."""
+    place = ["shard", "slot", "id"]
+    wanted = ids.where(F.length("id") > 0)  # always true; allows partition pruning on the other side
+    found = [
+        df.select(*place, F.lit(s).alias("seg"), F.col("_metadata.file_path").alias("file")).join(wanted, place, "left_semi")
+        for s, df in index.parts("docs")
+    ]
+    return index.drop_replaced(union(found))
+
+
+def read_replaced(index: SearchIndex, dead: DataFrame) -> DataFrame:
+    """``id, shard`` and the text fields of replaced documents, reading only the files they are in."""
+    spark, layout = index.spark, index.layout
+    files = [r["file"] for r in dead.select("file").distinct().limit(MAX_FILES + 1).collect()]
+    columns = ["id", *(f for f in layout.fields if f != "id")]
+    schema = ", ".join(f"{c} string" for c in columns)
+    if 0 < len(files) <= MAX_FILES:
+        parts = [spark.read.schema(schema).parquet(*files)]
+    else:
+        parts = [df for _, df in index.parts("docs")]
+    rows = union([df.select(*columns, F.col("_metadata.file_path").alias("file")) for df in parts])
+    # An id is live in one file at most, so id and file name its one live row.
+    old = rows.join(dead.select("id", "file"), ["id", "file"], "left_semi")
+    return old.withColumn("shard", shard_of(F.col("id"), layout.n_shards))
+
+
 def compact_index(index: SearchIndex, layout: Layout | None = None) -> SearchIndex:
     """Fold all deltas into a new base segment, optionally with another layout."""
     layout = layout or index.layout

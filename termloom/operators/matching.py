@@ -22,9 +22,9 @@ CLAUSE = ("query_id", "clause_no", "occur")
 
 
 def vocabulary(index: SearchIndex, field: str) -> DataFrame:
-    """The distinct terms of a field."""
+    """The terms of a field, once per shard that holds them: making them distinct first would shuffle all of them."""
     df_name = "df_all" if field == ALL else f"df_{field}"
-    return index.term_stats().where(F.col(df_name) > 0).select("term").distinct()
+    return index.term_stats().where(F.col(df_name) > 0).select("term")
 
 
 def _literal_prefix(kind: Column, value: Column) -> Column:
@@ -52,11 +52,12 @@ def expand_patterns(index: SearchIndex, clauses: DataFrame, n_clauses: int, fiel
     keyed = clauses.withColumn("_key", _literal_prefix(F.col("kind"), F.col("value"))).withColumn(
         "_pattern", _pattern(F.col("kind"), F.col("value"))
     )
-    lengths = F.sequence(F.lit(0), F.least(F.length("term"), F.lit(KEY_LENGTH)))
-    starts = vocabulary(index, field).select(
-        "term", F.explode(F.transform(lengths, lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("_key")
-    )
-    return starts.join(small(keyed, n_clauses), "_key").where(F.rlike("term", F.col("_pattern"))).drop("_key", "_pattern")
+    # At most KEY_LENGTH + 1 different lengths.
+    lengths = sorted(r[0] for r in keyed.select(F.length("_key")).distinct().collect())
+    starts = F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths])
+    terms = vocabulary(index, field).select("term", F.explode(F.array_compact(starts)).alias("_key"))
+    pairs = terms.join(small(keyed, n_clauses), "_key").where(F.rlike("term", F.col("_pattern")))
+    return pairs.drop("_key", "_pattern").distinct()
 
 
 def fuzzy_distance(value: Column) -> Column:
@@ -77,7 +78,7 @@ def expand_fuzzy(index: SearchIndex, clauses: DataFrame, n_clauses: int, field:
     terms = vocabulary(index, field).withColumn("_length", F.length("term"))
     pairs = terms.join(small(wanted, n_clauses * (2 * max_distance + 1)), "_length")
     near = F.levenshtein("term", "_word", max_distance)
-    return pairs.where((near >= 0) & (near <= n)).drop("_n", "_word", "_length")
+    return pairs.where((near >= 0) & (near <= n)).drop("_n", "_word", "_length").distinct()
 
 
 def clause_terms(

@@ -14,8 +14,8 @@ HYBRID_LIMIT = 10
 DEFAULT_ALPHA = 0.7
 DEFAULT_FUSION = "rrf"
 
-BROADCAST_ROWS = 200_000
-"""Sides with a proven bound up to this many narrow rows (about 20 MB) are broadcast; others are shuffled."""
+BROADCAST_ROWS = 1_000_000
+"""Sides with a proven bound up to this many narrow rows (about 100 MB) are broadcast; others are shuffled."""
 
 
 def positive_int(value: Column, default: int) -> Column:

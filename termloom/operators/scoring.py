@@ -23,6 +23,32 @@ def round_score(score: Column) -> Column:
     return F.round(score, SCORE_DIGITS)
 
 
+KNOWN_WORDS = 256
+
+
+def known_terms(index: SearchIndex, terms: DataFrame, n_terms: int) -> dict[str, int] | None:
+    """The terms of a small batch and their buckets, to be used as literals; None for a larger one.
+
+    Literals reach the Parquet scan, where sorted files let all but a few pages be skipped. A larger batch reads most
+    buckets anyway and leaves pruning to the join.
+    """
+    if n_terms > KNOWN_WORDS:
+        return None
+    bucket = bucket_of(F.col("term"), index.layout.term_buckets)
+    return {r[0]: r[1] for r in terms.select("term", bucket).distinct().collect()}
+
+
+def narrowed(table: DataFrame, known: dict[str, int] | None) -> DataFrame:
+    if known is None:
+        return table
+    return table.where(F.col("bucket").isin(sorted(set(known.values()))) & F.col("term").isin(sorted(known)))
+
+
+def join_keys(known: dict[str, int] | None) -> list[str]:
+    """The bucket follows from the term, so it is a key only where it has to prune."""
+    return ["term"] if known is not None else ["bucket", "term"]
+
+
 def _field_sum(index: SearchIndex, kind: str, field: str) -> Column:
     names = index.layout.fields if field == ALL else (field,)
     out = F.col(f"{kind}_{names[0]}")
@@ -43,6 +69,7 @@ def term_weights(
     field: str = ALL,
     model: str = "bm25",
     scope: str = "shard",
+    known: dict[str, int] | None = None,
 ) -> DataFrame:
     """Per query term and shard: the weight of the term and the average length it is measured against.
 
@@ -52,16 +79,20 @@ def term_weights(
     if model not in MODELS or scope not in SCOPES:
         raise ValueError(f"unknown model or scope: {model}, {scope}")
     keys = [c for c in terms.columns if c not in ("term", "weight", "route")]
-    # The length test is always true; a filter on this side is what lets Spark prune the buckets of the other.
-    wanted = terms.withColumn("bucket", bucket_of(F.col("term"), index.layout.term_buckets)).where(F.length("term") > 0)
+    on = join_keys(known)
+    wanted = terms
+    if known is None:
+        # The length test is always true; a filter on this side is what lets Spark prune the buckets of the other.
+        wanted = terms.withColumn("bucket", bucket_of(F.col("term"), index.layout.term_buckets)).where(F.length("term") > 0)
     df_name = "df_all" if field == ALL else f"df_{field}"
-    stats = index.term_stats().select("bucket", "term", "shard", F.col(df_name).alias("df")).where(F.col("df") > 0)
-    found = stats.join(small(wanted, n_terms), ["bucket", "term"])
+    stats = narrowed(index.term_stats(), known).select("bucket", "term", "shard", F.col(df_name).alias("df"))
+    stats = stats.where(F.col("df") > 0)
+    found = stats.join(small(wanted, n_terms), on)
     if scope == "global":
         n, average = F.lit(index.totals["n_docs"]), F.lit(total_length(index, field) / max(index.totals["n_docs"], 1))
-        by_term = stats.join(small(wanted.select("bucket", "term").distinct(), n_terms), ["bucket", "term"], "left_semi")
-        by_term = by_term.groupBy("bucket", "term").agg(F.sum("df").alias("df"))
-        found = found.drop("df").join(small(by_term, n_terms), ["bucket", "term"])
+        by_term = stats.join(small(wanted.select(*on).distinct(), n_terms), on, "left_semi")
+        by_term = by_term.groupBy(*on).agg(F.sum("df").alias("df"))
+        found = found.drop("df").join(small(by_term, n_terms), on)
         found = found.withColumn("n_docs", n).withColumn("avgdl", average)
     else:
         shards = index.shard_literals().select(
@@ -84,16 +115,23 @@ def term_score(tf: Column, dl: Column, w: Column, avgdl: Column, model: str) ->
 
 
 def matching_postings(
-    index: SearchIndex, weights: DataFrame, n_terms: int, field: str = ALL, model: str = "bm25", places: bool = False
+    index: SearchIndex,
+    weights: DataFrame,
+    n_terms: int,
+    field: str = ALL,
+    model: str = "bm25",
+    places: bool = False,
+    known: dict[str, int] | None = None,
 ) -> DataFrame:
     """Postings of the weighted terms, each with its ``score``; one scan and one join per segment."""
     keys = [c for c in weights.columns if c not in ("bucket", "term", "shard", "w", "avgdl")]
-    side = small(weights, n_terms * index.layout.shard_count)
+    on = [*join_keys(known), "shard"]
+    side = small(weights if "bucket" in on else weights.drop("bucket"), n_terms * index.layout.shard_count)
     tf, dl = _field_sum(index, "tf", field), _field_sum(index, "dl", field)
     out = []
     for seg, postings in index.parts("postings"):
-        slim = postings.select("bucket", "term", "shard", "id", tf.alias("tf"), dl.alias("dl"), *(["places"] if places else []))
-        joined = slim.where(F.col("tf") > 0).join(side, ["bucket", "term", "shard"])
+        slim = narrowed(postings, known).select("bucket", "term", "shard", "id", tf.alias("tf"), dl.alias("dl"), *(["places"] if places else []))
+        joined = slim.where(F.col("tf") > 0).join(side, on)
         score = term_score(F.col("tf"), F.col("dl"), F.col("w"), F.col("avgdl"), model)
         more = ["term", "places"] if places else []
         out.append(joined.select(*keys, "shard", "id", F.lit(seg).alias("seg"), score.alias("score"), *more))
@@ -112,7 +150,8 @@ def score_hits(
 
     The sum is grouped by query *and* document, so a term found in a third of the corpus still spreads evenly.
     """
-    weights = term_weights(index, terms, n_terms, field, model, scope)
-    rows = matching_postings(index, weights, n_terms, field, model)
+    known = known_terms(index, terms, n_terms)
+    weights = term_weights(index, terms, n_terms, field, model, scope, known)
+    rows = matching_postings(index, weights, n_terms, field, model, known=known)
     hits = rows.groupBy("query_id", "shard", "id", "seg").agg(round_score(F.sum("score")).alias("score"))
     return index.drop_replaced(hits).drop("seg")

@@ -61,7 +61,7 @@ class Layout:
         return "shard int, n_docs long, " + ", ".join(f"len_{f} long" for f in self.fields)
 
     def tombstones_schema(self) -> str:
-        return "id string, shard int, slot int"
+        return "id string, shard int, slot int, seg int, file string"
 
 
 PIECES = {"docs": "id", "postings": "term", "term_stats": "term"}
@@ -107,7 +107,7 @@ class SearchIndex:
         """Ids replaced by a delta, with the segment that replaced them; None while there is only a base."""
         if not self.deltas:
             return None
-        return union([self.segment("tombstones", s).withColumn("seg", F.lit(s)) for s in self.deltas])
+        return union([self.segment("tombstones", s).select("id", F.lit(s).alias("seg")) for s in self.deltas])
 
     def drop_replaced(self, rows: DataFrame) -> DataFrame:
         """Keep only rows (with ``id`` and ``seg``) that no later segment has replaced."""

@@ -12,9 +12,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 ID_PREFIX = "wiki_"
 
 
-def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+def local_table(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
     """A few driver-side rows as a local relation: its size is known to the planner and no Python worker reads it."""
-    struct = T.StructType.fromDDL(schema)
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    struct = T.StructType([T.StructField(f.name, f.dataType) for f in struct])
     columns = list(zip(*rows)) if rows else [() for _ in struct]
     arrays = [pa.array(list(c), type=to_arrow_type(f.dataType)) for c, f in zip(columns, struct)]
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=struct.names), struct)
