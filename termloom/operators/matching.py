@@ -22,9 +22,12 @@ CLAUSE = ("query_id", "clause_no", "occur")
 
 
 def vocabulary(index: SearchIndex, field: str) -> DataFrame:
-    """The terms of a field, once per shard that holds them: making them distinct first would shuffle all of them."""
+    """The terms of a field, once per shard and segment that holds them, some perhaps without live documents.
+
+    Making them distinct, or adding segments up, would shuffle all of them; callers do so after matching.
+    """
     df_name = "df_all" if field == ALL else f"df_{field}"
-    return index.term_stats().where(F.col(df_name) > 0).select("term")
+    return union([df.where(F.col(df_name) > 0).select("term") for _, df in index.parts("term_stats")])
 
 
 def _literal_prefix(kind: Column, value: Column) -> Column:

@@ -35,13 +35,13 @@ def global_topk(candidates: DataFrame, queries: DataFrame, cap: int, n_queries:
     return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("limit")).drop("limit")
 
 
-COLLECT_ROWS = 10_000
+COLLECT_ROWS = 1_000
 
 
 def fetch_fields(index: SearchIndex, winners: DataFrame, n_winners: int, *columns: Column | str) -> DataFrame:
     """Stored fields for rows with an ``id``; ``n_winners`` is a proven bound on their number.
 
-    Up to 10,000 winners are computed first and come back as literals, so that only their directories, and of those
+    Up to 1,000 winners are computed first and come back as literals, so that only their directories, and of those
     only the matching pages, are read. More are joined in one plan, broadcast while the bound allows it.
     """
     layout = index.layout

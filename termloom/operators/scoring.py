@@ -20,7 +20,9 @@ SCOPES = ("shard", "global")
 
 
 def round_score(score: Column) -> Column:
-    return F.round(score, SCORE_DIGITS)
+    """Plain double arithmetic: ``F.round`` goes through decimals, which shows when every hit is rounded."""
+    scale = float(10**SCORE_DIGITS)
+    return F.rint(score * scale) / scale
 
 
 KNOWN_WORDS = 256
@@ -85,12 +87,18 @@ def term_weights(
         # The length test is always true; a filter on this side is what lets Spark prune the buckets of the other.
         wanted = terms.withColumn("bucket", bucket_of(F.col("term"), index.layout.term_buckets)).where(F.length("term") > 0)
     df_name = "df_all" if field == ALL else f"df_{field}"
-    stats = narrowed(index.term_stats(), known).select("bucket", "term", "shard", F.col(df_name).alias("df"))
-    stats = stats.where(F.col("df") > 0)
-    found = stats.join(small(wanted, n_terms), on)
+    # Query terms meet each segment before segments are added up, so no more than their own rows are ever grouped.
+    parts = [
+        narrowed(df, known).select("bucket", "term", "shard", F.col(df_name).alias("df")) for _, df in index.parts("term_stats")
+    ]
+    found = union([part.join(small(wanted, n_terms), on) for part in parts])
+    if len(parts) > 1:
+        found = found.groupBy(*[c for c in found.columns if c != "df"]).agg(F.sum("df").alias("df"))
+    found = found.where(F.col("df") > 0)
     if scope == "global":
         n, average = F.lit(index.totals["n_docs"]), F.lit(total_length(index, field) / max(index.totals["n_docs"], 1))
-        by_term = stats.join(small(wanted.select(*on).distinct(), n_terms), on, "left_semi")
+        asked = small(wanted.select(*on).distinct(), n_terms)
+        by_term = union([part.join(asked, on, "left_semi") for part in parts])
         by_term = by_term.groupBy(*on).agg(F.sum("df").alias("df"))
         found = found.drop("df").join(small(by_term, n_terms), on)
         found = found.withColumn("n_docs", n).withColumn("avgdl", average)
