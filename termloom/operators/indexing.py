@@ -202,14 +202,14 @@ MAX_FILES = 10_000
 
 
 def find_live(index: SearchIndex, ids: DataFrame) -> DataFrame:
-    """Where the live documents with these ids are: ``id, shard, slot, seg, file``. Reads no text."""
+    """Where the live documents with these ids are: ``id, shard, slot, file``. Reads no text."""
     place = ["shard", "slot", "id"]
     wanted = ids.where(F.length("id") > 0)  # always true; allows partition pruning on the other side
     found = [
-        df.select(*place, F.lit(s).alias("seg"), F.col("_metadata.file_path").alias("file")).join(wanted, place, "left_semi")
-        for s, df in index.parts("docs")
+        df.select(*place, "seg", F.col("_metadata.file_path").alias("file")).join(wanted, place, "left_semi")
+        for df in index.parts("docs")
     ]
-    return index.drop_replaced(union(found))
+    return index.drop_replaced(union(found)).drop("seg")
 
 
 def read_replaced(index: SearchIndex, dead: DataFrame) -> DataFrame:
@@ -221,13 +221,32 @@ def read_replaced(index: SearchIndex, dead: DataFrame) -> DataFrame:
     if 0 < len(files) <= MAX_FILES:
         parts = [spark.read.schema(schema).parquet(*files)]
     else:
-        parts = [df for _, df in index.parts("docs")]
+        parts = index.parts("docs")
     rows = union([df.select(*columns, F.col("_metadata.file_path").alias("file")) for df in parts])
     # An id is live in one file at most, so id and file name its one live row.
     old = rows.join(dead.select("id", "file"), ["id", "file"], "left_semi")
     return old.withColumn("shard", shard_of(F.col("id"), layout.n_shards))
 
 
+def merge_deltas(index: SearchIndex) -> SearchIndex:
+    """Fold all deltas into one, leaving the base alone: the cost follows the deltas, and later readers list few files."""
+    if len(index.deltas) < 2:
+        return index
+    seg = index.version
+    target = SearchIndex(index.spark, index.path, index.version + 1, index.base, (seg,), index.layout, index.tag)
+    at = target.table_path
+    for table, order in (("docs", ("id",)), ("postings", TERM_ORDER)):
+        live = index.drop_replaced(index.delta_rows(table)).drop("seg")
+        write_segment(live, at(table, seg), table, order, base=False)
+    gone = index.delta_rows("tombstones").groupBy("id", "shard", "slot").agg(F.max("file").alias("file"))
+    write_segment(gone, at("tombstones", seg), "tombstones", ("id",), base=False)
+    for table, keys in (("term_stats", ["bucket", "term", "shard"]), ("shard_stats", ["shard"])):
+        rows = index.delta_rows(table).drop("seg")
+        sums = [F.sum(c).alias(c) for c in rows.columns if c not in keys]
+        write_segment(rows.groupBy(*keys).agg(*sums), at(table, seg), table, tuple(keys[1:]), base=False)
+    return commit(target)
+
+
 def compact_index(index: SearchIndex, layout: Layout | None = None) -> SearchIndex:
     """Fold all deltas into a new base segment, optionally with another layout."""
     layout = layout or index.layout
@@ -244,8 +263,7 @@ def compact_index(index: SearchIndex, layout: Layout | None = None) -> SearchInd
 def postings_long(index: SearchIndex) -> DataFrame:
     """Live postings with one row per field, all fields combined being ``_all``."""
     layout = index.layout
-    rows = union([df.withColumn("seg", F.lit(s)) for s, df in index.parts("postings")])
-    rows = index.drop_replaced(rows)
+    rows = index.drop_replaced(union(index.parts("postings")))
     total = lambda kind: sum((F.col(f"{kind}_{f}") for f in layout.fields[1:]), F.col(f"{kind}_{layout.fields[0]}"))
     entries = [
         F.struct(F.lit(f).alias("field"), F.col(f"tf_{f}").alias("tf"), F.col(f"dl_{f}").alias("dl"))
@@ -271,6 +289,7 @@ def open_or_none(spark: SparkSession, path: str) -> SearchIndex | None:
 __all__ = [
     "build_index",
     "compact_index",
+    "merge_deltas",
     "newest_per_id",
     "open_or_none",
     "posting_rows",

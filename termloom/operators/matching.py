@@ -27,7 +27,7 @@ def vocabulary(index: SearchIndex, field: str) -> DataFrame:
     Making them distinct, or adding segments up, would shuffle all of them; callers do so after matching.
     """
     df_name = "df_all" if field == ALL else f"df_{field}"
-    return union([df.where(F.col(df_name) > 0).select("term") for _, df in index.parts("term_stats")])
+    return union([df.where(F.col(df_name) > 0).select("term") for df in index.parts("term_stats")])
 
 
 def _literal_prefix(kind: Column, value: Column) -> Column:

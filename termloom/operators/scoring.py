@@ -89,7 +89,7 @@ def term_weights(
     df_name = "df_all" if field == ALL else f"df_{field}"
     # Query terms meet each segment before segments are added up, so no more than their own rows are ever grouped.
     parts = [
-        narrowed(df, known).select("bucket", "term", "shard", F.col(df_name).alias("df")) for _, df in index.parts("term_stats")
+        narrowed(df, known).select("bucket", "term", "shard", F.col(df_name).alias("df")) for df in index.parts("term_stats")
     ]
     found = union([part.join(small(wanted, n_terms), on) for part in parts])
     if len(parts) > 1:
@@ -137,12 +137,12 @@ def matching_postings(
     side = small(weights if "bucket" in on else weights.drop("bucket"), n_terms * index.layout.shard_count)
     tf, dl = _field_sum(index, "tf", field), _field_sum(index, "dl", field)
     out = []
-    for seg, postings in index.parts("postings"):
-        slim = narrowed(postings, known).select("bucket", "term", "shard", "id", tf.alias("tf"), dl.alias("dl"), *(["places"] if places else []))
+    for postings in index.parts("postings"):
+        slim = narrowed(postings, known).select("bucket", "term", "shard", "id", "seg", tf.alias("tf"), dl.alias("dl"), *(["places"] if places else []))
         joined = slim.where(F.col("tf") > 0).join(side, on)
         score = term_score(F.col("tf"), F.col("dl"), F.col("w"), F.col("avgdl"), model)
         more = ["term", "places"] if places else []
-        out.append(joined.select(*keys, "shard", "id", F.lit(seg).alias("seg"), score.alias("score"), *more))
+        out.append(joined.select(*keys, "shard", "id", "seg", score.alias("score"), *more))
     return union(out)
 
 

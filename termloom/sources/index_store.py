@@ -61,7 +61,7 @@ class Layout:
         return "shard int, n_docs long, " + ", ".join(f"len_{f} long" for f in self.fields)
 
     def tombstones_schema(self) -> str:
-        return "id string, shard int, slot int, seg int, file string"
+        return "id string, shard int, slot int, file string"
 
 
 PIECES = {"docs": "id", "postings": "term", "term_stats": "term"}
@@ -86,7 +86,7 @@ class SearchIndex:
         return (self.base, *self.deltas)
 
     def table_path(self, table: str, segment: int) -> str:
-        return f"{self.path}/{table}/seg-{segment}"
+        return f"{self.path}/{table}/seg={segment}"
 
     @cached_property
     def _opened(self) -> dict[tuple[str, int], DataFrame]:
@@ -100,14 +100,26 @@ class SearchIndex:
             self._opened[key] = self.spark.read.schema(schema).parquet(self.table_path(table, segment))
         return self._opened[key]
 
-    def parts(self, table: str) -> list[tuple[int, DataFrame]]:
-        return [(s, self.segment(table, s)) for s in self.segments]
+    def delta_rows(self, table: str) -> DataFrame:
+        """All deltas in one scan, with their number as ``seg``."""
+        key = (table, -1)
+        if key not in self._opened:
+            schema = getattr(self.layout, f"{table}_schema")()
+            paths = [self.table_path(table, s) for s in self.deltas]
+            reader = self.spark.read.schema(f"{schema}, seg int").option("basePath", f"{self.path}/{table}")
+            self._opened[key] = reader.parquet(*paths)
+        return self._opened[key]
+
+    def parts(self, table: str) -> list[DataFrame]:
+        """The base, and all deltas if there are any, each with ``seg``: two scans however many deltas there are."""
+        base = self.segment(table, self.base).withColumn("seg", F.lit(self.base))
+        return [base, self.delta_rows(table)] if self.deltas else [base]
 
     def tombstones(self) -> DataFrame | None:
         """Ids replaced by a delta, with the segment that replaced them; None while there is only a base."""
         if not self.deltas:
             return None
-        return union([self.segment("tombstones", s).select("id", F.lit(s).alias("seg")) for s in self.deltas])
+        return self.delta_rows("tombstones").select("id", "seg")
 
     def drop_replaced(self, rows: DataFrame) -> DataFrame:
         """Keep only rows (with ``id`` and ``seg``) that no later segment has replaced."""
@@ -122,20 +134,19 @@ class SearchIndex:
         """Live documents."""
         if not self.deltas:
             return self.segment("docs", self.base)
-        rows = union([df.withColumn("seg", F.lit(s)) for s, df in self.parts("docs")])
-        return self.drop_replaced(rows).drop("seg")
+        return self.drop_replaced(union(self.parts("docs"))).drop("seg")
 
     def term_stats(self) -> DataFrame:
         """Document frequency per shard and term. Deltas hold differences, so segments add up."""
         if not self.deltas:
             return self.segment("term_stats", self.base)
-        rows = union([df for _, df in self.parts("term_stats")])
+        rows = union(self.parts("term_stats"))
         sums = [F.sum(c).alias(c) for c in rows.columns if c.startswith(("df_", "ctf_"))]
         return rows.groupBy("bucket", "term", "shard").agg(*sums).where(F.col("df_all") > 0)
 
     def shard_stats(self) -> DataFrame:
         """Document count and total field lengths per shard: at most 256 rows."""
-        rows = union([df for _, df in self.parts("shard_stats")])
+        rows = union(self.parts("shard_stats")).drop("seg")
         sums = [F.sum(c).alias(c) for c in rows.columns if c != "shard"]
         return rows.groupBy("shard").agg(*sums)
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from termloom import registry
 from termloom.operators.embedding import embed, embed_queries, hashed_bag_encoder
-from termloom.operators.indexing import build_index, compact_index, newest_per_id, postings_long, upsert_index
+from termloom.operators.indexing import build_index, compact_index, merge_deltas, newest_per_id, postings_long, upsert_index
 from termloom.operators.ingest import cap_pages, dense_ids, ingest_pages, number_rows, observe_counters, take_first
 from termloom.operators.matching import expand_fuzzy, match_clauses
 from termloom.operators.queries import BROADCAST_ROWS
@@ -97,18 +97,21 @@ def test_upsert_equals_rebuild_and_compaction(spark):
     rebuilt = build_index(merged, work_path(spark, "rebuilt"), unique_ids=True)
     once = upsert_index(base, batch)
     twice = upsert_index(once, batch)
-    compacted = compact_index(twice, Layout(n_shards=8, term_buckets=4, doc_slots=2))
+    merged_deltas = merge_deltas(twice)
+    assert len(twice.deltas) == 2 and len(merged_deltas.deltas) == 1
+    thrice = upsert_index(merged_deltas, batch)
+    compacted = compact_index(thrice, Layout(n_shards=8, term_buckets=4, doc_slots=2))
     query = registry.keyword_table(spark)
     want = rows(KeywordSearch(rebuilt, query).responses())
     want_postings = rows(postings_long(rebuilt))
-    for index in (once, twice, compacted, open_index(spark, base.path)):
+    for index in (once, twice, merged_deltas, thrice, compacted, open_index(spark, base.path)):
         assert rows(KeywordSearch(index, query).responses()) == want
         assert rows(postings_long(index)) == want_postings
         assert index.totals == rebuilt.totals
     assert rows(KeywordSearch(open_index(spark, base.path, 1), query).responses()) == rows(
         KeywordSearch(base, query).responses()
     )
-    assert manifest(spark, base.path).count() == 4
+    assert manifest(spark, base.path).count() == 6
 
 
 def test_hot_term_is_split_over_files(spark):
