@@ -73,13 +73,16 @@ def hashed_bag_encoder(dim: int = 64) -> Encoder:
         def encode(texts: list[str]) -> list[list[float]]:
             out = []
             for text in texts:
+                hashes = [zlib.crc32(w.encode("utf-8")) for w in word.findall(text.lower())]
+                if not hashes:
+                    raise ValueError("nothing to embed")
                 vector = [0.0] * dim
-                for w in word.findall(text.lower()):
-                    h = zlib.crc32(w.encode("utf-8"))
+                for h in hashes:
                     vector[h % dim] += 1.0 if h & 0x80000000 else -1.0
+                if not any(vector):  # all words cancel out
+                    for h in hashes:
+                        vector[h % dim] += 1.0
                 size = math.sqrt(sum(x * x for x in vector))
-                if size == 0:
-                    raise ValueError("nothing to embed")
                 out.append([x / size for x in vector])
             return out
 

@@ -88,8 +88,14 @@ def posting_rows(docs: DataFrame, layout: Layout) -> DataFrame:
 
 
 def _count_in_field(places: Column, field: int) -> Column:
-    low = field * FIELD_GAP
-    return F.size(F.filter(places, lambda p: (p >= F.lit(low)) & (p < F.lit(low + FIELD_GAP))))
+    """How many places lie in a field. They are sorted, so the ends tell unless the term is in several fields."""
+    low, high = F.lit(field * FIELD_GAP), F.lit((field + 1) * FIELD_GAP)
+    first, last = F.get(places, F.lit(0)), F.get(places, F.size(places) - 1)
+    return (
+        F.when((first >= high) | (last < low), F.lit(0))
+        .when((first >= low) & (last < high), F.size(places))
+        .otherwise(F.size(F.filter(places, lambda p: (p >= low) & (p < high))))
+    )
 
 
 def term_counts(postings: DataFrame, layout: Layout, sign: int = 1) -> DataFrame:

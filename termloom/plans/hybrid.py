@@ -14,7 +14,7 @@ from ..operators.embedding import Encoder, embed_queries
 from ..operators.queries import Bounds, hybrid_defaults, query_terms, small
 from ..operators.ranking import KEYWORD_DEPTH, RRF_DEPTH, fetch_fields, rank_within, shard_topn
 from ..operators.routing import route, route_all
-from ..operators.scoring import round_score, score_hits
+from ..operators.scoring import SCORE_DIGITS, score_hits
 from ..sources.index_store import SearchIndex
 
 RRF = "rrf"
@@ -87,7 +87,7 @@ class HybridSearch:
             "shard",
             F.col("score").alias("keyword_score"),
             both.alias("has_vec"),
-            F.when(both, round_score(similarity)).otherwise(F.lit(0.0)).alias("semantic_score"),
+            F.when(both, F.round(similarity, SCORE_DIGITS)).otherwise(F.lit(0.0)).alias("semantic_score"),
         )
 
     def fused(self) -> DataFrame:
@@ -142,6 +142,8 @@ def fuse(ranked: DataFrame, by_rank) -> DataFrame:
     weighted = F.when(
         F.col("has_vec"), alpha * F.col("keyword_score") + (1 - alpha) * F.col("semantic_score")
     ).otherwise(F.col("keyword_score"))
-    return ranked.withColumn("hybrid_score", round_score(F.when(by_rank, reciprocal).otherwise(weighted))).withColumn(
+    # Weighted sums of rounded scores often end in an exact half, so these few rows are rounded in decimal, half up.
+    score = F.round(F.when(by_rank, reciprocal).otherwise(weighted), SCORE_DIGITS)
+    return ranked.withColumn("hybrid_score", score).withColumn(
         "fusion_method", F.when(by_rank, F.lit("RRF")).otherwise(F.lit("weighted"))
     )

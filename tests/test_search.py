@@ -205,6 +205,8 @@ def test_encoder_failures(spark):
     texts = local_table(spark, [("good text",), ("?!",), (None,)], "q string")
     got = [r.query_vector for r in embed_queries(texts, hashed_bag_encoder(8)).collect()]
     assert got[0] is not None and got[1] is None and got[2] is None
+    encode = hashed_bag_encoder(1)()
+    assert [abs(x) for v in encode([" ".join(f"w{i}" for i in range(n)) for n in range(1, 40)]) for x in v] == [1.0] * 39
     with pytest.raises(Exception, match="nothing to embed"):
         texts.select(embed(F.col("q"), hashed_bag_encoder(8), on_error="fail")).collect()
     with pytest.raises(Exception, match="empty embedding"):
