@@ -13,6 +13,7 @@ from .common import documents
 from .lines import MIN_SITES, remove_spread_lines
 from .packing import pack
 from .pii import BASE_KINDS, personal_data, spans_text
+from .segment import decode_column, sample_segmentations
 from .simhash import simhash_components
 from .toxicity import THRESHOLD, score_documents
 from .winnow import as_text, fingerprint_with_next, likeness
@@ -79,6 +80,25 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    found = sample_segmentations(turns, path, ["conv_id", "turn"])
+    return found.select(
+        "conv_id",
+        "turn",
+        "sample",
+        (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2(decode_column(F.col("ids"), path).cast("binary"), 256).alias("decoded_sha256"),
+        "log_prob",
+        "perturbed",
+        "inclusion",
+    )
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
@@ -103,7 +123,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_fingerprints, op2_packing, op4_chat, op5_simhash, op6_line_dedup, op8_personal_data, op10_toxicity)
+        for f in (op1_fingerprints, op2_packing, op4_chat, op5_simhash, op6_line_dedup, op8_personal_data, op9_segmentations, op10_toxicity)
     }
 
 
