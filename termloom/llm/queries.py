@@ -16,6 +16,7 @@ from .pii import BASE_KINDS, personal_data, spans_text
 from .segment import decode_column, sample_segmentations
 from .simhash import simhash_components
 from .toxicity import THRESHOLD, score_documents
+from .vectors import near_vectors
 from .winnow import as_text, fingerprint_with_next, likeness
 
 
@@ -64,6 +65,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(documents(spark, sf_dir))
     spans = F.col("spans")
@@ -123,7 +128,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_fingerprints, op2_packing, op4_chat, op5_simhash, op6_line_dedup, op8_personal_data, op9_segmentations, op10_toxicity)
+        for f in (op1_fingerprints, op2_packing, op4_chat, op5_simhash, op6_line_dedup, op7_embedding_dedup, op8_personal_data, op9_segmentations, op10_toxicity)
     }
 
 
