@@ -12,6 +12,7 @@ from .chat import canonical_turns, format_turns, read_back
 from .common import documents
 from .lines import MIN_SITES, remove_spread_lines
 from .packing import pack
+from .passages import near_passages
 from .pii import BASE_KINDS, personal_data, spans_text
 from .segment import decode_column, sample_segmentations
 from .simhash import simhash_components
@@ -44,6 +45,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), **byte_bpe())
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_passages(documents(spark, sf_dir))
+
+
 #: A conversation whose texts hold what marks turns in templates.
 PLANTED = [(-7, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(("user", "assistant"))]
 
@@ -128,7 +133,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_fingerprints, op2_packing, op4_chat, op5_simhash, op6_line_dedup, op7_embedding_dedup, op8_personal_data, op9_segmentations, op10_toxicity)
+        for f in (op1_fingerprints, op2_packing, op3_passages, op4_chat, op5_simhash, op6_line_dedup, op7_embedding_dedup, op8_personal_data, op9_segmentations, op10_toxicity)
     }
 
 
