@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure, work_path
+from ..session import configure, shared_root, work_path
 
 #: Rows in one Arrow batch. Texts can be very long, so the batch, not the partition, bounds a Python worker's memory.
 BATCH_ROWS = 256
@@ -15,6 +15,8 @@ def prepare(spark: SparkSession) -> None:
     """Session options the operators rely on."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
