@@ -75,18 +75,16 @@ def remove_spread_lines(
     drops = (
         hits.join(first, ["h1", "h2"])
         .where(F.col("place") > F.col("first"))
-        .groupBy(F.col("place.doc_id").alias("id_"), F.col("place.tx").alias("tx_"))
-        .agg(F.collect_set("place.pos").alias("drop_"))
+        .groupBy(F.col("place.doc_id").alias("id"), F.col("place.tx").alias("tx"))
+        .agg(F.collect_set("place.pos").alias("drop"))
     )
-    names = [fresh_name(docs, n) for n in ("_tx", "_all", "_keep")]
-    tx, every, keep = names
+    tx, every, keep, drop, id_, tx_ = (fresh_name(docs, f"_{n}") for n in ("tx", "all", "keep", "drop", "id", "of"))
+    drops = drops.select(F.col("id").alias(id_), F.col("tx").alias(tx_), F.col("drop").alias(drop))
     rows = docs.withColumn(tx, F.xxhash64(text_or_empty()))
-    rows = rows.join(drops, rows["doc_id"].eqNullSafe(drops["id_"]) & (rows[tx] == drops["tx_"]), "left")
+    rows = rows.join(drops, rows["doc_id"].eqNullSafe(drops[id_]) & (rows[tx] == drops[tx_]), "left")
     rows = rows.withColumn(every, split_lines(F.col("text"))).withColumn(
         keep,
-        F.when(
-            F.col("drop_").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col("drop_"))
-        ),
+        F.when(F.col(drop).isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(drop))),
     )
     cleaned = F.when(
         F.col(keep).isNotNull(), F.array_join(F.transform(keep, lambda i: F.get(F.col(every), i)), "\n")
@@ -94,6 +92,6 @@ def remove_spread_lines(
     out = [cleaned.alias(c) if c == "text" else F.col(c) for c in docs.columns]
     if counts:
         n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(every))
-        removed = F.coalesce(F.size("drop_"), F.lit(0))
+        removed = F.coalesce(F.size(drop), F.lit(0))
         out += [n_lines.cast("long").alias(counts[0]), F.greatest(removed, F.lit(0)).cast("long").alias(counts[1])]
     return rows.select(*out)

@@ -122,6 +122,6 @@ def keep_one_per_component(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("fp"))
     first = narrow.groupBy("fp").agg(F.min(order).alias("o")).join(classes, "fp")
     best = first.groupBy("class_fp").agg(F.min("o").alias("o"))
-    best = best.select(F.col("o.doc_id").alias("id_"), F.col("o.fp").alias("fp_"))
-    kept = with_fp.join(best, with_fp["doc_id"].eqNullSafe(best["id_"]) & (with_fp[fp] == best["fp_"]), "left_semi")
+    best = best.select(F.col("o.doc_id").alias("best_id"), F.col("o.fp").alias("best_fp"))
+    kept = with_fp.join(best, with_fp["doc_id"].eqNullSafe(best["best_id"]) & (with_fp[fp] == best["best_fp"]), "left_semi")
     return kept.dropDuplicates(["doc_id", fp]).drop(fp)
