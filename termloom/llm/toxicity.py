@@ -23,15 +23,19 @@ from .common import fresh_name, prepare, stored, text_or_empty
 
 #: Labelled rows that are examples, about: above it, rows are chosen by a hash of their id.
 MAX_EXAMPLES = 20_000
-#: Terms, those that tell most about the label; a term is in this many examples at least and reaches this G statistic.
+#: Terms, those that tell most about the label. A term is in this many examples and in this share of those with label 1 at
+#: least (what a few near copies have in common isn't), so many times as often there as overall, and reaches this G statistic.
 MAX_TERMS = 1_000
 LEAST_EXAMPLES = 3
+LEAST_SHARE = 0.02
+LEAST_LIFT = 5.0
 LEAST_G = 15.0
 #: Lengths of word beginnings that are terms.
 BEGINNINGS = (4, 5, 6, 7)
-#: Neighbours that vote; the weight of the label's overall rate among them; where the weight of distance levels off.
-NEIGHBOURS = 15
-PRIOR_WEIGHT = 2.0
+#: Neighbours that vote: the root of the number of examples with label 1 within these limits. The weight of the label's
+#: overall rate among them; where the weight of distance levels off.
+NEIGHBOURS = (3, 15)
+PRIOR_WEIGHT = 1.0
 NEAREST = 0.05
 BLOCK = 128
 THRESHOLD = 0.7
@@ -99,6 +103,8 @@ class Index:
     toxic: np.ndarray
     example: np.ndarray  # an id for each entry
     rate: float
+    k: int
+    plain: list[tuple[float, int]] | None = None
 
     def weigh(self, ids, counts, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of the unit vector; the term after the last stands for all words."""
@@ -134,12 +140,19 @@ class Index:
                     break
         return best
 
+    def _neighbours(self, ids, counts, words: int) -> list[tuple[float, int]]:
+        if len(ids):
+            return self.nearest(*self.weigh(ids, counts, words), self.k)
+        if self.plain is None:  # all texts without a term have the same unit vector
+            self.plain = self.nearest(*self.weigh(ids, counts, words), self.k)
+        return self.plain
+
     def score(self, ids, counts, words: int) -> tuple[float, list[int]]:
         """The vote, and the examples it rests on most."""
         total, voted = PRIOR_WEIGHT, PRIOR_WEIGHT * self.rate
-        left, evidence = NEIGHBOURS, []
+        left, evidence = self.k, []
         if words:
-            for cosine, entry in self.nearest(*self.weigh(ids, counts, words), NEIGHBOURS):
+            for cosine, entry in self._neighbours(ids, counts, words):
                 n = min(left, int(self.sizes[entry]))
                 weight = n * cosine / (NEAREST + max(0.0, 1 - cosine))
                 total += weight
@@ -152,7 +165,8 @@ class Index:
 def build_index(rows: list, idf: np.ndarray, rate: float) -> Index:
     """``rows``: ids, counts, words, label, doc_id of each example."""
     groups: dict[tuple, list] = {}
-    shape = Index(idf, [], [], [], np.empty(0), np.empty(0), np.empty(0), np.empty(0), rate)
+    k = min(NEIGHBOURS[1], max(NEIGHBOURS[0], math.isqrt(sum(r["label"] for r in rows))))
+    shape = Index(idf, [], [], [], np.empty(0), np.empty(0), np.empty(0), np.empty(0), rate, k)
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         if not r["words"]:
             continue
@@ -183,7 +197,7 @@ def build_index(rows: list, idf: np.ndarray, rate: float) -> Index:
     return Index(
         idf, starts, entries, weights, largest,
         np.array([g[0] for g in found] + [0] * pad), np.array([g[1] for g in found] + [0] * pad),
-        np.array([g[2] for g in found] + [-1] * pad, dtype=np.int64), rate,
+        np.array([g[2] for g in found] + [-1] * pad, dtype=np.int64), rate, k,
     )
 
 
@@ -205,8 +219,15 @@ def informative_terms(examples: DataFrame) -> list[str]:
         return F.when(seen > 0, seen * F.ln(seen * nd / (row * column))).otherwise(F.lit(0.0))
 
     g = 2 * (part(a, m, td) + part(m - a, m, nd - td) + part(td - a, nd - m, td) + part(nd - td - m + a, nd - m, nd - td))
-    told = per_term.where(a * nd > m * td).select("term", g.alias("g")).where(F.col("g") >= LEAST_G)
-    return [r["term"] for r in told.orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()]
+    # With labels that are common anyway no term can be that much more so.
+    lift = min(LEAST_LIFT, 0.5 * (1 + n / toxic))
+    told = per_term.where((a >= LEAST_SHARE * td) & (a * nd >= lift * m * td)).select("term", "a", "m", g.alias("g"))
+    rows = told.where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(MAX_TERMS).collect()
+    # Of a word and its beginnings that are found in the same examples, the longest is enough.
+    longest: dict[tuple, str] = {}
+    for r in rows:
+        longest.setdefault((r["a"], r["m"], r["term"][: BEGINNINGS[0]]), r["term"])
+    return list(longest.values())
 
 
 class Scorer:
@@ -223,8 +244,12 @@ class Scorer:
         share = MAX_EXAMPLES / max(MAX_EXAMPLES, wanted.count())
         drawn = F.pmod(F.xxhash64(F.lit("example"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
         wanted = wanted.where(drawn).withColumnRenamed("doc_id", "label_id")
-        text = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("label_id"))
-        examples = stored(text.select("doc_id", "text", F.col("label").cast("long").alias("label")), "examples")
+        text = docs.select("doc_id", text_or_empty().alias("text")).join(wanted, F.col("doc_id") == F.col("label_id"))
+        # Copies are one example, so that a large group of them doesn't outvote the rest.
+        text = text.groupBy(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).agg(
+            F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("label").cast("long").alias("label")
+        )
+        examples = stored(text.select("doc_id", "text", "label"), "examples")
         self.terms = informative_terms(examples)
         self.vector = fresh_name(docs, "_vector")
         rows = docs.select(*carry, vector_column(text_or_empty(), self.terms).alias(self.vector))
@@ -257,8 +282,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, score, evidence`` for every row of ``docs (doc_id, text)``.
 
     A null or empty text has no neighbours: its score is the rate of the label among the examples (0 without examples).
-    Equal texts have equal scores; labels without a document, null labels and null ids teach nothing; of two labels of
-    one id the larger counts. Other columns are ignored.
+    Equal texts have equal scores; labels without a document, null labels and null ids teach nothing; of the labels of
+    one id, or of equal texts, the largest counts. Other columns are ignored.
     """
     scorer = Scorer(docs, labels, ["doc_id"])
     s = scorer.score(F.col(scorer.vector))
