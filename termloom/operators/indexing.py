@@ -9,7 +9,17 @@ from pyspark.sql import Window as W
 from ..functions.keys import bucket_of, shard_of, slot_of
 from ..functions.text import analyzed, embedding_text
 from ..functions.vectors import has_vector, norm
-from ..sources.index_store import FIELD_GAP, Layout, SearchIndex, commit, open_index, union, write_segment
+from ..sources.index_store import (
+    FIELD_GAP,
+    CommitConflict,
+    Layout,
+    SearchIndex,
+    commit,
+    new_segment,
+    open_index,
+    union,
+    write_segment,
+)
 from .embedding import Encoder, embed
 from .ingest import take_first
 
@@ -134,12 +144,15 @@ def build_index(
 ) -> SearchIndex:
     """Write a base segment from ``docs(id, title, body[, title_vector, indexed_at])`` and open it.
 
-    ``unique_ids`` skips the search for repeated ids; ``max_docs`` indexes the first so many by id, 0 means all.
+    ``unique_ids`` skips the search for repeated ids; ``max_docs`` indexes the first so many by id, 0 means all. An index
+    that is already at ``path`` gets a new version, which holds ``docs`` alone.
     """
     spark = docs.sparkSession
     if max_docs > 0:
         docs = take_first(docs.where(F.col("id") != ""), "id", max_docs)
-    index = SearchIndex(spark, path, 1, 0, (), layout, tag)
+    older = open_or_none(spark, path)
+    version = older.version + 1 if older else 1
+    index = SearchIndex(spark, path, version, new_segment(version), (), layout, tag)
     _write_base(index, prepare_docs(docs, layout, encoder, unique_ids))
     return commit(index)
 
@@ -157,6 +170,9 @@ def _write_base(index: SearchIndex, docs: DataFrame) -> None:
     write_segment(stats, at("shard_stats", seg), "shard_stats", (), base=True)
 
 
+MAX_ATTEMPTS = 5
+
+
 def upsert_index(
     index: SearchIndex,
     docs: DataFrame,
@@ -166,11 +182,25 @@ def upsert_index(
 ) -> SearchIndex:
     """Add documents, replacing those with the same id; the cost follows the batch, not the corpus.
 
-    Writes a delta segment: the new rows, the ids they replace, and the *differences* of the statistics, for which
-    only the replaced documents are analysed again.
+    Goes on from the newest version, whichever ``index`` was opened at. When another writer commits first, the batch is
+    applied again on top of that, a few times, before ``CommitConflict`` is raised; nothing committed is ever lost.
     """
+    for attempt in range(MAX_ATTEMPTS):
+        try:
+            return _upsert(open_index(index.spark, index.path), docs, encoder, unique_ids, tag)
+        except CommitConflict:
+            if attempt + 1 == MAX_ATTEMPTS:
+                raise
+    raise AssertionError("unreachable")
+
+
+def _upsert(
+    index: SearchIndex, docs: DataFrame, encoder: Encoder | None, unique_ids: bool, tag: str | None
+) -> SearchIndex:
+    """Writes a delta segment: the new rows, the ids they replace, and the *differences* of the statistics, for which only
+    the replaced documents are analysed again."""
     layout = index.layout
-    seg = index.version  # the base is segment 0 of version 1, so this number is free
+    seg = new_segment(index.version + 1)
     target = SearchIndex(index.spark, index.path, index.version + 1, index.base, (*index.deltas, seg), layout, tag)
     at = target.table_path
     write_segment(prepare_docs(docs, layout, encoder, unique_ids), at("docs", seg), "docs", ("id",), base=False)
@@ -204,9 +234,6 @@ def upsert_index(
     return commit(target)
 
 
-MAX_FILES = 10_000
-
-
 def find_live(index: SearchIndex, ids: DataFrame) -> DataFrame:
     """Where the live documents with these ids are: ``id, shard, slot, file``. Reads no text."""
     place = ["shard", "slot", "id"]
@@ -219,26 +246,23 @@ def find_live(index: SearchIndex, ids: DataFrame) -> DataFrame:
 
 
 def read_replaced(index: SearchIndex, dead: DataFrame) -> DataFrame:
-    """``id, shard`` and the text fields of replaced documents, reading only the files they are in."""
-    spark, layout = index.spark, index.layout
-    files = [r["file"] for r in dead.select("file").distinct().limit(MAX_FILES + 1).collect()]
+    """``id, shard`` and the text fields of replaced documents: an id is live in one file at most, so place and file name
+    its one live row. The directories are pruned by the join."""
+    layout = index.layout
     columns = ["id", *(f for f in layout.fields if f != "id")]
-    schema = ", ".join(f"{c} string" for c in columns)
-    if 0 < len(files) <= MAX_FILES:
-        parts = [spark.read.schema(schema).parquet(*files)]
-    else:
-        parts = index.parts("docs")
-    rows = union([df.select(*columns, F.col("_metadata.file_path").alias("file")) for df in parts])
-    # An id is live in one file at most, so id and file name its one live row.
-    old = rows.join(dead.select("id", "file"), ["id", "file"], "left_semi")
-    return old.withColumn("shard", shard_of(F.col("id"), layout.n_shards))
+    place = ["shard", "slot", "id", "file"]
+    wanted = dead.select(*place).where(F.length("id") > 0)
+    rows = union([
+        df.select("shard", "slot", *columns, F.col("_metadata.file_path").alias("file")) for df in index.parts("docs")
+    ])
+    return rows.join(wanted, place, "left_semi").select(*columns, "shard")
 
 
 def merge_deltas(index: SearchIndex) -> SearchIndex:
     """Fold all deltas into one, leaving the base alone: the cost follows the deltas, and later readers list few files."""
     if len(index.deltas) < 2:
         return index
-    seg = index.version
+    seg = new_segment(index.version + 1)
     target = SearchIndex(index.spark, index.path, index.version + 1, index.base, (seg,), index.layout, index.tag)
     at = target.table_path
     for table, order in (("docs", ("id",)), ("postings", TERM_ORDER)):
@@ -256,7 +280,8 @@ def merge_deltas(index: SearchIndex) -> SearchIndex:
 def compact_index(index: SearchIndex, layout: Layout | None = None) -> SearchIndex:
     """Fold all deltas into a new base segment, optionally with another layout."""
     layout = layout or index.layout
-    target = SearchIndex(index.spark, index.path, index.version + 1, index.version, (), layout, index.tag)
+    version = index.version + 1
+    target = SearchIndex(index.spark, index.path, version, new_segment(version), (), layout, index.tag)
     live = index.docs()
     if layout != index.layout:
         live = live.withColumn("shard", shard_of(F.col("id"), layout.n_shards)).withColumn(

@@ -3,10 +3,16 @@
 A *base* segment is laid out for pruning: postings and term statistics by term bucket, documents by shard and
 slot of the id. A *delta* segment holds one upsert and is flat, so that a small batch makes few files. A segment
 counts only once the manifest names it; a write that failed half-way is never read.
+
+Every write has a segment number of its own, and a version is one file of the manifest that only one writer can create:
+of two that started from the same version, the second gets a ``CommitConflict``.
 """
 
 from __future__ import annotations
 
+import json
+import random
+import threading
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -18,7 +24,7 @@ from .tables import local_table
 
 BYTES_PER_DIRECTORY = 4 << 30
 FIELD_GAP = 1 << 32  # distance between the places of two fields, more than any text has words
-MANIFEST = "version long, base int, deltas array<int>, n_shards int, term_buckets int, doc_slots int, fields array<string>, tag string"
+MANIFEST = "version long, base long, deltas array<long>, n_shards int, term_buckets int, doc_slots int, fields array<string>, tag string"
 
 
 @dataclass(frozen=True)
@@ -106,13 +112,13 @@ class SearchIndex:
         if key not in self._opened:
             schema = getattr(self.layout, f"{table}_schema")()
             paths = [self.table_path(table, s) for s in self.deltas]
-            reader = self.spark.read.schema(f"{schema}, seg int").option("basePath", f"{self.path}/{table}")
+            reader = self.spark.read.schema(f"{schema}, seg long").option("basePath", f"{self.path}/{table}")
             self._opened[key] = reader.parquet(*paths)
         return self._opened[key]
 
     def parts(self, table: str) -> list[DataFrame]:
         """The base, and all deltas if there are any, each with ``seg``: two scans however many deltas there are."""
-        base = self.segment(table, self.base).withColumn("seg", F.lit(self.base))
+        base = self.segment(table, self.base).withColumn("seg", F.lit(self.base).cast("long"))
         return [base, self.delta_rows(table)] if self.deltas else [base]
 
     def tombstones(self) -> DataFrame | None:
@@ -193,19 +199,49 @@ def write_segment(rows: DataFrame, path: str, table: str, order: tuple[str, ...]
     rows.write.mode("overwrite").partitionBy(*keys).parquet(path)
 
 
+SEGMENT_BITS = 24
+
+
+def new_segment(version: int) -> int:
+    """A number no other write has, above those of all earlier versions."""
+    return version << SEGMENT_BITS | random.getrandbits(SEGMENT_BITS)
+
+
+class CommitConflict(RuntimeError):
+    """Another writer has committed this version."""
+
+
+_creating = threading.Lock()
+
+
 def commit(index: SearchIndex) -> SearchIndex:
-    row = (
-        index.version,
-        index.base,
-        list(index.deltas),
-        index.layout.n_shards,
-        index.layout.term_buckets,
-        index.layout.doc_slots,
-        list(index.layout.fields),
-        index.tag,
-    )
-    df = local_table(index.spark, [row], MANIFEST).coalesce(1)
-    df.write.mode("append").json(f"{index.path}/manifest")
+    """Creates the manifest file of ``index.version``, which must not exist: a file system that shares files between
+    machines lets one writer create it, and the lock does so between threads where the file system is local."""
+    layout = index.layout
+    row = {
+        "version": index.version,
+        "base": index.base,
+        "deltas": list(index.deltas),
+        "n_shards": layout.n_shards,
+        "term_buckets": layout.term_buckets,
+        "doc_slots": layout.doc_slots,
+        "fields": list(layout.fields),
+        "tag": index.tag,
+    }
+    context = index.spark.sparkContext
+    file = context._jvm.org.apache.hadoop.fs.Path(f"{index.path}/manifest/version-{index.version:012d}.json")
+    fs = file.getFileSystem(context._jsc.hadoopConfiguration())
+    with _creating:
+        if fs.exists(file):
+            raise CommitConflict(f"version {index.version} of {index.path} was committed by another writer")
+        try:
+            out = fs.create(file, False)
+        except Exception as e:
+            if fs.exists(file):
+                raise CommitConflict(f"version {index.version} of {index.path} was committed by another writer") from e
+            raise
+        out.write(bytearray((json.dumps(row) + "\n").encode()))
+        out.close()
     return index
 
 
@@ -215,7 +251,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def open_index(spark: SparkSession, path: str, version: int | None = None) -> SearchIndex:
     """The newest version, or the one asked for."""
-    rows = manifest(spark, path)
+    rows = manifest(spark, path).where(F.col("version").isNotNull())  # a file that is just being written
     if version is not None:
         rows = rows.where(F.col("version") == version)
     row = rows.orderBy(F.desc("version")).limit(1).collect()
@@ -226,4 +262,7 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> Se
     return SearchIndex(spark, path, r["version"], r["base"], tuple(r["deltas"]), layout, r["tag"])
 
 
-__all__ = ["FIELD_GAP", "Layout", "SearchIndex", "commit", "manifest", "open_index", "union", "write_segment"]
+__all__ = [
+    "CommitConflict", "FIELD_GAP", "Layout", "SearchIndex", "commit", "manifest", "new_segment", "open_index", "union",
+    "write_segment",
+]
