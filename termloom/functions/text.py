@@ -34,11 +34,11 @@ STOP_WORDS = tuple(
 )
 
 # A word is a run of letters, marks, digits and underscores; an apostrophe or dot between two runs joins them.
-# Han and Hiragana characters are words of their own. The bound keeps Java's matcher from recursing without end.
+# Han and Hiragana characters are words of their own. The group is possessive, which Java's matcher repeats without recursion.
 # Frequent characters and plain ranges come first in each class, since property look-ups are what matching costs.
 _IDEOGRAPH = r"\u2e80-\ufaff\x{20000}-\x{3ffff}&&[\p{IsHan}\p{IsHiragana}]"
 _RUN = rf"[a-z0-9_[\p{{L}}\p{{M}}\p{{N}}&&[^{_IDEOGRAPH}]]]+"
-WORD = rf"{_RUN}(?:['’.]{_RUN}){{0,64}}|[{_IDEOGRAPH}]"
+WORD = rf"{_RUN}(?:['’.]{_RUN})*+|[{_IDEOGRAPH}]"
 
 
 def truncate(text: Column, n: int, unit: str = "chars") -> Column:
@@ -55,8 +55,8 @@ def trim_space(text: Column) -> Column:
     return F.trim(text, F.lit(WHITE_SPACE))
 
 
-def clean_markup(text: Column, max_len: int | None = MAX_BODY, unit: str = "chars") -> Column:
-    """Drop markup, fold runs of spaces, tabs and newlines, cut, then trim. ``max_len=None`` keeps whole texts."""
+def clean_markup(text: Column, max_len: int | None = None, unit: str = "chars") -> Column:
+    """Drop markup, fold runs of spaces, tabs and newlines, cut to ``max_len`` if that is given, then trim."""
     flat = F.regexp_replace(F.regexp_replace(text, MARKUP, ""), r"[ \n\t]+", " ")
     return trim_space(flat if max_len is None else truncate(flat, max_len, unit))
 

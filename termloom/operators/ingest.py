@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.keys import shard_of
-from ..functions.text import MAX_BODY, MIN_BODY_BYTES, clean_markup, long_enough
+from ..functions.text import MIN_BODY_BYTES, clean_markup, long_enough
 from ..functions.vectors import has_vector
 from ..session import work_path
 from ..sources.tables import local_table
@@ -18,7 +18,7 @@ ROW_BITS = 33  # monotonically_increasing_id() keeps the row number in the low 3
 
 def clean_pages(
     pages: DataFrame,
-    max_len: int | None = MAX_BODY,
+    max_len: int | None = None,
     min_bytes: int = MIN_BODY_BYTES,
     unit: str = "chars",
 ) -> DataFrame:
@@ -99,11 +99,14 @@ def ingest_pages(
     n_shards: int = 8,
     max_docs: int = 0,
     key: str = "page_no",
-    max_len: int | None = MAX_BODY,
+    max_len: int | None = None,
     at: Column | None = None,
 ) -> DataFrame:
-    """``pages(page_no, title, text)`` to ``docs(id, title, body, indexed_at, shard)``."""
-    docs = dense_ids(clean_pages(cap_pages(pages, max_docs, key), max_len), key).drop(key)
+    """``pages(page_no, title, text)`` to ``docs(id, title, body, indexed_at, shard)``.
+
+    Pages are numbered as they are scanned, which is the order of ``page_no``; nothing is shuffled.
+    """
+    docs = dense_ids(clean_pages(cap_pages(pages, max_docs, key), max_len)).drop(key)
     return with_shard(stamp(docs, at), n_shards)
 
 

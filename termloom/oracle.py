@@ -308,7 +308,7 @@ SELECT count(*) FILTER (NOT broken) AS indexed, count(*) FILTER (broken) AS skip
   count(*) FILTER (NOT broken AND len(title_vector) > 0) AS embeds_ok,
   count(*) FILTER (NOT broken AND title_vector IS NULL) AS embeds_failed FROM lines""",
         "dense_ids": f"""SELECT doc_id, 'wiki_' || row_number() OVER (ORDER BY doc_id) AS id, md5(body) AS body_md5
-FROM {CLEAN_MARKED} WHERE strlen(body) >= 50""",
+FROM (SELECT doc_id, {clean(MARKED, False)} AS body FROM documents) WHERE strlen(body) >= 50""",
         "stamped_docs": f"WITH {CORPUS} SELECT id, strftime(indexed_at, '%Y-%m-%d %H:%M:%S') AS indexed_at FROM corpus",
         "doc_shards": f"""SELECT 'wiki_' || doc_id AS id, {shard("'wiki_' || doc_id")} AS shard, 0::BIGINT AS unsharded,
   {shard("'wiki_' || doc_id", 200)} AS shard_200 FROM documents""",
@@ -383,7 +383,7 @@ SELECT id, CASE WHEN lang = 'en' AND title <> '' THEN title ELSE substr(body, 1,
         "embed_docs": f"""WITH {CORPUS}, t AS (
   SELECT id, regexp_matches(CASE WHEN title <> '' THEN title ELSE substr(body, 1, 100) END, '[\\p{{L}}\\p{{N}}_]') AS ok FROM corpus)
 SELECT id, CASE WHEN ok THEN 64 ELSE 0 END::BIGINT AS dims, CASE WHEN ok THEN 1.0 END::DOUBLE AS square FROM t""",
-        "embed_batch": "SELECT conv_id, turn, 16::BIGINT AS dims FROM conversations WHERE regexp_matches(text, '[\\p{L}\\p{N}]')",
+        "embed_batch": "SELECT conv_id, turn, 16::BIGINT AS dims FROM conversations",
         "embed_queries": """SELECT conv_id, turn,
   CASE WHEN turn % 3 <> 0 AND regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 32 ELSE 0 END::BIGINT AS dims FROM conversations""",
         "hybrid_rrf": hybrid_rows(lambda q: q[4] in ("rrf", None) and q[5]),
@@ -400,8 +400,8 @@ FROM asked a JOIN routes r USING (query_id) LEFT JOIN listed USING (query_id)"""
         "latency_histogram": f"""WITH {LOG}, h AS (
   SELECT status, shard, round(sum(latency_s), 6) AS latency_sum, count(latency_s) AS latency_count, {BUCKETS} FROM log GROUP BY status, shard)
 {BUCKET_ROWS}""",
-        "query_collapse": f"""WITH {LOG}
-SELECT min(query_id) OVER (PARTITION BY q, lim) AS answer_id, query_id, q || ':' || lim AS answer FROM log""",
+        "query_collapse": f"""WITH {LOG}, asked AS (SELECT query_id, q, CASE WHEN query_id % 3 <> 0 THEN lim END AS lim FROM log)
+SELECT min(query_id) OVER (PARTITION BY q, lim) AS answer_id, query_id, concat_ws(':', q, lim) AS answer FROM asked""",
         "stream_upsert": f"""WITH {REVISED}
 SELECT c.id, c.shard, md5(c.body) AS body_md5, count(t.term) AS n_words FROM corpus c LEFT JOIN tokens t USING (id) GROUP BY ALL""",
         "stream_collapse": f"WITH {LOG} SELECT DISTINCT q, lim AS \"limit\" FROM log",
