@@ -43,18 +43,33 @@ def _encode_all(encode: Encode, texts: list[str]) -> list[list[float]]:
     return vectors
 
 
+#: Batches in a row without one vector, after which a task takes the encoder for unreachable.
+GIVE_UP = 3
+
+
 def embed(text: Column, encoder: Encoder, on_error: str = "null") -> Column:
-    """Vectors for a text column. ``on_error="null"`` keeps failed rows without vector, ``"fail"`` fails the job."""
+    """Vectors for a text column. ``on_error="null"`` keeps failed rows without vector, ``"fail"`` fails the job.
+
+    With ``"null"`` an encoder that can't be loaded, or stops answering, leaves all further rows of its task without
+    vector, so a build goes on for keywords only.
+    """
     if on_error not in ("null", "fail"):
         raise ValueError(f"unknown on_error: {on_error}")
     run = _encode_each if on_error == "null" else _encode_all
 
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder()
+        encode, failed = None, 0
+        try:
+            encode = encoder()
+        except Exception:
+            if on_error == "fail":
+                raise
         for batch in batches:
             texts = batch.fillna("").tolist()
-            yield pd.Series(run(encode, texts), index=batch.index, dtype="object")
+            found = run(encode, texts) if encode and failed < GIVE_UP else [None] * len(texts)
+            failed = failed + 1 if texts and not any(found) else 0 if failed < GIVE_UP else failed
+            yield pd.Series(found, index=batch.index, dtype="object")
 
     return vectors(text)
 

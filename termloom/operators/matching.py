@@ -146,25 +146,63 @@ def range_test(value: Column, wanted: Column) -> Column:
 
 
 def in_ranges(index: SearchIndex, hits: DataFrame, clauses: DataFrame, n_clauses: int) -> DataFrame:
-    """Hits whose document meets every range a query must meet, and none it must not.
+    """Hits whose document meets every range a query must meet, and none it must not. A query without any clause that has
+    to match otherwise (no must, no should on text) has to meet one of its should ranges.
 
-    Ranges meet hits on the query, an equality, and only the hits' documents are looked up.
+    Ranges meet hits on the query, an equality, and only the hits' documents are looked up, by place and segment.
     """
-    ranges = clauses.where(F.col("kind") == "range").groupBy("query_id").agg(
-        F.collect_list(F.struct("occur", "value")).alias("_ranges")  # a query has few clauses
+    range_, positive = F.col("kind") == "range", F.col("occur") != "must_not"
+    needs_one = (F.count_if(positive & ~range_) == 0) & (F.count_if(F.col("occur") == "must") == 0)
+    ranges = clauses.groupBy("query_id").agg(
+        F.collect_list(F.when(range_, F.struct("occur", "value"))).alias("_ranges"),  # a query has few clauses
+        needs_one.alias("_needs_one"),
     )
     layout = index.layout
     placed = hits.withColumn("slot", slot_of(F.col("id"), layout.doc_slots)).where(F.length("id") > 0)
-    stored = index.docs().select("shard", "slot", "id", "indexed_at")
-    with_ranges = placed.join(small(ranges, n_clauses), "query_id", "left")
+    stored = union(index.parts("docs")).select("shard", "slot", "id", "seg", "indexed_at")
+    with_ranges = placed.join(small(ranges.where(F.size("_ranges") > 0), n_clauses), "query_id", "left")
     free = with_ranges.where(F.col("_ranges").isNull()).select(*hits.columns)
-    bound = with_ranges.where(F.col("_ranges").isNotNull()).join(stored, ["shard", "slot", "id"])
+    bound = with_ranges.where(F.col("_ranges").isNotNull()).join(stored, ["shard", "slot", "id", "seg"])
+    meets = lambda r: F.coalesce(range_test(F.col("indexed_at"), r["value"]), F.lit(False))
     fits = F.forall(
         "_ranges",
-        lambda r: F.when(r["occur"] == "must_not", ~F.coalesce(range_test(F.col("indexed_at"), r["value"]), F.lit(False)))
-        .otherwise(F.coalesce(range_test(F.col("indexed_at"), r["value"]), F.lit(False)) | (r["occur"] == "should")),
+        lambda r: F.when(r["occur"] == "must_not", ~meets(r)).otherwise(meets(r) | (r["occur"] == "should")),
     )
-    return free.unionByName(bound.where(fits).select(*hits.columns))
+    should = F.filter("_ranges", lambda r: r["occur"] == "should")
+    one = ~F.col("_needs_one") | (F.size(should) == 0) | F.exists(should, meets)
+    return free.unionByName(bound.where(fits & one).select(*hits.columns))
+
+
+OCCURS = ("must", "should", "must_not")
+KINDS = ("match", "phrase", "fuzzy", "range", *PATTERN_KINDS)
+
+
+def invalid_clauses(index: SearchIndex, clauses: DataFrame) -> DataFrame:
+    """Clauses that can't be answered, with an ``error``; ``match_clauses`` leaves them out."""
+    field = F.coalesce("field", F.lit(ALL))
+    known = F.when(F.col("kind") == "range", field == "indexed_at").otherwise(field.isin(ALL, *index.layout.fields))
+    error = (
+        F.when(~F.coalesce(F.col("occur").isin(*OCCURS), F.lit(False)), F.lit("unknown occur"))
+        .when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), F.lit("unknown kind"))
+        .when(~F.coalesce(known, F.lit(False)), F.lit("unknown field"))
+        .when(F.col("value").isNull(), F.lit("no value"))
+    )
+    return clauses.withColumn("error", error).where(F.col("error").isNotNull())
+
+
+def open_queries(clauses: DataFrame) -> DataFrame:
+    """``query_id`` of the queries that no clause on text has to match."""
+    on_text = (F.col("occur") != "must_not") & (F.col("kind") != "range")
+    return clauses.groupBy("query_id").agg(F.count_if(on_text).alias("n")).where(F.col("n") == 0).select("query_id")
+
+
+def open_hits(index: SearchIndex, asked: DataFrame) -> DataFrame:
+    """All live documents, with score 0, for each of the queries: a stated set of queries against all rows. Ranges and
+    must_not clauses then take away."""
+    ids = asked.agg(F.collect_list("query_id").alias("ids"))  # one row, of no more ids than the batch has queries
+    live = index.drop_replaced(union([d.select("shard", "id", "seg") for d in index.parts("docs")]))
+    every = live.join(F.broadcast(ids)).select(F.explode("ids").alias("query_id"), "shard", "id", "seg")
+    return every.withColumn("score", F.lit(0.0))
 
 
 def range_docs(index: SearchIndex, low=None, high=None, column: str = "indexed_at") -> DataFrame:
@@ -178,11 +216,14 @@ def range_docs(index: SearchIndex, low=None, high=None, column: str = "indexed_a
 
 
 def match_clauses(index: SearchIndex, clauses: DataFrame, scope: str = "shard") -> DataFrame:
-    """``query_id, shard, id, score`` of the documents that satisfy each query's clauses.
+    """``query_id, shard, id, seg, score`` of the documents that satisfy each query's clauses.
 
     A document must match every must clause, no must_not clause, and at least one should clause if there is no must.
-    Its score is the sum over the must and should clauses it matches. Ranges narrow down what the other clauses find.
+    Its score is the sum over the must and should clauses on text it matches; a query without any starts from all live
+    documents. ``invalid_clauses`` are left out.
     """
+    bad = invalid_clauses(index, clauses).select("query_id", "clause_no")
+    clauses = clauses.join(F.broadcast(bad), ["query_id", "clause_no"], "left_anti") if not bad.isEmpty() else clauses
     clauses = clauses.select(
         *CLAUSE, "kind", F.coalesce("field", F.lit(ALL)).alias("field"), "value", F.coalesce("boost", F.lit(1.0)).alias("boost")
     )
@@ -203,9 +244,12 @@ def match_clauses(index: SearchIndex, clauses: DataFrame, scope: str = "shard")
             parts.append(rows.groupBy(*CLAUSE, "shard", "id", "seg").agg(F.sum("score").alias("score")))
         if "phrase" in kinds:
             parts.append(phrase_hits(index, clauses, n_words, field, scope))
-    if not parts:
-        raise ValueError("a query needs a clause on text; use range_docs for a range alone")
-    matched = union([p.select(*CLAUSE, "shard", "id", "seg", "score") for p in parts])
+    place = ["query_id", "shard", "id", "seg"]
+    if parts:
+        matched = union([p.select(*CLAUSE, "shard", "id", "seg", "score") for p in parts])
+    else:
+        nowhere = [F.lit(v).cast(t).alias(n) for n, v, t in (("shard", 0, "int"), ("id", "", "string"), ("seg", 0, "long"))]
+        matched = clauses.where(F.lit(False)).select(*CLAUSE, *nowhere, F.lit(0.0).alias("score"))
     positive = F.col("occur") != "must_not"
     per_doc = matched.groupBy("query_id", "shard", "id", "seg").agg(
         F.count_if(F.col("occur") == "must").alias("_must"),
@@ -219,7 +263,11 @@ def match_clauses(index: SearchIndex, clauses: DataFrame, scope: str = "shard")
     hits = per_doc.join(small(needed, n_clauses), "query_id").where(
         (F.col("_must") == F.col("_needed")) & (F.col("_positive") > 0) & (F.col("_not") == 0)
     )
-    hits = index.drop_replaced(hits.select("query_id", "shard", "id", "seg", "score")).drop("seg")
+    hits = index.drop_replaced(hits.select(*place, "score"))
+    asked = open_queries(clauses)
+    if not asked.isEmpty():
+        excluded = matched.where(~positive).select(*place).distinct()
+        hits = hits.unionByName(open_hits(index, asked).join(excluded, place, "left_anti"))
     if any(r["kind"] == "range" for r in shape):
         hits = in_ranges(index, hits, clauses, n_clauses)
     return hits

@@ -59,10 +59,11 @@ def hybrid_defaults(queries: DataFrame) -> DataFrame:
 
 
 def collapse_repeats(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct ``(q, limit)`` with one ``query_id`` each, and who asked for which of them."""
+    """Distinct ``(q, limit)`` with one ``query_id`` each, and who asked for which of them. A null limit is a value."""
     distinct = queries.groupBy("q", "limit").agg(F.min("query_id").alias("query_id"))
-    keys = distinct.select("q", "limit", F.col("query_id").alias("answer_id"))
-    return distinct, queries.join(keys, ["q", "limit"]).select("query_id", "answer_id")
+    keys = distinct.select(F.col("q").alias("_q"), F.col("limit").alias("_limit"), F.col("query_id").alias("answer_id"))
+    same = F.col("q").eqNullSafe(F.col("_q")) & F.col("limit").eqNullSafe(F.col("_limit"))
+    return distinct, queries.join(keys, same).select("query_id", "answer_id")
 
 
 def query_terms(queries: DataFrame, text: str = "q", *carry: str) -> DataFrame:

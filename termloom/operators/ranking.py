@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.keys import shard_of, slot_of
-from ..sources.index_store import SearchIndex
-from ..sources.tables import local_table
+from ..sources.index_store import SearchIndex, union
 from .queries import small
 
 KEYWORD_DEPTH = 3  # candidates per shard, as a multiple of the limit
@@ -35,24 +34,20 @@ def global_topk(candidates: DataFrame, queries: DataFrame, cap: int, n_queries:
     return ranked.join(limits, "query_id").where(F.col("rank") <= F.col("limit")).drop("limit")
 
 
-COLLECT_ROWS = 1_000
-
-
 def fetch_fields(index: SearchIndex, winners: DataFrame, n_winners: int, *columns: Column | str) -> DataFrame:
-    """Stored fields for rows with an ``id``; ``n_winners`` is a proven bound on their number.
+    """Stored fields for rows with an ``id``, and ``seg`` where it is known; ``n_winners`` is a proven bound on their number.
 
-    Up to 1,000 winners are computed first and come back as literals, so that only their directories, and of those
-    only the matching pages, are read. More are joined in one plan, broadcast while the bound allows it.
+    One join, whose small side prunes directories. Hits carry the segment of their document, so that replaced documents
+    needn't be looked for again.
     """
     layout = index.layout
     place = ["shard", "slot", "id"]
     placed = winners.withColumn("shard", shard_of(F.col("id"), layout.n_shards)).withColumn(
         "slot", slot_of(F.col("id"), layout.doc_slots)
     )
-    stored = index.docs()
-    if n_winners <= COLLECT_ROWS:
-        rows = placed.collect()
-        placed = local_table(index.spark, [tuple(r) for r in rows], placed.schema)
-        for name in place:
-            stored = stored.where(F.col(name).isin(sorted({r[name] for r in rows})))
-    return stored.select(*place, *columns).join(small(placed, n_winners), place).drop("slot")
+    placed = placed.where(F.length("id") > 0)  # always true; allows partition pruning on the other side
+    if "seg" in winners.columns:
+        stored, place = union(index.parts("docs")), [*place, "seg"]
+    else:
+        stored = index.docs()
+    return stored.select(*place, *columns).join(small(placed, n_winners), place).drop("slot", "seg")

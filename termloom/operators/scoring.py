@@ -154,7 +154,7 @@ def score_hits(
     model: str = "bm25",
     scope: str = "shard",
 ) -> DataFrame:
-    """``query_id, shard, id, score`` of every document holding any of a query's terms.
+    """``query_id, shard, id, seg, score`` of every document holding any of a query's terms.
 
     The sum is grouped by query *and* document, so a term found in a third of the corpus still spreads evenly.
     """
@@ -162,4 +162,4 @@ def score_hits(
     weights = term_weights(index, terms, n_terms, field, model, scope, known)
     rows = matching_postings(index, weights, n_terms, field, model, known=known)
     hits = rows.groupBy("query_id", "shard", "id", "seg").agg(round_score(F.sum("score")).alias("score"))
-    return index.drop_replaced(hits).drop("seg")
+    return index.drop_replaced(hits)
