@@ -7,15 +7,15 @@ from termloom import registry
 from termloom.operators.embedding import embed, embed_queries, hashed_bag_encoder
 from termloom.operators.indexing import build_index, compact_index, merge_deltas, newest_per_id, postings_long, upsert_index
 from termloom.operators.ingest import cap_pages, dense_ids, ingest_pages, number_rows, observe_counters, take_first
-from termloom.operators.matching import expand_fuzzy, match_clauses
-from termloom.operators.queries import BROADCAST_ROWS
+from termloom.operators.matching import expand_fuzzy, invalid_clauses, match_clauses
+from termloom.operators.queries import BROADCAST_ROWS, collapse_repeats
 from termloom.operators.routing import route
 from termloom.plans.engine import SearchEngine
 from termloom.plans.hybrid import HybridSearch, fuse
 from termloom.plans.search import KeywordSearch
 from termloom.session import work_path
 from termloom.sources.corpus import corpus
-from termloom.sources.index_store import Layout, manifest, open_index
+from termloom.sources.index_store import CommitConflict, Layout, commit, manifest, open_index
 from termloom.sources.jsonl import read_documents
 from termloom.sources.pages import read_pages
 from termloom.sources.tables import local_table
@@ -260,12 +260,6 @@ def test_phrases_respect_gaps_and_fields(spark):
     assert got == [(1, "d1"), (1, "d4"), (2, "d3"), (3, "d5")]  # d4 has other stop words in the same gap
 
 
-def test_clauses_without_text_are_refused(spark, index):
-    clauses = local_table(spark, [(1, 1, "must", "range", "indexed_at", ">2024-01-01", 1.0)], registry.CLAUSE_SCHEMA)
-    with pytest.raises(ValueError):
-        match_clauses(index, clauses)
-
-
 def test_numbering(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5)
     assert rows(number_rows(df, "k").select("k", "seq")) == [(i, i + 1) for i in range(1000)]
@@ -311,3 +305,113 @@ def test_observed_counters(spark):
 
 def test_broadcast_bound_is_modest():
     assert BROADCAST_ROWS <= 1_000_000
+
+
+# Commits
+
+
+def few_docs(spark, ids, word="alpha"):
+    return spark.createDataFrame([(i, f"title {i}", f"{word} body of {i}") for i in ids], "id string, title string, body string")
+
+
+def test_two_upserts_from_one_handle_both_stay(spark):
+    path = work_path(spark, "commit")
+    base = build_index(few_docs(spark, ["a"]), path)
+    upsert_index(base, few_docs(spark, ["b"]))
+    newest = upsert_index(base, few_docs(spark, ["c"]))
+    assert sorted(r.id for r in open_index(spark, path).docs().collect()) == ["a", "b", "c"]
+    assert newest.version == 3 and manifest(spark, path).count() == 3
+    assert sorted(r.id for r in newest.docs().collect()) == ["a", "b", "c"]
+
+
+def test_concurrent_upserts_all_stay(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = work_path(spark, "commit")
+    base = build_index(few_docs(spark, ["a", "x"]), path)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda n: upsert_index(base, few_docs(spark, [f"n{n}", "x"], f"word{n}")), range(3)))
+    index = open_index(spark, path)
+    assert sorted(r.id for r in index.docs().collect()) == ["a", "n0", "n1", "n2", "x"]
+    assert index.totals["n_docs"] == 5
+    live = {r.term: r.df_body for r in index.term_stats().groupBy("term").agg(F.sum("df_body").alias("df_body")).collect()}
+    assert live["alpha"] == 1 and sum(live[f"word{n}"] for n in range(3)) == 4
+
+
+def test_a_version_is_committed_once(spark):
+    path = work_path(spark, "commit")
+    index = build_index(few_docs(spark, ["a"]), path)
+    with pytest.raises(CommitConflict):
+        commit(index)
+
+
+def test_a_rebuild_is_a_new_version(spark):
+    path = work_path(spark, "commit")
+    build_index(few_docs(spark, ["a"]), path)
+    assert build_index(few_docs(spark, ["b"]), path).version == 2
+    assert [r.id for r in open_index(spark, path).docs().collect()] == ["b"]
+    assert [r.id for r in open_index(spark, path, 1).docs().collect()] == ["a"]
+
+
+# Clauses without text that has to match
+
+
+def test_queries_of_exclusions_and_ranges(spark):
+    rows = [("a", "thing one", "2024-01-01"), ("b", "other one", "2024-02-01"), ("c", "thing two", "2024-03-01")]
+    docs = spark.createDataFrame([(i, "t", b, t) for i, b, t in rows], "id string, title string, body string, at string")
+    docs = docs.withColumn("indexed_at", F.col("at").cast("timestamp")).drop("at")
+    index = upsert_index(build_index(docs.where("id <> 'c'"), work_path(spark, "clauses")), docs.where("id = 'c'"))
+    clauses = [
+        (1, 0, "must", "match", "body", "thing"),
+        (2, 0, "must", "range", "indexed_at", ">=2024-02-01"),
+        (3, 0, "must_not", "match", "body", "thing"),
+        (4, 0, "must_not", "range", "indexed_at", "<2024-03-01"),
+        (5, 0, "should", "range", "indexed_at", "<2024-01-15"),
+        (5, 1, "should", "range", "indexed_at", ">=2024-03-01"),
+        (6, 0, "must_not", "match", "body", "one"),
+        (6, 1, "must", "range", "indexed_at", ">=2024-01-01"),
+        (7, 0, "must", "nonsense", "body", "thing"),
+        (8, 0, "must", "match", "nowhere", "thing"),
+    ]
+    table = local_table(spark, [(*c, 1.0) for c in clauses], "query_id int, clause_no int, occur string, kind string, field string, value string, boost double")
+    got = {}
+    for r in match_clauses(index, table).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    assert got == {1: {"a", "c"}, 2: {"b", "c"}, 3: {"b"}, 4: {"c"}, 5: {"a", "c"}, 6: {"c"}}
+    assert {(r.query_id, r.error) for r in invalid_clauses(index, table).collect()} == {(7, "unknown kind"), (8, "unknown field")}
+    only = table.where("query_id = 2")
+    assert {r.id for r in match_clauses(index, only).collect()} == {"b", "c"}
+
+
+def test_repeats_without_limit_are_kept(spark):
+    asked = local_table(spark, [(1, "a", None), (2, "a", None), (3, "a", 5)], "query_id int, q string, limit int")
+    distinct, who = collapse_repeats(asked)
+    assert sorted((r.query_id, r.answer_id) for r in who.collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert distinct.count() == 2
+
+
+def test_pages_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    pages = "".join(f'<page id="{i}">\n<title>t{i}</title><revision><text>old</text></revision><revision><text>x &lt;b&gt; {"y" * 500} {i}</text></revision></page>\n' for i in range(3000))
+    (tmp_path / "dump.xml").write_text(f"<mediawiki>\n<pages>\n{pages}<page><title>cut off</ti")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        df = read_pages(spark, str(tmp_path / "dump.xml"))
+        assert df.rdd.getNumPartitions() > 4
+        rows = df.orderBy("page_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.title for r in rows] == [f"t{i}" for i in range(3000)]
+    assert all(r.text == f"x <b> {'y' * 500} {i}" for i, r in enumerate(rows))
+
+
+def test_unreachable_encoder_means_keywords_only(spark):
+    def unreachable():
+        raise ConnectionError("no encoder")
+
+    index = build_index(few_docs(spark, ["a", "b"]), work_path(spark, "plain"), encoder=unreachable)
+    assert [r.title_vector for r in index.docs().collect()] == [None, None]
+    assert KeywordSearch(index, asked(spark, "alpha")).results().count() == 2
+    queries = embed_queries(asked(spark, "alpha"), unreachable)
+    assert queries.collect()[0].query_vector is None
+    with pytest.raises(Exception, match="no encoder"):
+        asked(spark, "alpha").select(embed(F.col("q"), unreachable, on_error="fail")).collect()
