@@ -29,9 +29,13 @@ def latency_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def latency_histogram(log: DataFrame) -> DataFrame:
+def bucket_rows(summary: DataFrame) -> DataFrame:
     """One row per label pair and bucket: ``status, shard, le, n``, with ``le = +Inf`` last."""
     names = F.array(*[F.lit(str(b)) for b in LATENCY_BOUNDS], F.lit("+Inf"))
     pairs = F.arrays_zip(names.alias("le"), F.col("buckets").alias("n"))
-    rows = latency_summary(log).select(*LABELS, "latency_sum", "latency_count", F.inline(pairs))
+    rows = summary.select(*LABELS, "latency_sum", "latency_count", F.inline(pairs))
     return rows.toDF(*LABELS, "latency_sum", "latency_count", "le", "n")
+
+
+def latency_histogram(log: DataFrame) -> DataFrame:
+    return bucket_rows(latency_summary(log))

@@ -77,3 +77,8 @@ def hot_listing(kv: DataFrame) -> DataFrame:
     fields = rows.groupBy(F.get("p", F.lit(0)).alias("term"), F.get("p", F.lit(1)).alias("field")).agg(F.max("value").alias("value"))
     entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value"))))
     return fields.groupBy("term").agg(entries.alias("entries"))
+
+
+def hot_term_count(kv: DataFrame) -> DataFrame:
+    """``n_terms``, the number of terms that ``hot_listing`` has: one row."""
+    return hot_listing(kv).agg(F.count("term").alias("n_terms"))

@@ -369,7 +369,8 @@ SELECT h.query_id, r.routing_type, h.shard, h.id, h.score FROM hits h JOIN route
   SELECT '/hot_terms/' || term || '/stats' AS key, 'hits:' || hits || ' shards:' || shards || ' ts:' || ts AS value FROM stats),
 all_kv AS (SELECT * FROM kv WHERE key NOT IN (SELECT key FROM written) UNION ALL SELECT * FROM written),
 parts AS (SELECT string_split(substr(key, 12), '/') AS p, value FROM all_kv WHERE starts_with(key, '/hot_terms/'))
-SELECT p[1] AS term, max(value) FILTER (p[2] = 'shards') AS shards, max(value) FILTER (p[2] = 'stats') AS stats, count(*) AS n_fields
+SELECT p[1] AS term, max(value) FILTER (p[2] = 'shards') AS shards, max(value) FILTER (p[2] = 'stats') AS stats, count(*) AS n_fields,
+  count(*) OVER () AS n_terms
 FROM parts WHERE len(p) = 2 GROUP BY 1""",
         "cosine_to_query": f"""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = {QUERY_VECTOR_ID})
 SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT v FROM q)), 6) AS to_query, 0.0::DOUBLE AS unequal,
@@ -405,8 +406,10 @@ SELECT min(query_id) OVER (PARTITION BY q, lim) AS answer_id, query_id, concat_w
         "stream_upsert": f"""WITH {REVISED}
 SELECT c.id, c.shard, md5(c.body) AS body_md5, count(t.term) AS n_words FROM corpus c LEFT JOIN tokens t USING (id) GROUP BY ALL""",
         "stream_collapse": f"WITH {LOG} SELECT DISTINCT q, lim AS \"limit\" FROM log",
+        "stream_hot_stats": f"WITH {LOG_ROUTES} SELECT term, hits, shards, ts FROM stats",
         "stream_metrics": f"WITH {LOG} SELECT status, shard, count(*) AS n FROM log GROUP BY ALL",
     }
+    sql["stream_latency"] = sql["latency_histogram"]
     for key in ("bool_match", "field_match", "wildcard_match", "fuzzy_match", "boosted_match"):
         sql[key] = f"{clause_hits(key)} SELECT query_id, id, score FROM hits"
     return sql

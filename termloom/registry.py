@@ -26,9 +26,9 @@ from .operators.ingest import (
 )
 from .operators.matching import match_clauses, range_docs
 from .operators.queries import collapse_repeats, hybrid_defaults, keyword_defaults, rejected
-from .operators.querylog import latency_histogram, query_counts
+from .operators.querylog import bucket_rows, latency_histogram, query_counts
 from .operators.ranking import fetch_fields
-from .operators.routing import hot_listing, last_hot_stats, put_entries, route, stats_entries
+from .operators.routing import hot_listing, hot_term_count, last_hot_stats, put_entries, route, stats_entries
 from .plans.hybrid import HybridSearch
 from .plans.search import KeywordSearch
 from .session import configure, work_path
@@ -38,7 +38,7 @@ from .sources.jsonl import bad, good, read_documents, write_documents, write_sha
 from .sources.pages import read_pages, write_pages
 from .sources.tables import local_table, query_log, spread, table
 from .streaming.ingest import stream_upserts
-from .streaming.log import stream_collapse, stream_query_counts, write_snapshots
+from .streaming.log import stream_collapse, stream_hot_stats, stream_latency, stream_query_counts, write_snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -474,8 +474,9 @@ def q_hot_stats(spark, sf):
 def q_hot_listing(spark, sf):
     stats = last_hot_stats(routed_log(spark, sf))
     kv = put_entries(hot_entries(spark, sf), stats_entries(stats))
-    return hot_listing(kv).select(
+    return hot_listing(kv).join(F.broadcast(hot_term_count(kv))).select(  # the count is one row
         "term",
+        "n_terms",
         F.col("entries")["shards"].alias("shards"),
         F.col("entries")["stats"].alias("stats"),
         F.size("entries").cast("long").alias("n_fields"),
@@ -624,16 +625,29 @@ def q_stream_collapse(spark, sf):
     return spark.read.schema("q string, limit int").parquet(out).select("q", F.col("limit").cast("long").alias("limit"))
 
 
-def q_stream_metrics(spark, sf):
-    path, out, checkpoint = (work_path(spark, n) for n in ("log", "counts", "stream"))
-    spread(query_log(spark, sf)).write.parquet(path)
-    stream = spark.readStream.schema(query_log(spark, sf).schema).parquet(path)
-    write_snapshots(stream_query_counts(stream), out, checkpoint).awaitTermination()
+def streamed(spark: SparkSession, log: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The last result of a running aggregation over ``log``, read as a stream of files."""
+    path, out, checkpoint = (work_path(spark, n) for n in ("log", "snapshots", "stream"))
+    spread(log).write.parquet(path)
+    stream = spark.readStream.schema(log.schema).parquet(path)
+    write_snapshots(make(stream), out, checkpoint).awaitTermination()
     snapshots = spark.read.parquet(out)
     newest = snapshots.agg(F.max("batch")).collect()[0][0]
     return snapshots.where(F.col("batch") == newest).drop("batch")
 
 
+def q_stream_metrics(spark, sf):
+    return streamed(spark, query_log(spark, sf), stream_query_counts)
+
+
+def q_stream_latency(spark, sf):
+    return bucket_rows(streamed(spark, query_log(spark, sf), stream_latency))
+
+
+def q_stream_hot_stats(spark, sf):
+    return streamed(spark, routed_log(spark, sf), stream_hot_stats)
+
+
 QUERIES: dict[str, Query] = {
     "clean_pages": q_clean_pages,
     "page_scan_xml": q_page_scan_xml,
@@ -688,6 +702,8 @@ QUERIES: dict[str, Query] = {
     "stream_upsert": q_stream_upsert,
     "stream_collapse": q_stream_collapse,
     "stream_metrics": q_stream_metrics,
+    "stream_latency": q_stream_latency,
+    "stream_hot_stats": q_stream_hot_stats,
 }
 
 
