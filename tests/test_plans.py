@@ -3,8 +3,12 @@
 import pytest
 
 from termloom import registry
+from termloom.operators.indexing import build_index, upsert_index
+from termloom.operators.ranking import fetch_fields
 from termloom.plans.hybrid import HybridSearch
 from termloom.plans.search import KeywordSearch
+from termloom.session import work_path
+from termloom.sources.tables import local_table
 
 from .conftest import SF
 
@@ -17,7 +21,6 @@ def plan(df) -> str:
 @pytest.fixture
 def as_large(monkeypatch):
     """Plans as a batch too large for literals gets them."""
-    monkeypatch.setattr("termloom.operators.ranking.COLLECT_ROWS", 0)
     monkeypatch.setattr("termloom.operators.scoring.KNOWN_WORDS", 0)
 
 
@@ -45,15 +48,27 @@ def test_small_batches_are_pruned_by_literals(spark, index):
     search = KeywordSearch(index, registry.keyword_table(spark, [(1, "ertion thing", 3)]))
     found = scans(plan(search.top()), "postings")
     assert found and all("bucket" in x and "IN (" in x and "In(term" in x for x in found)
+
+
+def test_winners_are_fetched_in_one_plan_that_prunes(spark, index):
+    search = KeywordSearch(index, registry.keyword_table(spark, [(1, "ertion thing", 3)]))
     fetched = scans(plan(search.results()), "docs")
-    assert fetched and all("shard" in x and "IN (" in x and "In(id" in x for x in fetched)
+    assert fetched and all("dynamicpruning" in x for x in fetched)
+
+
+def test_replaced_documents_are_not_looked_for_again(spark):
+    docs = local_table(spark, [(str(i), "t", f"alpha word{i}") for i in range(20)], "id string, title string, body string")
+    index = upsert_index(build_index(docs, work_path(spark, "seg")), docs.where("id < '15'"))
+    search = KeywordSearch(index, local_table(spark, [(1, "alpha", 50)], "query_id int, q string, limit int"))
+    winners = local_table(spark, [("3", index.deltas[0])], "id string, seg long")
+    assert not scans(plan(fetch_fields(index, winners, 1, "title")), "tombstones")
+    assert search.results().count() == 20
 
 
 def test_large_and_small_batches_agree(spark, index, monkeypatch):
     query = registry.keyword_table(spark)
     rows = lambda: sorted(tuple(r) for r in KeywordSearch(index, query).results().collect())
     small = rows()
-    monkeypatch.setattr("termloom.operators.ranking.COLLECT_ROWS", 0)
     monkeypatch.setattr("termloom.operators.scoring.KNOWN_WORDS", 0)
     assert rows() == small
 
