@@ -114,7 +114,7 @@ def keep_one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each component left: the smallest id, of equal ids the smallest
     fingerprint, of rows equal in both any one. All columns are returned as they came."""
     prepare(docs.sparkSession)
-    fp = fresh_name(docs, "_fp")
+    fp, id_, null = (fresh_name(docs, f"_{n}") for n in ("fp", "id", "null"))
     with_fp = stored(docs.withColumn(fp, fingerprint_column(text_or_empty())), "simhash-docs")
     narrow = with_fp.select("doc_id", F.col(fp).alias("fp"))
     classes = fingerprint_classes(narrow)
@@ -122,6 +122,10 @@ def keep_one_per_component(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("fp"))
     first = narrow.groupBy("fp").agg(F.min(order).alias("o")).join(classes, "fp")
     best = first.groupBy("class_fp").agg(F.min("o").alias("o"))
-    best = best.select(F.col("o.doc_id").alias("best_id"), F.col("o.fp").alias("best_fp"))
-    kept = with_fp.join(best, with_fp["doc_id"].eqNullSafe(best["best_id"]) & (with_fp[fp] == best["best_fp"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", fp]).drop(fp)
+    # A null id in two columns, so that the join and the search for repeated rows deal out texts by the same keys, once.
+    keys = [id_, null, fp]
+    best = best.select(
+        F.coalesce("o.doc_id", F.lit(0)).alias(id_), F.col("o.no_id").alias(null), F.col("o.fp").alias(fp)
+    )
+    placed = with_fp.withColumn(id_, F.coalesce("doc_id", F.lit(0))).withColumn(null, F.col("doc_id").isNull())
+    return placed.join(best, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
