@@ -90,15 +90,13 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _segmentations(rows: DataFrame, keys: list[str]) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    found = sample_segmentations(turns, path, ["conv_id", "turn"])
+    found = sample_segmentations(rows, path, keys)
     return found.select(
-        "conv_id",
-        "turn",
+        *keys,
         "sample",
         (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"),
@@ -109,6 +107,15 @@ def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_document_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segmentations(documents(spark, sf_dir), ["doc_id"])
+
+
+def op9_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of each turn of the conversations."""
+    return _segmentations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), ["conv_id", "turn"])
+
+
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
@@ -133,7 +140,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_fingerprints, op2_packing, op3_passages, op4_chat, op5_simhash, op6_line_dedup, op7_embedding_dedup, op8_personal_data, op9_segmentations, op10_toxicity)
+        for f in (op1_fingerprints, op2_packing, op3_passages, op4_chat, op5_simhash, op6_line_dedup, op7_embedding_dedup, op8_personal_data, op9_document_segmentations, op9_segmentations, op10_toxicity)
     }
 
 
