@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -16,22 +17,27 @@ Encoder = Callable[[], Encode]
 """Called once per task, so that a model is loaded once and not per batch."""
 
 
-def _encode_each(encode: Encode, texts: list[str]) -> list[list[float] | None]:
-    """A batch at a time; when a batch fails, text by text, so that one bad text costs only its own vector."""
+def _encode_each(encode: Encode, texts: list[str]) -> tuple[list[list[float] | None], bool]:
+    """Vectors, a batch at a time; when a batch fails, text by text, so that one bad text costs only its own vector. And
+    whether the encoder was out of reach: what it refuses for its content is no outage."""
     try:
         vectors = encode(texts)
         if len(vectors) == len(texts) and all(len(v) > 0 for v in vectors):
-            return [list(v) for v in vectors]
+            return [list(v) for v in vectors], False
     except Exception:
         pass
     out: list[list[float] | None] = []
+    lost = 0
     for text in texts:
         try:
             vector = list(encode([text])[0])
             out.append(vector if vector else None)
+        except OUTAGES:
+            lost += 1
+            out.append(None)
         except Exception:
             out.append(None)
-    return out
+    return out, lost > 0 and lost == len(texts)
 
 
 def _encode_all(encode: Encode, texts: list[str]) -> list[list[float]]:
@@ -43,33 +49,45 @@ def _encode_all(encode: Encode, texts: list[str]) -> list[list[float]]:
     return vectors
 
 
-#: Batches in a row without one vector, after which a task takes the encoder for unreachable.
+#: Batches in a row that meet an outage in every text, after which a task takes the encoder for unreachable.
 GIVE_UP = 3
+#: What an encoder raises when it can't be reached, not when it refuses a text. ``OSError`` has connections and time-outs.
+OUTAGES = (OSError, EOFError)
 
 
 def embed(text: Column, encoder: Encoder, on_error: str = "null") -> Column:
     """Vectors for a text column. ``on_error="null"`` keeps failed rows without vector, ``"fail"`` fails the job.
 
-    With ``"null"`` an encoder that can't be loaded, or stops answering, leaves all further rows of its task without
-    vector, so a build goes on for keywords only.
+    With ``"null"`` an encoder that can't be loaded, or stops answering (``OUTAGES``), leaves all further rows of its task
+    without vector, so a build goes on for keywords only; the task's log has the number of rows that were not tried. Texts
+    that the encoder refuses, however many in a row, stop nothing.
     """
     if on_error not in ("null", "fail"):
         raise ValueError(f"unknown on_error: {on_error}")
-    run = _encode_each if on_error == "null" else _encode_all
 
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode, failed = None, 0
+        encode, failed, skipped = None, 0, 0
         try:
             encode = encoder()
         except Exception:
             if on_error == "fail":
                 raise
-        for batch in batches:
-            texts = batch.fillna("").tolist()
-            found = run(encode, texts) if encode and failed < GIVE_UP else [None] * len(texts)
-            failed = failed + 1 if texts and not any(found) else 0 if failed < GIVE_UP else failed
-            yield pd.Series(found, index=batch.index, dtype="object")
+        try:
+            for batch in batches:
+                texts = batch.fillna("").tolist()
+                if on_error == "fail":
+                    found = _encode_all(encode, texts)
+                elif encode is None or failed >= GIVE_UP:
+                    found = [None] * len(texts)
+                    skipped += len(texts)
+                else:
+                    found, outage = _encode_each(encode, texts)
+                    failed = failed + 1 if outage else 0
+                yield pd.Series(found, index=batch.index, dtype="object")
+        finally:
+            if skipped:
+                print(f"encoder out of reach: {skipped} rows without vector, not tried", file=sys.stderr, flush=True)
 
     return vectors(text)
 
