@@ -240,9 +240,9 @@ def _links(reps: DataFrame, clusters: Clusters, overlap: int, least: float) -> D
     parts = {r["shard"]: -(-r["count"] // MOST) for r in sizes.where(F.col("count") > MOST).collect()}
     split = spark.createDataFrame([*parts.items(), (-1, 1)], "shard int, parts int")
     one = placed.select("id", "embedding", F.explode("shards").alias("shard")).join(F.broadcast(split), "shard", "left")
-    # A large shard's members are dealt twice, by different hashes, so that its parts overlap as well.
+    # A large shard's members are dealt as often as shards overlap, by different hashes, so that its parts overlap as well.
     deals = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(
-        F.array_distinct(F.array(*(F.pmod(F.xxhash64(F.lit(d), "id"), "parts").cast("int") for d in range(OVERLAP))))
+        F.array_distinct(F.array(*(F.pmod(F.xxhash64(F.lit(d), "id"), "parts").cast("int") for d in range(overlap))))
     )
     members = one.select("id", "embedding", "shard", F.explode(deals).alias("part"))
     members = members.select("id", "embedding", (F.col("shard").cast("long") * (1 << 24) + F.col("part")).alias("cell"))
@@ -310,6 +310,33 @@ def audit_recall(reps: DataFrame, links: DataFrame, least: float = LEAST_COSINE,
     return hit / there if there else 1.0
 
 
+def exact_links(reps: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
+    """All directed links ``(a, b)`` of different vectors of ``reps``, by blocks of rows held against each other: exact, and
+    of square cost within a label."""
+    sizes = reps.groupBy("label", "width").agg(F.ceil(F.count(F.lit(1)) / MOST).cast("int").alias("blocks"))
+    sizes = sizes.select(F.col("label").alias("label_"), F.col("width").alias("width_"), "blocks")
+    rows = reps.join(sizes, (F.col("label") == F.col("label_")) & (F.col("width") == F.col("width_")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("exact"), "id"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "id", "embedding", "label", "width", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids, blocks = np.array(table.column("id").to_pylist(), dtype=np.int64), np.array(table.column("block").to_pylist())
+        v = unit_rows(table.column("embedding").to_pylist())
+        x, y = np.flatnonzero(blocks == i), np.flatnonzero(blocks == j)
+        p, q = np.nonzero(v[x] @ v[y].T >= least) if len(x) and len(y) else (np.empty(0, int), np.empty(0, int))
+        a, b = ids[x[p]], ids[y[q]]
+        a, b = a[a != b], b[a != b]
+        if i != j:
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return stored(rows.groupBy("label", "width", "i", "j").applyInArrow(run, "a long, b long"), "exact-links")
+
+
 def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors (vec_id, embedding, label)``.
 
@@ -317,7 +344,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     finite vector and a null label link with nothing; equal vectors are one node of the graph and all linked with each
     other. Rows are vectors, also repeated ones; a null id takes part in counts only, with a null component of its own.
     Other columns are ignored. No link is below ``least``; shards overlap more until the audited recall is
-    ``LEAST_RECALL``.
+    ``LEAST_RECALL``. If it isn't at ``MAX_OVERLAP``, all vectors of a label are compared.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -331,7 +358,10 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     overlap = OVERLAP
     while True:
         links = _links(reps, clusters, overlap, least)
-        if overlap >= MAX_OVERLAP or audit_recall(reps, links, least) >= LEAST_RECALL:
+        if audit_recall(reps, links, least) >= LEAST_RECALL:
+            break
+        if overlap >= MAX_OVERLAP:
+            links = exact_links(reps, least)
             break
         overlap *= 2
     weights = reps.select(F.col("id").alias("b"), "n")
