@@ -48,3 +48,23 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+#: Narrow rows that are broadcast, after they have been counted; copies of a row when there are more.
+BROADCAST_ROWS = 200_000
+SALTS = 16
+
+
+def spread_join(rows: DataFrame, narrow: DataFrame, key: str, deal: Column) -> DataFrame:
+    """``rows`` with the columns of ``narrow``, which has each ``key`` once (null is a key like any other).
+
+    Few narrow rows are broadcast. Beyond that, every narrow row is copied ``SALTS`` times and a row of ``rows`` meets the
+    copy that the hash ``deal`` picks, so that a key of a third of all rows is work for many tasks.
+    """
+    if narrow.count() <= BROADCAST_ROWS:
+        other = narrow.withColumnRenamed(key, "_key")
+        return rows.join(F.broadcast(other), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    copies = narrow.withColumnRenamed(key, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(deal, F.lit(SALTS)).cast("int"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_copy"))
+    return dealt.join(copies, same, "left").drop("_key", "_copy", "_salt")

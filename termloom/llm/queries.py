@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import local_table
+from .bpe import tokenize
 from .chat import canonical_turns, format_turns, read_back
+from .codes import vector_codes
 from .common import documents
 from .lines import MIN_SITES, remove_spread_lines
 from .packing import pack
@@ -18,6 +20,7 @@ from .segment import decode_column, sample_segmentations
 from .simhash import simhash_components
 from .toxicity import THRESHOLD, score_documents
 from .vectors import near_vectors
+from .whitening import whiten
 from .winnow import as_text, fingerprint_with_next, likeness
 
 
@@ -137,10 +140,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = tokenize(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_fingerprints, op2_packing, op3_passages, op4_chat, op5_simhash, op6_line_dedup, op7_embedding_dedup, op8_personal_data, op9_document_segmentations, op9_segmentations, op10_toxicity)
+        for f in (
+            op1_fingerprints, op2_packing, op3_passages, op4_chat, op5_simhash, op6_line_dedup, op7_embedding_dedup,
+            op8_personal_data, op9_document_segmentations, op9_segmentations, op10_toxicity, op11_byte_pairs,
+            op12_vector_codes, op13_whitening,
+        )
     }
 
 
