@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm.common import documents, stored
 from termloom.llm.lines import remove_spread_lines
-from termloom.llm.nearcopies import keep_one_of_near_copies
 from termloom.llm.packing import pack
 from termloom.llm.pii import redact_documents
 from termloom.llm.queries import byte_bpe, training_labels
+from termloom.llm.simhash import keep_one_per_component
 from termloom.llm.toxicity import drop_toxic
 
 
@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: rows of five words, a Jaccard similarity of 0.8 or more."""
-    return keep_one_of_near_copies(docs)
+    """One document of each SimHash component stays: shingles of three words, fingerprints within two bits."""
+    return keep_one_per_component(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
