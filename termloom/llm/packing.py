@@ -8,12 +8,14 @@ up first. What is open at the end is merged over partitions, tree-wise, until on
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ END_ID = 1
 OPEN = 32
 #: No document is cut for the sake of fewer tokens than this; so many are padded instead.
 LEAST_CUT = 16
+#: Texts with a run of so many characters of one kind go word by word: the fast encoder's pattern matcher overflows on them.
+LONG_RUN = re.compile(r"\s{50000}|\w{50000}|[^\s\w]{50000}")
 #: Partitions whose leftovers one task merges: at most FAN * OPEN windows.
 FAN = 64
 
@@ -55,6 +59,17 @@ def encoder(ranks_path: str, pattern: str):
     return tiktoken.Encoding(ranks_path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(text: str, ranks_path: str, pattern: str) -> list[int]:
+    """Token ids of any text, however long its words or runs of white space are."""
+    fast = encoder(ranks_path, pattern)
+    if len(text) < 50_000 or not LONG_RUN.search(text):
+        return fast.encode_ordinary(text)
+    ids: list[int] = []
+    for word in regex.finditer(pattern, text):
+        ids += fast._encode_single_piece(word.group().encode())
+    return ids
+
+
 class Packer:
     """Open windows of one task. ``done`` collects pieces of emitted windows."""
 
@@ -115,11 +130,10 @@ class Packer:
 
 def _pack_texts(ranks_path: str, pattern: str, seq_len: int, n_open: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern).encode_ordinary
         packer = Packer(seq_len, n_open, TaskContext.get().partitionId() << 28)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text)
+                ids = encode(text, ranks_path, pattern)
                 ids.append(end_id)
                 packer.add(doc_id, 0, len(ids), np.array(ids, dtype="<u4"))
                 if len(packer.done) >= 256:
