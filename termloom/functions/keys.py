@@ -25,6 +25,11 @@ def slot_of(doc_id: Column, n_slots: int) -> Column:
     return F.pmod(F.xxhash64(doc_id), F.lit(n_slots)).cast("int")
 
 
+def slice_number(doc_id: Column, shard: Column, per_shard: int) -> Column:
+    """Slices cut shards by a hash of the id: slice ``shard * per_shard + k``."""
+    return shard * F.lit(per_shard) + F.pmod(F.xxhash64(F.lit("slice"), doc_id), F.lit(per_shard)).cast("int")
+
+
 def int_list(value: Column) -> Column:
     """``"0, 1,x"`` to ``[0, 1]``: split on commas, trim, ignore what is no integer."""
     # The pattern keeps out what SQL would cast but a plain integer parser would not, such as "1.0".

@@ -18,10 +18,13 @@ from ..sources.index_store import (
     new_segment,
     open_index,
     union,
+    with_slice,
     write_segment,
+    write_sliced,
 )
 from .embedding import Encoder, embed
 from .ingest import take_first
+from .lexicon import write_lexicon
 
 
 def newest_per_id(docs: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def prepare_docs(
 
 
 def posting_rows(docs: DataFrame, layout: Layout) -> DataFrame:
-    """One row per document and term: frequency and length per field, and all places of the term.
+    """One row per document and term: frequency and length per field, all places of the term, slice of the document.
 
     A place is ``field number * FIELD_GAP + position``, so one array serves all fields and neighbours never cross a
     field border. Words are grouped inside the row (sort, find where runs start, slice), so single words are never
@@ -70,10 +73,11 @@ def posting_rows(docs: DataFrame, layout: Layout) -> DataFrame:
     """
     fields = layout.fields
     placed = [analyzed(F.col(f), i * FIELD_GAP).alias(f"_w_{f}") for i, f in enumerate(fields)]
-    per_field = docs.select("id", "shard", *placed)
+    per_field = docs.select("id", "shard", "slice", *placed)
     sorted_words = per_field.select(
         "id",
         "shard",
+        "slice",
         *[F.size(f"_w_{f}").alias(f"dl_{f}") for f in fields],
         F.sort_array(F.concat(*[F.col(f"_w_{f}") for f in fields])).alias("_w"),
     )
@@ -88,12 +92,13 @@ def posting_rows(docs: DataFrame, layout: Layout) -> DataFrame:
             F.slice("_w", s + 1, F.coalesce(F.get("_starts", k + 1), n_words) - s)["pos"].alias("places"),
         ),
     )
-    rows = runs.select("id", "shard", *[f"dl_{f}" for f in fields], F.explode(entry).alias("e"))
+    rows = runs.select("id", "shard", "slice", *[f"dl_{f}" for f in fields], F.explode(entry).alias("e"))
     per_field_columns = []
     for i, f in enumerate(fields):
         per_field_columns += [_count_in_field(F.col("e.places"), i).alias(f"tf_{f}"), F.col(f"dl_{f}")]
     return rows.select(
-        "e.term", "id", "shard", *per_field_columns, "e.places", bucket_of(F.col("e.term"), layout.term_buckets).alias("bucket")
+        "e.term", "id", *per_field_columns, "e.places", "slice", "shard",
+        bucket_of(F.col("e.term"), layout.term_buckets).alias("bucket"),
     )
 
 
@@ -108,15 +113,42 @@ def _count_in_field(places: Column, field: int) -> Column:
     )
 
 
+LENGTH_CLASSES = 4  # to a doubling
+
+
 def term_counts(postings: DataFrame, layout: Layout, sign: int = 1) -> DataFrame:
-    """Document and collection frequency per shard and term; ``sign=-1`` takes documents away."""
-    counts = []
-    for f in layout.fields:
-        counts += [
-            (F.count_if(F.col(f"tf_{f}") > 0) * sign).alias(f"df_{f}"),
-            (F.sum(f"tf_{f}").cast("long") * sign).alias(f"ctf_{f}"),
-        ]
-    return postings.groupBy("bucket", "term", "shard").agg(*counts, (F.count("*") * sign).alias("df_all"))
+    """Document and collection frequency per shard and term, and its ``tops``; ``sign=-1`` takes documents away.
+
+    ``tops`` hold for each class of document lengths the highest frequency and the least length, per field and for all:
+    no document of the class can score more than one with both.
+    """
+    total = lambda kind: sum((F.col(f"{kind}_{f}") for f in layout.fields[1:]), F.col(f"{kind}_{layout.fields[0]}"))
+    names = [*layout.fields, "all"]
+    counts, tops, sums, lists = [], [], [], []
+    for f in names:
+        tf, dl = (total("tf"), total("dl")) if f == "all" else (F.col(f"tf_{f}"), F.col(f"dl_{f}"))
+        counts.append((F.count_if(tf > 0) * sign).alias(f"df_{f}"))
+        sums.append(F.sum(f"df_{f}").alias(f"df_{f}"))
+        if f != "all":
+            counts.append((F.sum(tf).cast("long") * sign).alias(f"ctf_{f}"))
+            sums.append(F.sum(f"ctf_{f}").alias(f"ctf_{f}"))
+        here = F.when(tf > 0, dl)
+        tops.append(F.when(F.max(tf) > 0, F.struct(F.max(tf).alias("tf"), F.min(here).alias("dl"))).alias(f"top_{f}"))
+        # A class of lengths has one entry, so a list is short however frequent the term is.
+        lists.append((F.collect_list(f"top_{f}") if sign > 0 else F.array().cast(TOPS)).alias(f"tops_{f}"))
+    of_class = F.floor(LENGTH_CLASSES * F.log2(total("dl") + 1.0)).cast("int")
+    per_class = postings.groupBy("bucket", "term", "shard", of_class.alias("_class")).agg(*counts, *tops)
+    return per_class.groupBy("bucket", "term", "shard").agg(*sums, *lists)
+
+
+TOPS = "array<struct<tf:int,dl:int>>"
+
+
+def summed_stats(rows: DataFrame) -> DataFrame:
+    """Statistics of several segments as one: counts add up, tops are put side by side."""
+    sums = [F.sum(c).alias(c) for c in rows.columns if c.startswith(("df_", "ctf_"))]
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in rows.columns if c.startswith("tops_")]
+    return rows.groupBy("bucket", "term", "shard").agg(*sums, *lists)
 
 
 def shard_counts(docs: DataFrame, stats: DataFrame, layout: Layout, sign: int = 1) -> DataFrame:
@@ -162,12 +194,17 @@ def _write_base(index: SearchIndex, docs: DataFrame) -> None:
     write_segment(docs, at("docs", seg), "docs", ("id",), base=True)
     # From here on the written tables are read back: nothing upstream is computed twice or recomputed on a loss.
     docs = index.segment("docs", seg)
-    write_segment(posting_rows(docs, layout), at("postings", seg), "postings", TERM_ORDER, base=True)
+    # Texts move to their slices, which is far less than their postings would be.
+    texts = docs.select("id", "shard", *[f for f in layout.fields if f != "id"])
+    texts = with_slice(texts, layout).repartition(layout.slice_count, "slice")
+    write_sliced(posting_rows(texts, layout), index)
     write_segment(
-        term_counts(index.segment("postings", seg), layout), at("term_stats", seg), "term_stats", ("term", "shard"), base=True
+        term_counts(index.sliced_postings(), layout), at("term_stats", seg), "term_stats", ("term", "shard"), base=True
     )
     stats = shard_counts(docs, index.segment("term_stats", seg), layout)
     write_segment(stats, at("shard_stats", seg), "shard_stats", (), base=True)
+    if layout.lexicon:
+        write_lexicon(index)
 
 
 MAX_ATTEMPTS = 5
@@ -209,15 +246,12 @@ def _upsert(
     write_segment(replaced, at("tombstones", seg), "tombstones", ("id",), base=False)
     dead = target.segment("tombstones", seg)
     old = read_replaced(index, dead)
-    write_segment(posting_rows(new, layout), at("postings", seg), "postings", TERM_ORDER, base=False)
+    write_segment(posting_rows(with_slice(new, layout), layout), at("postings", seg), "postings", TERM_ORDER, base=False)
     delta = union([
         term_counts(target.segment("postings", seg), layout),
-        term_counts(posting_rows(old, layout), layout, sign=-1),
+        term_counts(posting_rows(with_slice(old, layout), layout), layout, sign=-1),
     ])
-    sums = [F.sum(c).alias(c) for c in delta.columns if c.startswith(("df_", "ctf_"))]
-    write_segment(
-        delta.groupBy("bucket", "term", "shard").agg(*sums), at("term_stats", seg), "term_stats", ("term", "shard"), base=False
-    )
+    write_segment(summed_stats(delta), at("term_stats", seg), "term_stats", ("term", "shard"), base=False)
     change = union([
         new.groupBy("shard").agg(F.count("*").alias("n")),
         dead.groupBy("shard").agg((-F.count("*")).alias("n")),
@@ -270,10 +304,11 @@ def merge_deltas(index: SearchIndex) -> SearchIndex:
         write_segment(live, at(table, seg), table, order, base=False)
     gone = index.delta_rows("tombstones").groupBy("id", "shard", "slot").agg(F.max("file").alias("file"))
     write_segment(gone, at("tombstones", seg), "tombstones", ("id",), base=False)
-    for table, keys in (("term_stats", ["bucket", "term", "shard"]), ("shard_stats", ["shard"])):
-        rows = index.delta_rows(table).drop("seg")
-        sums = [F.sum(c).alias(c) for c in rows.columns if c not in keys]
-        write_segment(rows.groupBy(*keys).agg(*sums), at(table, seg), table, tuple(keys[1:]), base=False)
+    stats = summed_stats(index.delta_rows("term_stats").drop("seg"))
+    write_segment(stats, at("term_stats", seg), "term_stats", ("term", "shard"), base=False)
+    rows = index.delta_rows("shard_stats").drop("seg")
+    sums = [F.sum(c).alias(c) for c in rows.columns if c != "shard"]
+    write_segment(rows.groupBy("shard").agg(*sums), at("shard_stats", seg), "shard_stats", (), base=False)
     return commit(target)
 
 

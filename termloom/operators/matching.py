@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import slot_of
 from ..functions.text import analyzed
+from ..session import counted
 from ..sources.index_store import FIELD_GAP, SearchIndex, union
+from .lexicon import pattern_grams, terms_by_pattern, terms_within
 from .queries import small
-from .scoring import ALL, matching_postings, round_score, term_weights
+from .scoring import ALL, matching_postings, round_score, summed_per_document, term_weights
 
 KEY_LENGTH = 32
 PATTERN_KINDS = ("prefix", "wildcard", "regexp")
@@ -46,21 +48,25 @@ def _pattern(kind: Column, value: Column) -> Column:
     return F.concat(F.lit("^(?:"), body, F.lit(")$"))
 
 
-def expand_patterns(index: SearchIndex, clauses: DataFrame, n_clauses: int, field: str) -> DataFrame:
-    """Clause rows with every ``term`` of the vocabulary they match.
+def expand_patterns(index: SearchIndex, clauses: DataFrame, n_clauses: int, n_grams: int) -> DataFrame:
+    """Clause rows with every ``term`` of the vocabulary they match; ``n_grams`` bounds the characters of all clauses.
 
-    Terms and clauses meet on the clause's literal prefix, an equality, and the pattern is checked afterwards; only
-    clauses that start with a wildcard have to look at every term.
+    Terms are found by the grams of a pattern's fixed parts, and checked against the pattern. A pattern without a gram
+    meets terms on its literal prefix, and on nothing if it has none: only such a clause looks at every term.
     """
+    has_gram = F.size(pattern_grams(F.col("kind"), F.col("value"))) > 0
     keyed = clauses.withColumn("_key", _literal_prefix(F.col("kind"), F.col("value"))).withColumn(
         "_pattern", _pattern(F.col("kind"), F.col("value"))
     )
-    # At most KEY_LENGTH + 1 different lengths.
-    lengths = sorted(r[0] for r in keyed.select(F.length("_key")).distinct().collect())
-    starts = F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths])
-    terms = vocabulary(index, field).select("term", F.explode(F.array_compact(starts)).alias("_key"))
-    pairs = terms.join(small(keyed, n_clauses), "_key").where(F.rlike("term", F.col("_pattern")))
-    return pairs.drop("_key", "_pattern").distinct()
+    short = keyed.where(~has_gram)
+    pairs = terms_by_pattern(index, keyed.where(has_gram).drop("_key"), n_grams)
+    # At most KEY_LENGTH + 1 different lengths; none if all patterns have grams.
+    lengths = sorted(r[0] for r in short.select(F.length("_key")).distinct().collect())
+    if lengths:
+        starts = F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths])
+        terms = vocabulary(index, ALL).select("term", F.explode(F.array_compact(starts)).alias("_key"))
+        pairs = pairs.unionByName(terms.join(small(short, n_clauses), "_key").select(*pairs.columns))
+    return pairs.where(F.rlike("term", F.col("_pattern"))).drop("_pattern").distinct()
 
 
 def fuzzy_distance(value: Column) -> Column:
@@ -69,25 +75,20 @@ def fuzzy_distance(value: Column) -> Column:
 
 def expand_fuzzy(index: SearchIndex, clauses: DataFrame, n_clauses: int, field: str, max_distance: int) -> DataFrame:
     """Clause rows with every term within the clause's edit distance: ``~n``, 1 by default, none above ``max_distance``.
+    Of a single ``field``, terms that are used elsewhere only drop out when they are weighted.
 
-    n edits change the length by at most n, so terms and clauses meet on an equal length, each clause standing at all
-    lengths it can reach; the edit distance is checked on those pairs, and given up early beyond ``max_distance``.
+    Words meet terms on strings that deletions leave of both; the distance is checked on those pairs.
     """
-    word, n = F.col("_word"), F.col("_n")
     wanted = clauses.withColumn("_word", F.lower(F.regexp_replace("value", r"~[0-9]*$", "")))
     wanted = wanted.withColumn("_n", fuzzy_distance(F.col("value")))
-    reach = F.sequence(F.greatest(F.length(word) - n, F.lit(1)), F.length(word) + n)
-    wanted = wanted.withColumn("_length", F.explode(reach))
-    terms = vocabulary(index, field).withColumn("_length", F.length("term"))
-    pairs = terms.join(small(wanted, n_clauses * (2 * max_distance + 1)), "_length")
-    near = F.levenshtein("term", "_word", max_distance)
-    return pairs.where((near >= 0) & (near <= n)).drop("_n", "_word", "_length").distinct()
+    return terms_within(index, wanted, n_clauses, max_distance).drop("_n", "_word")
 
 
 def clause_terms(
-    index: SearchIndex, clauses: DataFrame, field: str, n_clauses: int, kinds: set[str], max_distance: int = 1
+    index: SearchIndex, clauses: DataFrame, field: str, n_clauses: int, kinds: set[str], max_distance: int, n_chars: int
 ) -> DataFrame:
-    """Every clause on ``field`` as weighted terms: ``query_id, clause_no, occur, term, weight``."""
+    """Every clause on ``field`` as weighted terms: ``query_id, clause_no, occur, term, weight``. Terms found by pattern or
+    likeness may not be used in the field; they have no weight there."""
     here = clauses.where(F.col("field") == field)
     parts = []
     if "match" in kinds:
@@ -95,7 +96,7 @@ def clause_terms(
         split = here.where(F.col("kind") == "match")
         parts.append(split.select(*CLAUSE, "boost", F.explode(analyzed(F.col("value"))["term"]).alias("term")))
     if kinds & set(PATTERN_KINDS):
-        found = expand_patterns(index, here.where(F.col("kind").isin(*PATTERN_KINDS)), n_clauses, field)
+        found = expand_patterns(index, here.where(F.col("kind").isin(*PATTERN_KINDS)), n_clauses, n_chars)
         parts.append(found.select(*CLAUSE, "boost", "term"))
     if "fuzzy" in kinds:
         found = expand_fuzzy(index, here.where(F.col("kind") == "fuzzy"), n_clauses, field, max_distance)
@@ -117,19 +118,22 @@ def phrase_hits(index: SearchIndex, clauses: DataFrame, n_words: int, field: str
         *CLAUSE, F.size("_spots").alias("n_parts"), "boost", F.explode("_spots").alias("s")
     ).select(*CLAUSE, "n_parts", F.col("s.pos").alias("at"), "s.term", F.col("boost").alias("weight"))
     weights = term_weights(index, terms, n_words, field, "bm25", scope)
-    rows = matching_postings(index, weights, n_words, field, places=True)
+    parts = matching_postings(index, weights, n_words, field, places=True)
     starts = F.transform("places", lambda p: p - F.col("at"))
     if field != ALL:
         low = index.layout.fields.index(field) * FIELD_GAP
         in_field = F.filter("places", lambda p: (p >= F.lit(low)) & (p < F.lit(low + FIELD_GAP)))
         starts = F.transform(in_field, lambda p: p - F.col("at"))
-    voted = rows.select(*CLAUSE, "n_parts", "shard", "id", "seg", "score", F.explode(starts).alias("start"))
-    full = (
-        voted.groupBy(*CLAUSE, "n_parts", "shard", "id", "seg", "start")
-        .agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-        .where(F.col("votes") == F.col("n_parts"))
-    )
-    return full.groupBy(*CLAUSE, "shard", "id", "seg").agg(F.max("score").alias("score"))
+    found = []
+    for rows in parts:
+        voted = rows.select(*CLAUSE, "n_parts", "shard", "slice", "id", "seg", "score", F.explode(starts).alias("start"))
+        full = (
+            voted.groupBy(*CLAUSE, "n_parts", "shard", "slice", "id", "seg", "start")
+            .agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
+            .where(F.col("votes") == F.col("n_parts"))
+        )
+        found.append(full.groupBy(*CLAUSE, "shard", "slice", "id", "seg").agg(F.max("score").alias("score")))
+    return union(found).drop("slice")
 
 
 def range_test(value: Column, wanted: Column) -> Column:
@@ -237,11 +241,12 @@ def match_clauses(index: SearchIndex, clauses: DataFrame, scope: str = "shard")
     for field in sorted({r["field"] for r in shape if r["kind"] != "range"}):
         kinds = {r["kind"] for r in shape if r["field"] == field}
         if kinds - {"phrase", "range"}:
-            terms = clause_terms(index, clauses, field, n_clauses, kinds, max_distance)
-            # Patterns may expand to any number of terms, so no bound is claimed for them.
-            n_terms = n_words if kinds <= {"match", "phrase", "range"} else 1 << 62
-            rows = matching_postings(index, term_weights(index, terms, n_terms, field, "bm25", scope), n_terms, field)
-            parts.append(rows.groupBy(*CLAUSE, "shard", "id", "seg").agg(F.sum("score").alias("score")))
+            terms, n_terms = clause_terms(index, clauses, field, n_clauses, kinds, max_distance, n_words), n_words
+            if not kinds <= {"match", "phrase", "range"}:
+                # Patterns may expand to any number of terms: they are found once, and counted.
+                terms, n_terms = counted(terms, "terms")
+            found = matching_postings(index, term_weights(index, terms, n_terms, field, "bm25", scope), n_terms, field)
+            parts.append(summed_per_document(found, *CLAUSE))
         if "phrase" in kinds:
             parts.append(phrase_hits(index, clauses, n_words, field, scope))
     place = ["query_id", "shard", "id", "seg"]

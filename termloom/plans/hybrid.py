@@ -14,7 +14,7 @@ from ..operators.embedding import Encoder, embed_queries
 from ..operators.queries import Bounds, hybrid_defaults, query_terms, small
 from ..operators.ranking import KEYWORD_DEPTH, RRF_DEPTH, fetch_fields, rank_within, shard_topn
 from ..operators.routing import route, route_all
-from ..operators.scoring import SCORE_DIGITS, score_hits
+from ..operators.scoring import SCORE_DIGITS, BestHits, score_hits
 from ..sources.index_store import SearchIndex
 
 RRF = "rrf"
@@ -35,6 +35,7 @@ class HybridSearch:
     encoder: Encoder | None = None
     model: str = "bm25"
     scope: str = "shard"
+    prune: bool = False
 
     @cached_property
     def clean_queries(self) -> DataFrame:
@@ -58,9 +59,16 @@ class HybridSearch:
         """Per shard the best 100 for rank fusion, three times the limit for anything else."""
         b, routed = self.bounds, self.routed
         terms = query_terms(routed, "q", *(() if self.kv is None else ("route",)))
-        hits = score_hits(self.index, terms, b.n_words, "_all", self.model, self.scope)
         wanted = F.when(F.col("fusion") == RRF, F.lit(RRF_DEPTH)).otherwise(F.col("limit") * KEYWORD_DEPTH)
         depth = routed.select("query_id", wanted.alias("depth"))
+        if self.prune:
+            by = ("query_id", "shard")
+            best = BestHits(
+                self.index, terms, b.n_words, depth, self.depth_cap, b.n_queries, by, "_all", self.model, self.scope
+            )
+            hits = best.hits()
+        else:
+            hits = score_hits(self.index, terms, b.n_words, "_all", self.model, self.scope)
         return shard_topn(hits, depth, self.depth_cap, b.n_queries).drop("shard_rank")
 
     @property

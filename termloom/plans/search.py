@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from ..operators.queries import Bounds, keyword_defaults, query_terms, small
 from ..operators.ranking import KEYWORD_DEPTH, fetch_fields, global_topk, rank_within, shard_topn
 from ..operators.routing import route, route_all
-from ..operators.scoring import score_hits
+from ..operators.scoring import BestHits, score_hits
 from ..sources.index_store import SearchIndex
 
 
@@ -20,7 +20,9 @@ from ..sources.index_store import SearchIndex
 class KeywordSearch:
     """One batch of keyword queries against one index; every step is a DataFrame.
 
-    ``queries`` has ``query_id, q`` and optionally ``limit``; ``kv`` holds the routing entries.
+    ``queries`` has ``query_id, q`` and optionally ``limit``; ``kv`` holds the routing entries. With ``prune`` the best hits
+    are found without scoring all (see ``BestHits``): the same answers by more but smaller steps, which pays where frequent
+    words have many millions of postings.
     """
 
     index: SearchIndex
@@ -29,6 +31,7 @@ class KeywordSearch:
     model: str = "bm25"
     scope: str = "shard"
     field: str = "_all"
+    prune: bool = False
 
     @cached_property
     def clean_queries(self) -> DataFrame:
@@ -52,14 +55,24 @@ class KeywordSearch:
         terms = query_terms(self.routed, "q", *carry)
         return score_hits(self.index, terms, self.bounds.n_words, self.field, self.model, self.scope)
 
+    def best(self, times: int, *by: str) -> BestHits:
+        """At least the best hits ``by`` query, or query and shard: ``times`` the limit each."""
+        b = self.bounds
+        terms = query_terms(self.routed, "q", *(() if self.kv is None else ("route",)))
+        depth = self.clean_queries.select("query_id", (F.col("limit") * times).alias("depth"))
+        return BestHits(
+            self.index, terms, b.n_words, depth, times * b.max_limit, b.n_queries, by, self.field, self.model, self.scope
+        )
+
     def candidates(self) -> DataFrame:
         """The union of all shards' best hits, three times the limit each."""
-        depth = self.clean_queries.select("query_id", (F.col("limit") * KEYWORD_DEPTH).alias("depth"))
-        return shard_topn(self.hits(), depth, KEYWORD_DEPTH * self.bounds.max_limit, self.bounds.n_queries)
+        best = self.best(KEYWORD_DEPTH, "query_id", "shard")
+        return shard_topn(best.hits() if self.prune else self.hits(), best.depth, best.cap, best.n_queries)
 
     def top(self) -> DataFrame:
         """The global best ``limit``, straight from the hits: a depth of three limits per shard cannot change it."""
-        return global_topk(self.hits(), self.clean_queries, self.bounds.max_limit, self.bounds.n_queries)
+        best = self.best(1, "query_id")
+        return global_topk(best.hits() if self.prune else self.hits(), self.clean_queries, best.cap, best.n_queries)
 
     def results(self) -> DataFrame:
         """Hits as answered: ``query_id, rank, id, score, title, shard``."""

@@ -42,7 +42,7 @@ from .streaming.log import stream_collapse, stream_hot_stats, stream_latency, st
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-LAYOUT = Layout(n_shards=8)
+LAYOUT = Layout(n_shards=8, lexicon=True)
 PAGE_CAP = 600
 INDEX_CAP = 500
 STAMP = "2024-01-01 00:00:00"
@@ -375,14 +375,15 @@ def q_range_match(spark, sf):
     return both.unionByName(alone.select(F.lit(20).alias("query_id"), "id", F.lit(0.0).alias("score")))
 
 
-def _routed_search(spark, sf) -> KeywordSearch:
+def _routed_search(spark, sf, **options) -> KeywordSearch:
     kv = local_table(spark, ROUTING_ENTRIES, "key string, value string")
-    return KeywordSearch(corpus_index(spark, sf), keyword_table(spark, ROUTED_QUERIES), kv)
+    return KeywordSearch(corpus_index(spark, sf), keyword_table(spark, ROUTED_QUERIES), kv, **options)
 
 
 def q_shard_topn(spark, sf):
     longs = [F.col(c).cast("long").alias(c) for c in ("shard", "shard_rank")]
-    return KeywordSearch(corpus_index(spark, sf), keyword_table(spark)).candidates().select("query_id", "id", "score", *longs)
+    search = KeywordSearch(corpus_index(spark, sf), keyword_table(spark), prune=True)
+    return search.candidates().select("query_id", "id", "score", *longs)
 
 
 def q_fanout_union(spark, sf):
@@ -394,7 +395,7 @@ def q_fanout_union(spark, sf):
 
 
 def q_global_topk(spark, sf):
-    return _ranked(_routed_search(spark, sf).results())
+    return _ranked(_routed_search(spark, sf, prune=True).results())
 
 
 def q_search_summary(spark, sf):

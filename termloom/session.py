@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Tables laid out by slice meet on slice, term and block without a shuffle.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -57,3 +59,21 @@ def shared_root(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever written to the same one twice."""
     return f"{shared_root(spark)}/termloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame, local: bool, name: str) -> DataFrame:
+    """``df`` computed once, for plans that use it more than once: kept in the plan if it is known to be tiny, or written."""
+    spark = df.sparkSession
+    if local:
+        return spark.createDataFrame(df.toArrow(), df.schema)
+    path = work_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` written below the shared folder, for plans that need to know its size."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    return rows, rows.count()

@@ -1,7 +1,8 @@
 """The index on disk: Parquet segments per table, and a manifest that says which segments are live.
 
-A *base* segment is laid out for pruning: postings and term statistics by term bucket, documents by shard and
-slot of the id. A *delta* segment holds one upsert and is flat, so that a small batch makes few files. A segment
+A *base* segment is laid out for pruning: documents by shard and slot of the id, term statistics by term bucket, postings
+by shard and term bucket. Postings are also bucketed by *slice*, a part of a shard's documents: all postings of a document
+are in one bucket, so that its score is summed up where they are read. A *delta* segment holds one upsert and is flat, so that a small batch makes few files. A segment
 counts only once the manifest names it; a write that failed half-way is never read.
 
 Every write has a segment number of its own, and a version is one file of the manifest that only one writer can create:
@@ -10,6 +11,7 @@ of two that started from the same version, the second gets a ``CommitConflict``.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import random
 import threading
@@ -19,34 +21,50 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.keys import MAX_SHARDS
+from ..functions.keys import MAX_SHARDS, slice_number
 from .tables import local_table
 
 BYTES_PER_DIRECTORY = 4 << 30
 FIELD_GAP = 1 << 32  # distance between the places of two fields, more than any text has words
-MANIFEST = "version long, base long, deltas array<long>, n_shards int, term_buckets int, doc_slots int, fields array<string>, tag string"
+MANIFEST = (
+    "version long, base long, deltas array<long>, n_shards int, term_buckets int, doc_slots int, slices_per_shard int, "
+    "lexicon boolean, fields array<string>, tag string"
+)
 
 
 @dataclass(frozen=True)
 class Layout:
-    """How many directories the tables are cut into, and which text fields are analysed."""
+    """How many directories and slices the tables are cut into, and which text fields are analysed.
+
+    Tasks that read postings are as many as slices. With a ``lexicon``, the keys by which patterns and fuzzy words find terms
+    are stored.
+    """
 
     n_shards: int = 8
     term_buckets: int = 8
     doc_slots: int = 1
     fields: tuple[str, ...] = ("id", "title", "body")
+    slices_per_shard: int = 1
+    lexicon: bool = False
 
     @classmethod
     def for_bytes(cls, corpus_bytes: int, n_shards: int = 8, **kwargs) -> "Layout":
-        """Directories of about 4 GiB each, up to 4,096 of them; hot ones still hold many files."""
+        """Directories and slices of about 4 GiB each, up to 4,096 of them."""
         wanted = max(1, -(-corpus_bytes // BYTES_PER_DIRECTORY))
-        slots = min(4096 // max(n_shards, 1), max(1, -(-wanted // max(n_shards, 1))))
-        return cls(n_shards, int(min(4096, max(8, wanted))), int(slots), **kwargs)
+        shards = max(n_shards, 1)
+        slots = min(4096 // shards, max(1, -(-wanted // shards)))
+        # Slices times term buckets are files: as many slices as there is work for, term buckets only to skip most of a slice.
+        buckets = int(min(64, max(8, wanted)))
+        return cls(n_shards, buckets, int(slots), slices_per_shard=int(slots), **kwargs)
 
     @property
     def shard_count(self) -> int:
         return max(self.n_shards, 1)
 
+    @property
+    def slice_count(self) -> int:
+        return self.shard_count * self.slices_per_shard
+
     # --- table schemas -------------------------------------------------------------------------------------
 
     def docs_schema(self) -> str:
@@ -57,22 +75,29 @@ class Layout:
 
     def postings_schema(self) -> str:
         per_field = ", ".join(f"tf_{f} int, dl_{f} int" for f in self.fields)
-        return f"term string, id string, shard int, {per_field}, places array<long>, bucket int"
+        return f"term string, id string, {per_field}, places array<long>, slice int, shard int, bucket int"
 
     def term_stats_schema(self) -> str:
         per_field = ", ".join(f"df_{f} long, ctf_{f} long" for f in self.fields)
-        return f"term string, shard int, {per_field}, df_all long, bucket int"
+        tops = ", ".join(f"tops_{f} array<struct<tf:int,dl:int>>" for f in (*self.fields, "all"))
+        return f"term string, shard int, {per_field}, df_all long, {tops}, bucket int"
 
     def shard_stats_schema(self) -> str:
         return "shard int, n_docs long, " + ", ".join(f"len_{f} long" for f in self.fields)
 
+    def grams_schema(self) -> str:
+        return "key string, term string, bucket int"
+
+    deletions_schema = grams_schema
+
     def tombstones_schema(self) -> str:
         return "id string, shard int, slot int, file string"
 
 
-PIECES = {"docs": "id", "postings": "term", "term_stats": "term"}
+PIECES = {"docs": "id", "postings": "term", "term_stats": "term", "grams": "term", "deletions": "term"}
 N_PIECES = 64
-PARTITIONS = {"docs": ("shard", "slot"), "postings": ("bucket",), "term_stats": ("bucket",)}
+PARTITIONS = {"docs": ("shard", "slot"), **{t: ("bucket",) for t in ("term_stats", "grams", "deletions")}}
+SLICED_DIRS = ("shard", "bucket")
 
 
 @dataclass(frozen=True)
@@ -106,6 +131,27 @@ class SearchIndex:
             self._opened[key] = self.spark.read.schema(schema).parquet(self.table_path(table, segment))
         return self._opened[key]
 
+    def sliced_postings(self) -> DataFrame:
+        """Postings of the base as a bucketed table of the session's catalog, which is what lets Spark know how they lie. A
+        session that didn't write the segment declares the table over its files."""
+        key = ("postings by slice", self.base)
+        if key not in self._opened:
+            name = self.sliced_name()
+            if not self.spark.catalog.tableExists(name):
+                self.spark.sql(
+                    f"CREATE TABLE IF NOT EXISTS {name} ({self.layout.postings_schema()}) USING parquet "
+                    f"PARTITIONED BY ({', '.join(SLICED_DIRS)}) "
+                    f"CLUSTERED BY (slice) SORTED BY (term) INTO {self.layout.slice_count} BUCKETS "
+                    f"LOCATION '{qualified(self.spark, self.table_path('postings', self.base))}'"
+                )
+                self.spark.sql(f"MSCK REPAIR TABLE {name}")
+            self._opened[key] = self.spark.table(name)
+        return self._opened[key]
+
+    def sliced_name(self) -> str:
+        at = hashlib.md5(qualified(self.spark, self.path).encode()).hexdigest()[:16]
+        return f"termloom_postings_{at}_{self.base}"
+
     def delta_rows(self, table: str) -> DataFrame:
         """All deltas in one scan, with their number as ``seg``."""
         key = (table, -1)
@@ -118,7 +164,8 @@ class SearchIndex:
 
     def parts(self, table: str) -> list[DataFrame]:
         """The base, and all deltas if there are any, each with ``seg``: two scans however many deltas there are."""
-        base = self.segment(table, self.base).withColumn("seg", F.lit(self.base).cast("long"))
+        base = self.sliced_postings() if table == "postings" else self.segment(table, self.base)
+        base = base.withColumn("seg", F.lit(self.base).cast("long"))
         return [base, self.delta_rows(table)] if self.deltas else [base]
 
     def tombstones(self) -> DataFrame | None:
@@ -182,6 +229,45 @@ def union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, which is how a catalog has to know it."""
+    context = spark.sparkContext
+    file = context._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(file).toString()
+
+
+_slice_keys: dict[int, list[int]] = {}
+
+
+def slice_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` slices the number that stands for it in the tables: the least one that Spark's hash puts into the
+    bucket of the same number, so that every bucket holds one slice."""
+    if n not in _slice_keys:
+        tried = 16 * n
+        while True:
+            number = F.col("id").cast("int")
+            rows = spark.range(tried).groupBy(F.pmod(F.hash(number), F.lit(n)).alias("b")).agg(F.min(number).alias("k")).collect()
+            if len(rows) == n:
+                break
+            tried *= 2
+        _slice_keys[n] = [r["k"] for r in sorted(rows, key=lambda r: r["b"])]
+    return _slice_keys[n]
+
+
+def with_slice(docs: DataFrame, layout: Layout) -> DataFrame:
+    """Adds ``slice`` to rows with ``id`` and ``shard``."""
+    keys = slice_keys(docs.sparkSession, layout.slice_count)
+    number = slice_number(F.col("id"), F.col("shard"), layout.slices_per_shard)
+    return docs.withColumn("slice", F.element_at(F.array(*map(F.lit, keys)), number + 1))
+
+
+def write_sliced(rows: DataFrame, index: SearchIndex) -> None:
+    """Postings that already lie by slice, one task each: no shuffle, a sort, and one file per slice and directory."""
+    path = qualified(index.spark, index.table_path("postings", index.base))
+    writer = rows.write.partitionBy(*SLICED_DIRS).bucketBy(index.layout.slice_count, "slice").sortBy("term")
+    writer.option("path", path).format("parquet").mode("errorifexists").saveAsTable(index.sliced_name())
+
+
 def write_segment(rows: DataFrame, path: str, table: str, order: tuple[str, ...], base: bool) -> None:
     """One shuffle that evens out file sizes, then a sort, then a write.
 
@@ -196,10 +282,10 @@ def write_segment(rows: DataFrame, path: str, table: str, order: tuple[str, ...]
         rows = rows.hint("rebalance")
     if order:
         rows = rows.sortWithinPartitions(*keys, *order)
-    rows.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    rows.write.mode("errorifexists").partitionBy(*keys).parquet(path)
 
 
-SEGMENT_BITS = 24
+SEGMENT_BITS = 36
 
 
 def new_segment(version: int) -> int:
@@ -225,6 +311,8 @@ def commit(index: SearchIndex) -> SearchIndex:
         "n_shards": layout.n_shards,
         "term_buckets": layout.term_buckets,
         "doc_slots": layout.doc_slots,
+        "slices_per_shard": layout.slices_per_shard,
+        "lexicon": layout.lexicon,
         "fields": list(layout.fields),
         "tag": index.tag,
     }
@@ -258,11 +346,13 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> Se
     if not row:
         raise FileNotFoundError(f"no committed index version at {path}")
     r = row[0]
-    layout = Layout(r["n_shards"], r["term_buckets"], r["doc_slots"], tuple(r["fields"]))
+    layout = Layout(
+        r["n_shards"], r["term_buckets"], r["doc_slots"], tuple(r["fields"]), r["slices_per_shard"], r["lexicon"],
+    )
     return SearchIndex(spark, path, r["version"], r["base"], tuple(r["deltas"]), layout, r["tag"])
 
 
 __all__ = [
-    "CommitConflict", "FIELD_GAP", "Layout", "SearchIndex", "commit", "manifest", "new_segment", "open_index", "union",
-    "write_segment",
+    "CommitConflict", "FIELD_GAP", "Layout", "SearchIndex", "commit", "manifest", "new_segment", "open_index", "slice_keys",
+    "union", "with_slice", "write_segment", "write_sliced",
 ]
