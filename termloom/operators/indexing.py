@@ -41,9 +41,12 @@ def prepare_docs(
     for name, kind in types.items():
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(kind))
+    entries = [c for n in layout.numbers for c in (F.lit(n), (F.col(n) if n in docs.columns else F.lit(None)).cast("double"))]
+    numbers = (F.create_map(*entries) if entries else F.lit(None)).cast("map<string,double>")
     docs = docs.where(F.col("id") != "").select(
-        "id", "title", "body", F.col("title_vector").cast("array<double>").alias("title_vector"), "indexed_at"
-    )
+        "id", "title", "body", F.col("title_vector").cast("array<double>").alias("title_vector"), "indexed_at",
+        numbers.alias("numbers"),
+    )
     if not unique_ids:
         docs = newest_per_id(docs)
     if encoder is not None:
@@ -59,6 +62,7 @@ def prepare_docs(
         "title_vector",
         F.when(has_vector(v), norm(v)).alias("title_norm"),
         "indexed_at",
+        "numbers",
         shard_of(F.col("id"), layout.n_shards).alias("shard"),
         slot_of(F.col("id"), layout.doc_slots).alias("slot"),
     )

@@ -2,7 +2,7 @@
 
 ``clauses(query_id, clause_no, occur, kind, field, value, boost)``: ``occur`` is must, should or must_not; ``kind`` is
 match, phrase, prefix, wildcard, regexp, fuzzy or range; ``field`` is a text field, ``_all``, or for a range
-``indexed_at``. A fuzzy value may end in ``~n``; a range value starts with one of ``>= > <= <``.
+``indexed_at`` or one of the layout's ``numbers``. A fuzzy value may end in ``~n``; a range value starts with one of ``>= > <= <``.
 """
 
 from __future__ import annotations
@@ -136,11 +136,11 @@ def phrase_hits(index: SearchIndex, clauses: DataFrame, n_words: int, field: str
     return union(found).drop("slice")
 
 
-def range_test(value: Column, wanted: Column) -> Column:
-    """A timestamp or number against ``>=x``, ``>x``, ``<=x`` or ``<x``."""
+def range_test(value: Column, wanted: Column, kind: str = "timestamp") -> Column:
+    """A timestamp, or a number (``kind="double"``), against ``>=x``, ``>x``, ``<=x`` or ``<x``; NULL for a bound of another
+    type."""
     op = F.regexp_extract(wanted, r"^\s*(>=|>|<=|<)", 1)
-    text = F.trim(F.regexp_replace(wanted, r"^\s*(>=|>|<=|<)", ""))
-    bound = text.try_cast("timestamp")
+    bound = F.trim(F.regexp_replace(wanted, r"^\s*(>=|>|<=|<)", "")).try_cast(kind)
     return (
         F.when(op == ">=", value >= bound)
         .when(op == ">", value > bound)
@@ -149,32 +149,45 @@ def range_test(value: Column, wanted: Column) -> Column:
     )
 
 
-def in_ranges(index: SearchIndex, hits: DataFrame, clauses: DataFrame, n_clauses: int) -> DataFrame:
-    """Hits whose document meets every range a query must meet, and none it must not. A query without any clause that has
-    to match otherwise (no must, no should on text) has to meet one of its should ranges.
-
-    Ranges meet hits on the query, an equality, and only the hits' documents are looked up, by place and segment.
-    """
+def query_ranges(clauses: DataFrame) -> DataFrame:
+    """``query_id, _ranges, _needs_one, _open``: a query's ranges; whether one of its should ranges has to be met, as nothing
+    else has to match (no must, no should on text); whether no clause on text has to match at all."""
     range_, positive = F.col("kind") == "range", F.col("occur") != "must_not"
     needs_one = (F.count_if(positive & ~range_) == 0) & (F.count_if(F.col("occur") == "must") == 0)
-    ranges = clauses.groupBy("query_id").agg(
-        F.collect_list(F.when(range_, F.struct("occur", "value"))).alias("_ranges"),  # a query has few clauses
+    return clauses.groupBy("query_id").agg(
+        F.collect_list(F.when(range_, F.struct("occur", "field", "value"))).alias("_ranges"),  # a query has few clauses
         needs_one.alias("_needs_one"),
+        (F.count_if(positive & ~range_) == 0).alias("_open"),
     )
+
+
+def fits_ranges(ranges: Column, needs_one: Column) -> Column:
+    """Whether a row with ``indexed_at`` and ``numbers`` meets every range it must, none it must not, and one if needed."""
+
+    def meets(r: Column) -> Column:
+        number = range_test(F.element_at("numbers", r["field"]), r["value"], "double")
+        date = range_test(F.col("indexed_at"), r["value"])
+        return F.coalesce(F.when(r["field"] == "indexed_at", date).otherwise(number), F.lit(False))
+
+    every = F.forall(
+        ranges, lambda r: F.when(r["occur"] == "must_not", ~meets(r)).otherwise(meets(r) | (r["occur"] == "should"))
+    )
+    should = F.filter(ranges, lambda r: r["occur"] == "should")
+    return every & (~needs_one | (F.size(should) == 0) | F.exists(should, meets))
+
+
+def in_ranges(index: SearchIndex, hits: DataFrame, clauses: DataFrame, n_clauses: int) -> DataFrame:
+    """Hits whose document fits the ranges of its query. Ranges meet hits on the query, an equality, and only the hits'
+    documents are looked up, by place and segment."""
     layout = index.layout
     placed = hits.withColumn("slot", slot_of(F.col("id"), layout.doc_slots)).where(F.length("id") > 0)
-    stored = union(index.parts("docs")).select("shard", "slot", "id", "seg", "indexed_at")
-    with_ranges = placed.join(small(ranges.where(F.size("_ranges") > 0), n_clauses), "query_id", "left")
+    stored = union(index.parts("docs")).select("shard", "slot", "id", "seg", "indexed_at", "numbers")
+    ranges = query_ranges(clauses).where(F.size("_ranges") > 0)
+    with_ranges = placed.join(small(ranges, n_clauses), "query_id", "left")
     free = with_ranges.where(F.col("_ranges").isNull()).select(*hits.columns)
     bound = with_ranges.where(F.col("_ranges").isNotNull()).join(stored, ["shard", "slot", "id", "seg"])
-    meets = lambda r: F.coalesce(range_test(F.col("indexed_at"), r["value"]), F.lit(False))
-    fits = F.forall(
-        "_ranges",
-        lambda r: F.when(r["occur"] == "must_not", ~meets(r)).otherwise(meets(r) | (r["occur"] == "should")),
-    )
-    should = F.filter("_ranges", lambda r: r["occur"] == "should")
-    one = ~F.col("_needs_one") | (F.size(should) == 0) | F.exists(should, meets)
-    return free.unionByName(bound.where(fits & one).select(*hits.columns))
+    fits = fits_ranges(F.col("_ranges"), F.col("_needs_one"))
+    return free.unionByName(bound.where(fits).select(*hits.columns))
 
 
 OCCURS = ("must", "should", "must_not")
@@ -184,7 +197,8 @@ KINDS = ("match", "phrase", "fuzzy", "range", *PATTERN_KINDS)
 def invalid_clauses(index: SearchIndex, clauses: DataFrame) -> DataFrame:
     """Clauses that can't be answered, with an ``error``; ``match_clauses`` leaves them out."""
     field = F.coalesce("field", F.lit(ALL))
-    known = F.when(F.col("kind") == "range", field == "indexed_at").otherwise(field.isin(ALL, *index.layout.fields))
+    in_text, in_values = field.isin(ALL, *index.layout.fields), field.isin("indexed_at", *index.layout.numbers)
+    known = F.when(F.col("kind") == "range", in_values).otherwise(in_text)
     error = (
         F.when(~F.coalesce(F.col("occur").isin(*OCCURS), F.lit(False)), F.lit("unknown occur"))
         .when(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)), F.lit("unknown kind"))
@@ -194,18 +208,16 @@ def invalid_clauses(index: SearchIndex, clauses: DataFrame) -> DataFrame:
     return clauses.withColumn("error", error).where(F.col("error").isNotNull())
 
 
-def open_queries(clauses: DataFrame) -> DataFrame:
-    """``query_id`` of the queries that no clause on text has to match."""
-    on_text = (F.col("occur") != "must_not") & (F.col("kind") != "range")
-    return clauses.groupBy("query_id").agg(F.count_if(on_text).alias("n")).where(F.col("n") == 0).select("query_id")
-
-
 def open_hits(index: SearchIndex, asked: DataFrame) -> DataFrame:
-    """All live documents, with score 0, for each of the queries: a stated set of queries against all rows. Ranges and
-    must_not clauses then take away."""
-    ids = asked.agg(F.collect_list("query_id").alias("ids"))  # one row, of no more ids than the batch has queries
-    live = index.drop_replaced(union([d.select("shard", "id", "seg") for d in index.parts("docs")]))
-    every = live.join(F.broadcast(ids)).select(F.explode("ids").alias("query_id"), "shard", "id", "seg")
+    """Live documents, with score 0, for the queries that no clause on text has to match: a stated set of queries against all
+    rows. A document looks through the queries and stands only for those whose ranges it fits; must_not clauses on text
+    then take away."""
+    # One row, of no more queries than the batch has.
+    queries = asked.agg(F.collect_list(F.struct("query_id", "_ranges", "_needs_one")).alias("_queries"))
+    live = union([d.select("shard", "id", "seg", "indexed_at", "numbers") for d in index.parts("docs")])
+    live = index.drop_replaced(live).join(F.broadcast(queries))
+    fitting = F.filter("_queries", lambda q: fits_ranges(q["_ranges"], q["_needs_one"]))
+    every = live.select(F.explode(fitting).alias("q"), "shard", "id", "seg").select("q.query_id", "shard", "id", "seg")
     return every.withColumn("score", F.lit(0.0))
 
 
@@ -269,12 +281,12 @@ def match_clauses(index: SearchIndex, clauses: DataFrame, scope: str = "shard")
         (F.col("_must") == F.col("_needed")) & (F.col("_positive") > 0) & (F.col("_not") == 0)
     )
     hits = index.drop_replaced(hits.select(*place, "score"))
-    asked = open_queries(clauses)
+    if any(r["kind"] == "range" for r in shape):
+        hits = in_ranges(index, hits, clauses, n_clauses)
+    asked = query_ranges(clauses).where("_open")
     if not asked.isEmpty():
         excluded = matched.where(~positive).select(*place).distinct()
         hits = hits.unionByName(open_hits(index, asked).join(excluded, place, "left_anti"))
-    if any(r["kind"] == "range" for r in shape):
-        hits = in_ranges(index, hits, clauses, n_clauses)
     return hits
 
 

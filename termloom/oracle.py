@@ -182,9 +182,16 @@ SELECT s.query_id, s.id, round(sum(t.score), 6) AS score
 FROM starts s JOIN wanted w USING (query_id) JOIN term_scores t ON t.id = s.id AND t.field = w.field AND t.term = w.term
 GROUP BY ALL"""
 
+SIZED = "(SELECT c.*, d.n_chars FROM corpus c JOIN documents d USING (doc_id))"
+
 RANGE = f"""{clause_hits('range_match')}
-SELECT h.query_id, h.id, h.score FROM hits h JOIN corpus c USING (id)
-WHERE h.query_id <> 18 OR (c.indexed_at >= TIMESTAMP '2024-01-02 00:00:00' AND NOT c.indexed_at > TIMESTAMP '2024-01-06 12:00:00')
+SELECT h.query_id, h.id, h.score FROM hits h JOIN {SIZED} c USING (id)
+WHERE CASE h.query_id
+  WHEN 18 THEN c.indexed_at >= TIMESTAMP '2024-01-02 00:00:00' AND NOT c.indexed_at > TIMESTAMP '2024-01-06 12:00:00'
+  WHEN 181 THEN c.n_chars >= 500 AND c.n_chars < 1500.5 ELSE true END
+UNION ALL SELECT 182, id, 0.0::DOUBLE FROM {SIZED} WHERE n_chars < 200 OR indexed_at >= TIMESTAMP '2024-01-08 00:00:00'
+UNION ALL SELECT 183, id, 0.0::DOUBLE FROM {SIZED}
+WHERE n_chars > 3000 AND id NOT IN (SELECT id FROM tokens WHERE term = 'thing')
 UNION ALL SELECT 20, id, 0.0::DOUBLE FROM corpus
 WHERE indexed_at >= TIMESTAMP '2024-01-03 00:00:00' AND indexed_at < TIMESTAMP '2024-01-05 00:00:00'"""
 
@@ -412,4 +419,6 @@ SELECT c.id, c.shard, md5(c.body) AS body_md5, count(t.term) AS n_words FROM cor
     sql["stream_latency"] = sql["latency_histogram"]
     for key in ("bool_match", "field_match", "wildcard_match", "fuzzy_match", "boosted_match"):
         sql[key] = f"{clause_hits(key)} SELECT query_id, id, score FROM hits"
+    sql["bool_match"] += """ UNION ALL SELECT 62, id, 0.0::DOUBLE FROM corpus
+WHERE id NOT IN (SELECT id FROM tokens WHERE term = 'thing' OR (term = 'erly' AND field = 'body'))"""
     return sql

@@ -42,7 +42,7 @@ from .streaming.log import stream_collapse, stream_hot_stats, stream_latency, st
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-LAYOUT = Layout(n_shards=8, lexicon=True)
+LAYOUT = Layout(n_shards=8, lexicon=True, numbers=("n_chars",))
 PAGE_CAP = 600
 INDEX_CAP = 500
 STAMP = "2024-01-01 00:00:00"
@@ -83,6 +83,8 @@ CLAUSES = {
         (6, 3, "must_not", "match", "_all", "thble", 1.0),
         (61, 1, "should", "match", "_all", "ertion", 1.0),
         (61, 2, "should", "match", "_all", "oning", 1.0),
+        (62, 1, "must_not", "match", "_all", "thing", 1.0),
+        (62, 2, "must_not", "match", "body", "erly", 1.0),
     ],
     "field_match": [
         (10, 1, "should", "match", "title", "ertion", 1.0),
@@ -106,6 +108,13 @@ CLAUSES = {
         (18, 2, "must", "range", "indexed_at", ">=2024-01-02 00:00:00", 1.0),
         (18, 3, "must_not", "range", "indexed_at", ">2024-01-06 12:00:00", 1.0),
         (19, 1, "must", "match", "_all", "ertion", 1.0),
+        (181, 1, "must", "match", "_all", "thing", 1.0),
+        (181, 2, "must", "range", "n_chars", ">=500", 1.0),
+        (181, 3, "must", "range", "n_chars", "<1500.5", 1.0),
+        (182, 1, "should", "range", "n_chars", "<200", 1.0),
+        (182, 2, "should", "range", "indexed_at", ">=2024-01-08 00:00:00", 1.0),
+        (183, 1, "must_not", "match", "_all", "thing", 1.0),
+        (183, 2, "must", "range", "n_chars", ">3000", 1.0),
     ],
 }
 CLAUSE_SCHEMA = "query_id int, clause_no int, occur string, kind string, field string, value string, boost double"

@@ -13,7 +13,7 @@ from .tables import ID_PREFIX, spread, table
 def corpus(spark: SparkSession, sf_dir: str, n_shards: int = 8, vectors: bool = True) -> DataFrame:
     """``documents`` as a corpus: whole clean bodies, the first line as title, ``embeddings`` as title vectors."""
     raw = spread(table(spark, sf_dir, "documents")).select(
-        "doc_id", "lang", F.substring_index("text", "\n", 1).alias("title"), "text"
+        "doc_id", "lang", "n_chars", F.substring_index("text", "\n", 1).alias("title"), "text"
     )
     docs = clean_pages(raw, max_len=None)
     if vectors:

@@ -28,7 +28,7 @@ BYTES_PER_DIRECTORY = 4 << 30
 FIELD_GAP = 1 << 32  # distance between the places of two fields, more than any text has words
 MANIFEST = (
     "version long, base long, deltas array<long>, n_shards int, term_buckets int, doc_slots int, slices_per_shard int, "
-    "lexicon boolean, fields array<string>, tag string"
+    "lexicon boolean, numbers array<string>, fields array<string>, tag string"
 )
 
 
@@ -37,7 +37,7 @@ class Layout:
     """How many directories and slices the tables are cut into, and which text fields are analysed.
 
     Tasks that read postings are as many as slices. With a ``lexicon``, the keys by which patterns and fuzzy words find terms
-    are stored.
+    are stored. ``numbers`` are columns of the documents that ranges may ask for, beside ``indexed_at``.
     """
 
     n_shards: int = 8
@@ -46,6 +46,7 @@ class Layout:
     fields: tuple[str, ...] = ("id", "title", "body")
     slices_per_shard: int = 1
     lexicon: bool = False
+    numbers: tuple[str, ...] = ()
 
     @classmethod
     def for_bytes(cls, corpus_bytes: int, n_shards: int = 8, **kwargs) -> "Layout":
@@ -70,7 +71,7 @@ class Layout:
     def docs_schema(self) -> str:
         return (
             "id string, title string, body string, title_vector array<double>, title_norm double, "
-            "indexed_at timestamp, shard int, slot int"
+            "indexed_at timestamp, numbers map<string,double>, shard int, slot int"
         )
 
     def postings_schema(self) -> str:
@@ -313,6 +314,7 @@ def commit(index: SearchIndex) -> SearchIndex:
         "doc_slots": layout.doc_slots,
         "slices_per_shard": layout.slices_per_shard,
         "lexicon": layout.lexicon,
+        "numbers": list(layout.numbers),
         "fields": list(layout.fields),
         "tag": index.tag,
     }
@@ -348,6 +350,7 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> Se
     r = row[0]
     layout = Layout(
         r["n_shards"], r["term_buckets"], r["doc_slots"], tuple(r["fields"]), r["slices_per_shard"], r["lexicon"],
+        tuple(r["numbers"]),
     )
     return SearchIndex(spark, path, r["version"], r["base"], tuple(r["deltas"]), layout, r["tag"])
 
