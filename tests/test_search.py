@@ -415,3 +415,26 @@ def test_unreachable_encoder_means_keywords_only(spark):
     assert queries.collect()[0].query_vector is None
     with pytest.raises(Exception, match="no encoder"):
         asked(spark, "alpha").select(embed(F.col("q"), unreachable, on_error="fail")).collect()
+
+
+def test_ranges_over_numbers(spark):
+    docs = local_table(
+        spark, [(f"d{i}", "t", "word" if i % 2 else "other", None if i == 7 else i * 10) for i in range(10)],
+        "id string, title string, body string, size long",
+    )
+    index = build_index(docs, work_path(spark, "numbers"), Layout(2, numbers=("size",)))
+    index = upsert_index(index, docs.where("id = 'd3'").withColumn("size", F.lit(1000)))
+    clauses = [
+        (1, 1, "must", "match", "body", "word", 1.0),
+        (1, 2, "must", "range", "size", ">=50", 1.0),
+        (2, 1, "must_not", "range", "size", "<80.5", 1.0),
+        (3, 1, "should", "range", "size", "<15", 1.0),
+        (3, 2, "must_not", "match", "body", "word", 1.0),
+        (4, 1, "must", "range", "size", ">=2024-01-01", 1.0),
+        (5, 1, "must", "range", "height", ">1", 1.0),
+    ]
+    table = local_table(spark, clauses, registry.CLAUSE_SCHEMA)
+    want = [(1, "d3"), (1, "d5"), (1, "d9"), (2, "d3"), (2, "d7"), (2, "d9"), (3, "d0")]
+    for i in (index, compact_index(index), open_index(spark, index.path)):
+        assert rows(match_clauses(i, table).select("query_id", "id")) == want
+    assert [r.query_id for r in invalid_clauses(index, table).collect()] == [5]
