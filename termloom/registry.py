@@ -42,7 +42,7 @@ from .streaming.log import stream_collapse, stream_hot_stats, stream_latency, st
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-LAYOUT = Layout(n_shards=8, lexicon=True, numbers=("n_chars",))
+LAYOUT = Layout(n_shards=8, numbers=("n_chars",))
 PAGE_CAP = 600
 INDEX_CAP = 500
 STAMP = "2024-01-01 00:00:00"
