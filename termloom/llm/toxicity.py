@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are words and word beginnings that go with the label in the examples; all words together are one more term, whose
-weight is the root of their number, so that a rare hit in a long text counts less. Every document becomes a short sparse
-vector; the index over a bounded number of examples is broadcast and each task searches it for its rows.
+Every word of an example is a term. A term weighs its logarithmic count, times its inverse document frequency over all
+documents, times one plus the G statistic by which it goes with the label among the examples: no term is left out, those that
+tell something turn the cosine. The nearest examples vote by distance; votes become probabilities by a logistic curve fitted
+on the examples themselves, each of which is scored without itself.
 """
 
 from __future__ import annotations
@@ -19,225 +20,232 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, prepare, stored, text_or_empty
+from .common import prepare, stored, text_or_empty
 
 #: Labelled rows that are examples, about: above it, rows are chosen by a hash of their id.
-MAX_EXAMPLES = 20_000
-#: Terms, those that tell most about the label. A term is in this many examples and in this share of those with label 1 at
-#: least (what a few near copies have in common isn't), so many times as often there as overall, and reaches this G statistic.
-MAX_TERMS = 1_000
-LEAST_EXAMPLES = 3
-LEAST_SHARE = 0.02
-LEAST_LIFT = 5.0
-LEAST_G = 15.0
-#: Lengths of word beginnings that are terms.
-BEGINNINGS = (4, 5, 6, 7)
-#: Neighbours that vote: the root of the number of examples with label 1 within these limits. The weight of the label's
-#: overall rate among them; where the weight of distance levels off.
-NEIGHBOURS = (3, 15)
+MAX_EXAMPLES = 4_000
+#: Neighbours that vote, the weight of the label's overall rate among them, and where the weight of distance levels off.
+NEIGHBOURS = 15
 PRIOR_WEIGHT = 1.0
 NEAREST = 0.05
-BLOCK = 128
+#: Examples in one block of the index.
+BLOCK = 64
 THRESHOLD = 0.7
-#: Words whose terms a worker remembers.
-REMEMBERED = 200_000
 
 _WORD = re.compile(r"\w+")
 
 
-def terms_of_word(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
-
-
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _distinct_terms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([sorted({t for w in set(words_of(x)) for t in terms_of_word(w)}) for x in batch])
-
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each ``first`` up to its ``last``, and which of the ranges each belongs to."""
+    sizes = last - first
+    owner = np.repeat(np.arange(len(first)), sizes)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner], owner
 
-VECTOR = "ids array<int>, counts array<int>, words int"
 
+def association(seen: np.ndarray, labelled: np.ndarray, n: int, n_labelled: int) -> np.ndarray:
+    """G statistic of each term, found in ``seen`` of ``n`` examples and ``labelled`` of the ``n_labelled`` ones; 0 where it
+    is rarer among those than overall."""
 
-def vector_column(text: Column, terms: list[str]) -> Column:
-    """Counts of ``terms`` in a text, by number, and its number of words."""
-    number = {t: i for i, t in enumerate(terms)}
+    def part(cell, row, column):
+        expected = np.maximum(row * column, 1) / n
+        return np.where(cell > 0, cell * np.log(np.maximum(cell, 1) / expected), 0.0)
 
-    @F.pandas_udf(VECTOR)
-    def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[int, ...]] = {}
-        for batch in texts:
-            rows = []
-            for text in batch:
-                words = words_of(text)
-                counts: Counter = Counter()
-                for word, n in Counter(words).items():
-                    hits = known.get(word)
-                    if hits is None:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[word] = hits = tuple(number[t] for t in terms_of_word(word) if t in number)
-                    for i in hits:
-                        counts[i] += n
-                ids = sorted(counts)
-                rows.append((ids, [counts[i] for i in ids], len(words)))
-            yield pd.DataFrame(rows, columns=["ids", "counts", "words"])
-
-    return vectors(text)
+    a, m = labelled.astype(np.float64), seen.astype(np.float64)
+    others = n - n_labelled
+    g = part(a, m, n_labelled) + part(m - a, m, others) + part(n_labelled - a, n - m, n_labelled) + part(others - m + a, n - m, others)
+    return np.where(a * n > m * n_labelled, np.maximum(2 * g, 0), 0.0)
 
 
 @dataclass
 class Index:
-    """Examples with equal vectors are one entry. Entries stand in blocks; of each term and block the largest weight is
-    kept, so that a block whose bound is below the worst neighbour so far is never opened."""
-
-    idf: np.ndarray
-    starts: list[np.ndarray]  # by term: where each block's postings start
-    entries: list[np.ndarray]  # by term: number of the entry in its block
-    weights: list[np.ndarray]
-    largest: np.ndarray  # term x block
-    sizes: np.ndarray
-    toxic: np.ndarray
-    example: np.ndarray  # an id for each entry
+    """Postings stand by term and, inside, by block of examples; of each term and block the largest weight is kept, so that
+    a block whose bound is below the worst neighbour so far is never opened."""
+
+    numbers: dict[str, int]
+    factors: np.ndarray  # by term
+    beyond: float  # factor of a word that no example has
+    segments: np.ndarray  # by term: where its segments start
+    block: np.ndarray  # by segment, a term's postings in one block
+    largest: np.ndarray
+    first: np.ndarray  # by segment: where its postings start
+    entry: np.ndarray  # by posting
+    weight: np.ndarray
+    toxic: np.ndarray  # by entry
+    example: np.ndarray  # by entry: the document's id
     rate: float
-    k: int
-    plain: list[tuple[float, int]] | None = None
-
-    def weigh(self, ids, counts, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of the unit vector; the term after the last stands for all words."""
-        ids = np.append(np.asarray(ids, dtype=np.int64), len(self.idf))
-        w = np.append(np.asarray(counts, dtype=np.float64) * self.idf[ids[:-1]], math.sqrt(words))
-        norm = math.sqrt(float(w @ w))
-        return ids, w / norm if norm else w
-
-    def nearest(self, ids: np.ndarray, w: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """``(cosine, entry)``, nearest first, until ``k`` examples are reached; exact."""
-        bounds = w @ self.largest[ids]
-        best: list[tuple[float, int]] = []
-        worst = 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= worst - 1e-9:
+    curve: tuple[float, float] | None = None
+
+    def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, ascending, and their weights in the unit vector of all words."""
+        known, other = [], []
+        for word, n in words.items():
+            i = self.numbers.get(word)
+            if i is None:
+                other.append(n)
+            else:
+                known.append((i, n))
+        pairs = np.array(sorted(known), dtype=np.int64).reshape(-1, 2)
+        w = (1 + np.log(pairs[:, 1])) * self.factors[pairs[:, 0]]
+        rest = (1 + np.log(np.array(sorted(other), dtype=np.float64))) * self.beyond
+        norm = math.sqrt(float(w @ w) + float(rest @ rest))
+        return pairs[:, 0], w / norm if norm else w
+
+    def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and entries of the ``k`` nearest, nearest first, those of no likeness left out; exact. Equal cosines go by
+        the example's id. ``without`` is the id of an example that doesn't count."""
+        segment, owner = _ranges(self.segments[ids], self.segments[ids + 1])
+        x, block = w[owner], self.block[segment]
+        n_blocks = -(-len(self.toxic) // BLOCK)
+        bounds = np.bincount(block, x * self.largest[segment], n_blocks)
+        order = np.argsort(-bounds, kind="stable")
+        scores, entries = np.empty(0), np.empty(0, dtype=np.int64)
+        worst, at, step = 0.0, 0, 1
+        while at < n_blocks:
+            opened = np.zeros(n_blocks, dtype=bool)
+            some = order[at : at + step]
+            opened[some[bounds[some] > worst - 1e-9]] = True
+            inside = opened[block]
+            if not inside.any():
                 break
-            scores = np.zeros(BLOCK)
-            for t, x in zip(ids, w):
-                a, b = self.starts[t][block], self.starts[t][block + 1]
-                if a < b:
-                    scores[self.entries[t][a:b]] += x * self.weights[t][a:b]
-            # Equal cosines that differ in the last bits are ties, which the entry's number breaks.
-            scores = np.round(scores, 9)
-            found = np.flatnonzero(scores > max(worst - 1e-9, 0))
-            best += [(float(scores[i]), int(block) * BLOCK + int(i)) for i in found]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            reached = 0
-            for n, (score, entry) in enumerate(best):
-                reached += self.sizes[entry]
-                if reached >= k:
-                    worst = score
-                    del best[n + 1 :]
-                    break
-        return best
-
-    def _neighbours(self, ids, counts, words: int) -> list[tuple[float, int]]:
-        if len(ids):
-            return self.nearest(*self.weigh(ids, counts, words), self.k)
-        if self.plain is None:  # all texts without a term have the same unit vector
-            self.plain = self.nearest(*self.weigh(ids, counts, words), self.k)
-        return self.plain
-
-    def score(self, ids, counts, words: int) -> tuple[float, list[int]]:
-        """The vote, and the examples it rests on most."""
-        total, voted = PRIOR_WEIGHT, PRIOR_WEIGHT * self.rate
-        left, evidence = self.k, []
-        if words:
-            for cosine, entry in self._neighbours(ids, counts, words):
-                n = min(left, int(self.sizes[entry]))
-                weight = n * cosine / (NEAREST + max(0.0, 1 - cosine))
-                total += weight
-                voted += weight * self.toxic[entry] / self.sizes[entry]
-                left -= n
-                evidence.append(int(self.example[entry]))
-        return voted / total, evidence[:3]
-
-
-def build_index(rows: list, idf: np.ndarray, rate: float) -> Index:
-    """``rows``: ids, counts, words, label, doc_id of each example."""
-    groups: dict[tuple, list] = {}
-    k = min(NEIGHBOURS[1], max(NEIGHBOURS[0], math.isqrt(sum(r["label"] for r in rows))))
-    shape = Index(idf, [], [], [], np.empty(0), np.empty(0), np.empty(0), np.empty(0), rate, k)
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        if not r["words"]:
-            continue
-        ids, w = shape.weigh(r["ids"], r["counts"], r["words"])
-        # Vectors are unit vectors: two texts whose weights are in proportion are equal here.
-        key = (tuple(ids), tuple(np.round(w, 9))) if len(ids) > 1 else ((len(idf),), (1.0,))
-        g = groups.setdefault(key, [0, 0, r["doc_id"]])
-        g[0] += 1
-        g[1] += r["label"]
-    # Entries with the same heaviest term stand together, which makes the blocks' bounds tight.
-    order = sorted(groups, key=lambda k: (k[0][int(np.argmax(k[1][:-1]))] if len(k[0]) > 1 else -1, k))
-    n_blocks = max(1, -(-len(order) // BLOCK))
-    postings: list[list[tuple[int, float]]] = [[] for _ in range(len(idf) + 1)]
-    for entry, (ids, w) in enumerate(order):
-        for t, x in zip(ids, w):
-            postings[t].append((entry, x))
-    largest = np.zeros((len(idf) + 1, n_blocks))
-    starts, entries, weights = [], [], []
-    for t, p in enumerate(postings):
-        at = np.array([e for e, _ in p], dtype=np.int64)
-        x = np.array([v for _, v in p])
-        np.maximum.at(largest[t], at // BLOCK, x)
-        starts.append(np.searchsorted(at, np.arange(n_blocks + 1) * BLOCK))
-        entries.append(at % BLOCK)
-        weights.append(x)
-    found = [groups[k] for k in order]
-    pad = n_blocks * BLOCK - len(found)
-    return Index(
-        idf, starts, entries, weights, largest,
-        np.array([g[0] for g in found] + [0] * pad), np.array([g[1] for g in found] + [0] * pad),
-        np.array([g[2] for g in found] + [-1] * pad, dtype=np.int64), rate, k,
-    )
-
-
-def informative_terms(examples: DataFrame) -> list[str]:
-    """Terms of ``examples (text, label)`` that go with label 1, most telling first; at most ``MAX_TERMS``."""
-    counts = examples.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("t")).first()
-    n, toxic = int(counts["n"]), int(counts["t"])
-    if not 0 < toxic < n:
-        return []
-    per_term = (
-        examples.select("label", F.explode(_distinct_terms(text_or_empty())).alias("term"))
-        .groupBy("term")
-        .agg(F.sum("label").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("m"))
-        .where(F.col("m") >= LEAST_EXAMPLES)
-    )
-    a, m, nd, td = F.col("a"), F.col("m"), F.lit(float(n)), F.lit(float(toxic))
-
-    def part(seen: Column, row: Column, column: Column) -> Column:
-        return F.when(seen > 0, seen * F.ln(seen * nd / (row * column))).otherwise(F.lit(0.0))
-
-    g = 2 * (part(a, m, td) + part(m - a, m, nd - td) + part(td - a, nd - m, td) + part(nd - td - m + a, nd - m, nd - td))
-    # With labels that are common anyway no term can be that much more so.
-    lift = min(LEAST_LIFT, 0.5 * (1 + n / toxic))
-    told = per_term.where((a >= LEAST_SHARE * td) & (a * nd >= lift * m * td)).select("term", "a", "m", g.alias("g"))
-    rows = told.where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(MAX_TERMS).collect()
-    # Of a word and its beginnings that are found in the same examples, the longest is enough.
-    longest: dict[tuple, str] = {}
-    for r in rows:
-        longest.setdefault((r["a"], r["m"], r["term"][: BEGINNINGS[0]]), r["term"])
-    return list(longest.values())
+            s = segment[inside]
+            posting, of = _ranges(self.first[s], self.first[s + 1])
+            # Cosines that differ in the last bits are equal.
+            cosines = np.round(np.bincount(self.entry[posting], self.weight[posting] * x[inside][of], len(self.toxic)), 9)
+            if without is not None:
+                cosines[self.example == without] = 0
+            found = np.flatnonzero((cosines > 0) & (cosines >= worst))
+            scores, entries = np.append(scores, cosines[found]), np.append(entries, found)
+            best = np.lexsort((entries, self.example[entries], -scores))[:k]
+            scores, entries = scores[best], entries[best]
+            if len(best) == k:
+                worst = float(scores[-1])
+            at, step = at + step, step * 2
+        return scores, entries
+
+    def vote(self, text: str, without: int | None = None) -> tuple[float, list[int]]:
+        """The label's share among the nearest, by distance, and the examples it rests on most."""
+        words = Counter(words_of(text))
+        if not words or not len(self.toxic):
+            return self.rate, []
+        cosines, entries = self.nearest(*self.vector(words), NEIGHBOURS, without)
+        weight = cosines / (NEAREST + np.maximum(0.0, 1 - cosines))
+        voted = PRIOR_WEIGHT * self.rate + float(weight @ self.toxic[entries])
+        return voted / (PRIOR_WEIGHT + float(weight.sum())), self.example[entries[:3]].tolist()
+
+    def score(self, text: str) -> tuple[float, list[int]]:
+        share, evidence = self.vote(text)
+        return calibrated(share, self.curve), evidence
+
+
+def build_index(rows: list, df: np.ndarray, n_docs: int, numbers: dict[str, int]) -> Index:
+    """``rows``: words, counts, label, doc_id of each example; ``df``: documents that have a term, of ``n_docs``."""
+    rows = sorted((r for r in rows if len(r["words"])), key=lambda r: r["doc_id"])
+    ids = [np.array([numbers[w] for w in r["words"]], dtype=np.int64) for r in rows]
+    label = np.array([r["label"] for r in rows], dtype=np.float64)
+    size = len(numbers)
+    seen, labelled = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+    for i, y in zip(ids, label):
+        seen[i] += 1
+        labelled[i] += int(y)
+    told = association(seen, labelled, max(1, len(rows)), int(label.sum()))
+    factors = np.log((1 + n_docs) / np.maximum(df, 1)) * (1 + told)
+    rate = float(label.mean()) if len(rows) else 0.0
+    empty = np.empty(0)
+    index = Index(numbers, factors, math.log(1 + n_docs), empty, empty, empty, empty, empty, empty, label, empty, rate)
+    vectors = [index.vector(Counter(dict(zip(r["words"], r["counts"])))) for r in rows]
+    # Examples with the same heaviest term stand together, which makes the blocks' bounds tight.
+    order = sorted(range(len(rows)), key=lambda n: (int(vectors[n][0][np.argmax(vectors[n][1])]), rows[n]["doc_id"], n))
+    term = np.concatenate([vectors[n][0] for n in order] or [np.empty(0, dtype=np.int64)])
+    weight = np.concatenate([vectors[n][1] for n in order] or [empty])
+    entry = np.repeat(np.arange(len(order)), [len(vectors[n][0]) for n in order])
+    by_term = np.argsort(term, kind="stable")  # entries stay in order, hence blocks too
+    term, weight, entry = term[by_term], weight[by_term], entry[by_term]
+    block = entry // BLOCK
+    begins = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
+    index.segments = np.searchsorted(term[begins], np.arange(size + 1))
+    index.block = block[begins]
+    index.largest = np.maximum.reduceat(weight, begins) if len(begins) else empty
+    index.first = np.append(begins, len(term))
+    index.entry, index.weight = entry, weight
+    index.toxic = label[order] if len(order) else empty
+    index.example = np.array([rows[n]["doc_id"] for n in order], dtype=np.int64)
+    return index
+
+
+def fitted_curve(shares: np.ndarray, labels: np.ndarray) -> tuple[float, float] | None:
+    """Offset and slope of the logistic curve from a vote's log odds to the label; None unless both labels are there and
+    it rises. Targets are drawn in by one row of each label, so that separable votes have a curve too."""
+    n1 = int(labels.sum())
+    n0 = len(labels) - n1
+    if not n0 or not n1:
+        return None
+    x = _log_odds(shares)
+    target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    design = np.stack([np.ones_like(x), x], axis=1)
+    at = np.array([0.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ at, -30, 30)))
+        bend = (design * (p * (1 - p) + 1e-9)[:, None]).T @ design + 1e-6 * np.eye(2)
+        step = np.linalg.solve(bend, design.T @ (target - p))
+        at = at + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-10:
+            break
+    return (float(at[0]), float(at[1])) if at[1] > 0 else None
+
+
+def _log_odds(share):
+    inside = np.clip(share, 1e-9, 1 - 1e-9)
+    return np.log(inside / (1 - inside))
+
+
+def calibrated(share: float, curve: tuple[float, float] | None) -> float:
+    if curve is None:
+        return share
+    return float(1 / (1 + math.exp(-max(-700.0, min(700.0, curve[0] + curve[1] * float(_log_odds(share)))))))
+
+
+_BAG = T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(_BAG)
+def _bags(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in texts:
+        bags = [sorted(Counter(words_of(x)).items()) for x in batch]
+        yield pd.DataFrame([([w for w, _ in b], [n for _, n in b]) for b in bags], columns=["words", "counts"])
+
+
+def document_frequencies(docs: DataFrame, numbers: dict[str, int]) -> np.ndarray:
+    """In how many rows of ``docs`` each of the words is. A task counts its rows first, so that what is shuffled, and what
+    the driver sees, is one number per word."""
+    known = docs.sparkSession.sparkContext.broadcast(numbers)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = known.value
+        seen = np.zeros(len(number), dtype=np.int64)
+        for b in batches:
+            for text in b["text"]:
+                seen[[i for i in map(number.get, set(words_of(text))) if i is not None]] += 1
+        at = np.flatnonzero(seen)
+        yield pd.DataFrame({"term": at, "n": seen[at]})
+
+    found = docs.select(text_or_empty().alias("text")).mapInPandas(count, "term long, n long")
+    df = np.zeros(len(numbers), dtype=np.int64)
+    for r in found.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        df[r["term"]] = r["n"]
+    return df
 
 
 class Scorer:
-    """Learns from ``labels (doc_id, label)`` of ``docs (doc_id, text)``, then scores any rows of the same shape.
+    """Learns from ``labels (doc_id, label)`` of ``docs (doc_id, text)``, then scores texts.
 
-    ``with_vectors`` holds every row of ``docs`` once with its vector, in the shared folder: ``carry`` names the columns
-    kept beside it. Only examples' vectors (``MAX_EXAMPLES``, bounded) and one number per term reach the driver.
+    The driver holds the examples' words (``MAX_EXAMPLES`` rows) and one number per word of theirs, and broadcasts their index.
     """
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, carry: list[str]):
+    def __init__(self, docs: DataFrame, labels: DataFrame):
         spark = docs.sparkSession
         prepare(spark)
         wanted = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -250,47 +258,48 @@ class Scorer:
             F.min("doc_id").alias("doc_id"), F.first("text").alias("text"), F.max("label").cast("long").alias("label")
         )
         examples = stored(text.select("doc_id", "text", "label"), "examples")
-        self.terms = informative_terms(examples)
-        self.vector = fresh_name(docs, "_vector")
-        rows = docs.select(*carry, vector_column(text_or_empty(), self.terms).alias(self.vector))
-        self.with_vectors = stored(rows, "vectors")
-        seen = self.with_vectors.select(F.explode(f"{self.vector}.ids").alias("i")).groupBy("i").count().collect()
-        n_docs = self.with_vectors.count()
-        idf = np.zeros(len(self.terms))
-        for r in seen:  # a row per term
-            idf[r["i"]] = math.log((1 + n_docs) / r["count"])
-        v = vector_column(text_or_empty(), self.terms)
-        known = examples.select("doc_id", "label", v.alias("v")).select("doc_id", "label", "v.*").collect()
-        rate = sum(r["label"] for r in known) / len(known) if known else 0.0
-        self.index = spark.sparkContext.broadcast(build_index(known, idf, rate))
-
-    def score(self, vector: Column) -> Column:
+        rows = examples.select("doc_id", "label", _bags("text").alias("b")).select("doc_id", "label", "b.*").collect()
+        numbers = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["words"]}))}
+        n_docs = docs.count()
+        index = build_index(rows, document_frequencies(docs, numbers), n_docs, numbers)
+        index.curve = self._curve(examples, index)
+        self.index = spark.sparkContext.broadcast(index)
+
+    @staticmethod
+    def _curve(examples: DataFrame, index: Index) -> tuple[float, float] | None:
+        known = examples.sparkSession.sparkContext.broadcast(index)
+
+        @F.pandas_udf("double")
+        def share(text: pd.Series, doc_id: pd.Series) -> pd.Series:
+            return pd.Series([known.value.vote(t, int(i))[0] for t, i in zip(text, doc_id)], dtype="float64")
+
+        votes = examples.where(F.col("text") != "").select("label", share("text", "doc_id").alias("share")).collect()
+        return fitted_curve(np.array([r["share"] for r in votes]), np.array([r["label"] for r in votes], dtype=np.float64))
+
+    def score(self, text: Column) -> Column:
         """``score``, 0 to 1, and ``evidence``, the ids of up to three nearest examples."""
         index = self.index
 
         @F.pandas_udf("score double, evidence array<long>")
-        def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             found = index.value
-            for b in batches:
-                rows = [found.score(i, c, int(n)) for i, c, n in zip(b["ids"], b["counts"], b["words"])]
-                yield pd.DataFrame(rows, columns=["score", "evidence"])
+            for texts in batches:
+                yield pd.DataFrame([found.score(t) for t in texts], columns=["score", "evidence"])
 
-        return scores(vector)
+        return scores(F.coalesce(text, F.lit("")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, score, evidence`` for every row of ``docs (doc_id, text)``.
 
-    A null or empty text has no neighbours: its score is the rate of the label among the examples (0 without examples).
+    A null or empty text has no neighbours: its vote is the rate of the label among the examples (0 without examples).
     Equal texts have equal scores; labels without a document, null labels and null ids teach nothing; of the labels of
     one id, or of equal texts, the largest counts. Other columns are ignored.
     """
-    scorer = Scorer(docs, labels, ["doc_id"])
-    s = scorer.score(F.col(scorer.vector))
-    return scorer.with_vectors.select("doc_id", s.alias("s")).select("doc_id", "s.score", "s.evidence")
+    s = Scorer(docs, labels).score(F.col("text"))
+    return docs.select("doc_id", s.alias("s")).select("doc_id", "s.score", "s.evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, as they came."""
-    scorer = Scorer(docs, labels, docs.columns)
-    return scorer.with_vectors.where(scorer.score(F.col(scorer.vector))["score"] < threshold).select(*docs.columns)
+    return docs.where(Scorer(docs, labels).score(F.col("text"))["score"] < threshold)

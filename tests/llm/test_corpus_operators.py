@@ -307,33 +307,86 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(s >= 0.7 for s in clean) <= 0.03 * len(clean)
 
 
-def test_nearest_is_exact():
-    rng = np.random.default_rng(2)
-    n_terms = 12
-    idf = rng.uniform(1, 4, n_terms)
+def example_index(n=700, n_words=40, seed=2):
+    rng = np.random.default_rng(seed)
+    names = [f"w{i:02}" for i in range(n_words)]
     rows = []
-    for i in range(700):
-        ids = sorted(rng.choice(n_terms, rng.integers(0, 4), replace=False).tolist())
-        rows.append({"ids": ids, "counts": rng.integers(1, 5, len(ids)).tolist(), "words": int(rng.integers(1, 90)), "label": i % 3 == 0, "doc_id": i})
-    index = toxicity.build_index(rows, idf, 0.3)
-    entries = len(index.sizes)
-    full = np.zeros((entries, n_terms + 1))
-    for t in range(n_terms + 1):
-        for b in range(index.largest.shape[1]):
-            at = slice(index.starts[t][b], index.starts[t][b + 1])
-            full[b * toxicity.BLOCK + index.entries[t][at], t] = index.weights[t][at]
-    assert int(index.sizes.sum()) == len(rows)
-    for r in rows[:150]:
-        ids, w = index.weigh(r["ids"], r["counts"], r["words"])
-        cosines = np.round(full[:, ids] @ w, 9)
-        order = sorted(np.flatnonzero(cosines > 0), key=lambda i: (-cosines[i], i))
-        want, reached = [], 0
-        for i in order:
-            want.append((cosines[i], i))
-            reached += index.sizes[i]
-            if reached >= index.k:
-                break
-        assert [(pytest.approx(s), i) for s, i in want] == index.nearest(ids, w, index.k)
+    for i in range(n):
+        words = sorted(rng.choice(names, rng.integers(0, 9), replace=False).tolist())
+        rows.append({"words": words, "counts": rng.integers(1, 5, len(words)).tolist(), "label": int(i % 3 == 0), "doc_id": i})
+    numbers = {w: i for i, w in enumerate(names)}
+    df = np.array([sum(w in r["words"] for r in rows) for w in names])
+    return toxicity.build_index(rows, df, 2 * n, numbers), rows
+
+
+def test_nearest_is_exact():
+    index, rows = example_index()
+    known = [r for r in rows if r["words"]]
+    assert sorted(index.example.tolist()) == [r["doc_id"] for r in known]
+    full = {}
+    for r in known:
+        v = np.zeros(len(index.numbers))
+        ids, w = index.vector(Counter(dict(zip(r["words"], r["counts"]))))
+        v[ids] = w
+        assert np.linalg.norm(v) == pytest.approx(1)
+        full[r["doc_id"]] = v
+    for r in known[:150]:
+        asked = Counter(dict(zip(r["words"], r["counts"]))) + Counter({"unknown": r["doc_id"] % 2})
+        ids, w = index.vector(asked)
+        for without in (None, r["doc_id"]):
+            cosines = {i: round(float(v[ids] @ w), 9) for i, v in full.items() if i != without}
+            want = sorted((-c, i) for i, c in cosines.items() if c > 0)[: toxicity.NEIGHBOURS]
+            found, entries = index.nearest(ids, w, toxicity.NEIGHBOURS, without)
+            assert found.tolist() == pytest.approx([-c for c, _ in want], abs=2e-9)
+            assert sorted(index.example[entries[found > found[-1] + 2e-9]]) == sorted(i for c, i in want if -c > -want[-1][0] + 2e-9)
+
+
+def test_terms_weigh_by_all_documents_and_labels():
+    index, rows = example_index()
+    known = [r for r in rows if r["words"]]
+    n, toxic = len(known), sum(r["label"] for r in known)
+    for word, i in index.numbers.items():
+        m = sum(word in r["words"] for r in known)
+        a = sum(word in r["words"] for r in known if r["label"])
+        cells = [(a, m, toxic), (m - a, m, n - toxic), (toxic - a, n - m, toxic), (n - toxic - m + a, n - m, n - toxic)]
+        g = 2 * sum(c * np.log(c * n / (r * t)) for c, r, t in cells if c) if a * n > m * toxic else 0
+        df = sum(word in r["words"] for r in rows)
+        assert index.factors[i] == pytest.approx(np.log((1 + 1400) / df) * (1 + g))
+
+
+def test_toxic_examples_are_their_own_nearest(spark, docs):
+    sf = "/root/testdata/sf0.01"
+    base = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = queries.training_labels(spark, sf)
+    toxic = [r.doc_id for r in labels.where("label = 1").collect()]
+    copies = base.where(F.col("doc_id").isin(toxic)).select((F.col("doc_id") + 10**9).alias("doc_id"), "text")
+    scorer = toxicity.Scorer(base, labels)
+    s = scorer.score(F.col("text"))
+    got = {r.doc_id: r for r in base.unionByName(copies).select("doc_id", "text", s.alias("s")).collect()}
+    index = scorer.index.value
+    for i in toxic:
+        assert got[i].s == got[i + 10**9].s
+        if got[i].text:
+            cosines, entries = index.nearest(*index.vector(Counter(toxicity.words_of(got[i].text))), 3)
+            assert cosines[0] == 1
+            same = {e for c, e in zip(cosines, index.example[entries]) if c == 1}
+            assert {" ".join(sorted(toxicity.words_of(got[e].text))) for e in same} == {" ".join(sorted(toxicity.words_of(got[i].text)))}
+    # Unlike texts share a score only where no example has a word of theirs.
+    by_score = {}
+    for r in got.values():
+        if r.s.evidence:
+            by_score.setdefault(r.s.score, set()).add(tuple(sorted(Counter(toxicity.words_of(r.text)).items())))
+    assert max(map(len, by_score.values())) <= 2
+
+
+def test_curve_is_calibrated():
+    rng = np.random.default_rng(0)
+    share = rng.uniform(0.01, 0.99, 20_000)
+    truth = 1 / (1 + np.exp(-(-1 + 2.5 * np.log(share / (1 - share)))))
+    curve = toxicity.fitted_curve(share, (rng.uniform(size=len(share)) < truth).astype(float))
+    assert curve == pytest.approx((-1, 2.5), abs=0.15)
+    assert toxicity.fitted_curve(share, np.ones(len(share))) is None
+    assert toxicity.calibrated(0.0, (0.0, 50.0)) < 1e-9 and toxicity.calibrated(0.3, None) == 0.3
 
 
 def test_toxicity_stands_odd_rows(spark, docs, empty_docs, odd):
