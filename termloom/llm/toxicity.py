@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,11 @@ MAX_EXAMPLES = 4_000
 NEIGHBOURS = 15
 PRIOR_WEIGHT = 1.0
 NEAREST = 0.05
-#: Examples in one block of the index.
+#: Examples in one block of the index; a term of more than this share of them has a weight for each instead of postings.
 BLOCK = 64
+COMMON = 1 / 16
+#: Texts whose common terms are multiplied at once; always as many, so that a sum doesn't depend on a text's neighbours.
+GROUP = 64
 THRESHOLD = 0.7
 
 _WORD = re.compile(r"\w+")
@@ -43,7 +47,10 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """All numbers from each ``first`` up to its ``last``, and which of the ranges each belongs to."""
     sizes = last - first
     owner = np.repeat(np.arange(len(first)), sizes)
-    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[owner], owner
+    shift = first - np.cumsum(sizes) + sizes
+    numbers = shift[owner]
+    numbers += np.arange(len(owner))
+    return numbers, owner
 
 
 def association(seen: np.ndarray, labelled: np.ndarray, n: int, n_labelled: int) -> np.ndarray:
@@ -76,69 +83,87 @@ class Index:
     weight: np.ndarray
     toxic: np.ndarray  # by entry
     example: np.ndarray  # by entry: the document's id
+    common: np.ndarray  # by term: its row of the next, or -1
+    full: np.ndarray  # weights of common terms by entry, up to the end of the last block
     rate: float
     curve: tuple[float, float] | None = None
 
     def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms, ascending, and their weights in the unit vector of all words."""
-        known, other = [], []
-        for word, n in words.items():
-            i = self.numbers.get(word)
-            if i is None:
-                other.append(n)
-            else:
-                known.append((i, n))
-        pairs = np.array(sorted(known), dtype=np.int64).reshape(-1, 2)
-        w = (1 + np.log(pairs[:, 1])) * self.factors[pairs[:, 0]]
-        rest = (1 + np.log(np.array(sorted(other), dtype=np.float64))) * self.beyond
-        norm = math.sqrt(float(w @ w) + float(rest @ rest))
-        return pairs[:, 0], w / norm if norm else w
-
-    def nearest(self, ids: np.ndarray, w: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.fromiter(map(self.numbers.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        w = 1 + np.log(np.fromiter(words.values(), dtype=np.float64, count=len(words)))
+        order = np.lexsort((w, ids))  # sums don't depend on the order of words
+        ids, w = ids[order], w[order]
+        known = int(np.searchsorted(ids, 0))
+        w[:known] *= self.beyond
+        w[known:] *= self.factors[ids[known:]]
+        norm = math.sqrt(float(w @ w))
+        return ids[known:], w[known:] / norm if norm else w[known:]
+
+    def common_parts(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common terms add to the cosines of at most ``GROUP`` vectors with every entry."""
+        weights = np.zeros((GROUP, len(self.full)))
+        for n, (ids, w) in enumerate(vectors):
+            row = self.common[ids]
+            weights[n, row[row >= 0]] = w[row >= 0]
+        return weights @ self.full
+
+    def nearest(
+        self, ids: np.ndarray, w: np.ndarray, base: np.ndarray, k: int, without: int | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and entries of the ``k`` nearest, nearest first, those of no likeness left out; exact. Equal cosines go by
-        the example's id. ``without`` is the id of an example that doesn't count."""
+        the example's id. ``base`` is the vector's row of ``common_parts``, ``without`` an example that doesn't count."""
+        n_blocks = self.full.shape[1] // BLOCK
+        # What common terms add is known of every entry; only the rest has to be bounded.
         segment, owner = _ranges(self.segments[ids], self.segments[ids + 1])
         x, block = w[owner], self.block[segment]
-        n_blocks = -(-len(self.toxic) // BLOCK)
-        bounds = np.bincount(block, x * self.largest[segment], n_blocks)
+        bounds = np.bincount(block, x * self.largest[segment], n_blocks) + base.reshape(n_blocks, BLOCK).max(axis=1)
+        if without is not None:
+            base = base.copy()
+            base[: len(self.example)][self.example == without] = -np.inf
         order = np.argsort(-bounds, kind="stable")
         scores, entries = np.empty(0), np.empty(0, dtype=np.int64)
         worst, at, step = 0.0, 0, 1
         while at < n_blocks:
-            opened = np.zeros(n_blocks, dtype=bool)
             some = order[at : at + step]
-            opened[some[bounds[some] > worst - 1e-9]] = True
-            inside = opened[block]
-            if not inside.any():
+            some = some[bounds[some] > worst - 1e-9]
+            if not len(some):
                 break
+            opened = np.zeros(n_blocks, dtype=bool)
+            opened[some] = True
+            inside = opened[block]
             s = segment[inside]
             posting, of = _ranges(self.first[s], self.first[s + 1])
+            parts = self.weight[posting]
+            parts *= x[inside][of]
+            cosines = np.bincount(self.entry[posting], parts, n_blocks * BLOCK) + base
             # Cosines that differ in the last bits are equal.
-            cosines = np.round(np.bincount(self.entry[posting], self.weight[posting] * x[inside][of], len(self.toxic)), 9)
-            if without is not None:
-                cosines[self.example == without] = 0
-            found = np.flatnonzero((cosines > 0) & (cosines >= worst))
+            cosines = np.round(cosines, 9)
+            found = np.flatnonzero((cosines > 0) & (cosines >= worst) & np.repeat(opened, BLOCK))
             scores, entries = np.append(scores, cosines[found]), np.append(entries, found)
             best = np.lexsort((entries, self.example[entries], -scores))[:k]
             scores, entries = scores[best], entries[best]
             if len(best) == k:
                 worst = float(scores[-1])
-            at, step = at + step, step * 2
+            at, step = at + step, step * 8
         return scores, entries
 
-    def vote(self, text: str, without: int | None = None) -> tuple[float, list[int]]:
-        """The label's share among the nearest, by distance, and the examples it rests on most."""
-        words = Counter(words_of(text))
-        if not words or not len(self.toxic):
-            return self.rate, []
-        cosines, entries = self.nearest(*self.vector(words), NEIGHBOURS, without)
-        weight = cosines / (NEAREST + np.maximum(0.0, 1 - cosines))
-        voted = PRIOR_WEIGHT * self.rate + float(weight @ self.toxic[entries])
-        return voted / (PRIOR_WEIGHT + float(weight.sum())), self.example[entries[:3]].tolist()
+    def votes(self, texts: list[str], without: list[int] | None = None) -> Iterator[tuple[float, list[int]]]:
+        """Of each text the label's share among its nearest, by distance, and the examples it rests on most."""
+        for at in range(0, len(texts), GROUP):
+            vectors = [self.vector(Counter(words_of(t))) for t in texts[at : at + GROUP]]
+            parts = self.common_parts(vectors)
+            for n, (ids, w) in enumerate(vectors):
+                if not len(ids):
+                    yield self.rate, []
+                    continue
+                cosines, entries = self.nearest(ids, w, parts[n], NEIGHBOURS, None if without is None else without[at + n])
+                weight = cosines / (NEAREST + np.maximum(0.0, 1 - cosines))
+                voted = PRIOR_WEIGHT * self.rate + float(weight @ self.toxic[entries])
+                yield voted / (PRIOR_WEIGHT + float(weight.sum())), self.example[entries[:3]].tolist()
 
-    def score(self, text: str) -> tuple[float, list[int]]:
-        share, evidence = self.vote(text)
-        return calibrated(share, self.curve), evidence
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        return [(calibrated(share, self.curve), evidence) for share, evidence in self.votes(texts)]
 
 
 def build_index(rows: list, df: np.ndarray, n_docs: int, numbers: dict[str, int]) -> Index:
@@ -155,7 +180,7 @@ def build_index(rows: list, df: np.ndarray, n_docs: int, numbers: dict[str, int]
     factors = np.log((1 + n_docs) / np.maximum(df, 1)) * (1 + told)
     rate = float(label.mean()) if len(rows) else 0.0
     empty = np.empty(0)
-    index = Index(numbers, factors, math.log(1 + n_docs), empty, empty, empty, empty, empty, empty, label, empty, rate)
+    index = Index(numbers, factors, math.log(1 + n_docs), *[empty] * 6, label, empty, empty, empty, rate)
     vectors = [index.vector(Counter(dict(zip(r["words"], r["counts"])))) for r in rows]
     # Examples with the same heaviest term stand together, which makes the blocks' bounds tight.
     order = sorted(range(len(rows)), key=lambda n: (int(vectors[n][0][np.argmax(vectors[n][1])]), rows[n]["doc_id"], n))
@@ -164,6 +189,12 @@ def build_index(rows: list, df: np.ndarray, n_docs: int, numbers: dict[str, int]
     entry = np.repeat(np.arange(len(order)), [len(vectors[n][0]) for n in order])
     by_term = np.argsort(term, kind="stable")  # entries stay in order, hence blocks too
     term, weight, entry = term[by_term], weight[by_term], entry[by_term]
+    often = seen > COMMON * len(rows)
+    index.common = np.where(often, np.cumsum(often) - 1, -1)
+    index.full = np.zeros((int(often.sum()), -(-len(rows) // BLOCK) * BLOCK))
+    dense = often[term]
+    index.full[index.common[term[dense]], entry[dense]] = weight[dense]
+    term, weight, entry = term[~dense], weight[~dense], entry[~dense]
     block = entry // BLOCK
     begins = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
     index.segments = np.searchsorted(term[begins], np.arange(size + 1))
@@ -271,7 +302,7 @@ class Scorer:
 
         @F.pandas_udf("double")
         def share(text: pd.Series, doc_id: pd.Series) -> pd.Series:
-            return pd.Series([known.value.vote(t, int(i))[0] for t, i in zip(text, doc_id)], dtype="float64")
+            return pd.Series([v for v, _ in known.value.votes(text.tolist(), doc_id.tolist())], dtype="float64")
 
         votes = examples.where(F.col("text") != "").select("label", share("text", "doc_id").alias("share")).collect()
         return fitted_curve(np.array([r["share"] for r in votes]), np.array([r["label"] for r in votes], dtype=np.float64))
@@ -284,7 +315,7 @@ class Scorer:
         def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             found = index.value
             for texts in batches:
-                yield pd.DataFrame([found.score(t) for t in texts], columns=["score", "evidence"])
+                yield pd.DataFrame(found.scores(texts.tolist()), columns=["score", "evidence"])
 
         return scores(F.coalesce(text, F.lit("")))
 

@@ -307,12 +307,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(s >= 0.7 for s in clean) <= 0.03 * len(clean)
 
 
-def example_index(n=700, n_words=40, seed=2):
+def example_index(n=700, n_words=200, seed=2):
     rng = np.random.default_rng(seed)
-    names = [f"w{i:02}" for i in range(n_words)]
+    names = [f"w{i:03}" for i in range(n_words)]
+    share = 1 / np.arange(1, n_words + 1)
     rows = []
     for i in range(n):
-        words = sorted(rng.choice(names, rng.integers(0, 9), replace=False).tolist())
+        words = sorted(rng.choice(names, rng.integers(0, 30), replace=False, p=share / share.sum()).tolist())
         rows.append({"words": words, "counts": rng.integers(1, 5, len(words)).tolist(), "label": int(i % 3 == 0), "doc_id": i})
     numbers = {w: i for i, w in enumerate(names)}
     df = np.array([sum(w in r["words"] for r in rows) for w in names])
@@ -322,6 +323,7 @@ def example_index(n=700, n_words=40, seed=2):
 def test_nearest_is_exact():
     index, rows = example_index()
     known = [r for r in rows if r["words"]]
+    assert 0 < len(index.full) < len(index.numbers)  # common and rare terms
     assert sorted(index.example.tolist()) == [r["doc_id"] for r in known]
     full = {}
     for r in known:
@@ -333,10 +335,11 @@ def test_nearest_is_exact():
     for r in known[:150]:
         asked = Counter(dict(zip(r["words"], r["counts"]))) + Counter({"unknown": r["doc_id"] % 2})
         ids, w = index.vector(asked)
+        base = index.common_parts([(ids, w)])[0]
         for without in (None, r["doc_id"]):
             cosines = {i: round(float(v[ids] @ w), 9) for i, v in full.items() if i != without}
             want = sorted((-c, i) for i, c in cosines.items() if c > 0)[: toxicity.NEIGHBOURS]
-            found, entries = index.nearest(ids, w, toxicity.NEIGHBOURS, without)
+            found, entries = index.nearest(ids, w, base, toxicity.NEIGHBOURS, without)
             assert found.tolist() == pytest.approx([-c for c, _ in want], abs=2e-9)
             assert sorted(index.example[entries[found > found[-1] + 2e-9]]) == sorted(i for c, i in want if -c > -want[-1][0] + 2e-9)
 
@@ -350,7 +353,7 @@ def test_terms_weigh_by_all_documents_and_labels():
         a = sum(word in r["words"] for r in known if r["label"])
         cells = [(a, m, toxic), (m - a, m, n - toxic), (toxic - a, n - m, toxic), (n - toxic - m + a, n - m, n - toxic)]
         g = 2 * sum(c * np.log(c * n / (r * t)) for c, r, t in cells if c) if a * n > m * toxic else 0
-        df = sum(word in r["words"] for r in rows)
+        df = max(1, sum(word in r["words"] for r in rows))
         assert index.factors[i] == pytest.approx(np.log((1 + 1400) / df) * (1 + g))
 
 
@@ -367,7 +370,8 @@ def test_toxic_examples_are_their_own_nearest(spark, docs):
     for i in toxic:
         assert got[i].s == got[i + 10**9].s
         if got[i].text:
-            cosines, entries = index.nearest(*index.vector(Counter(toxicity.words_of(got[i].text))), 3)
+            v = index.vector(Counter(toxicity.words_of(got[i].text)))
+            cosines, entries = index.nearest(*v, index.common_parts([v])[0], 3)
             assert cosines[0] == 1
             same = {e for c, e in zip(cosines, index.example[entries]) if c == 1}
             assert {" ".join(sorted(toxicity.words_of(got[e].text))) for e in same} == {" ".join(sorted(toxicity.words_of(got[i].text)))}
