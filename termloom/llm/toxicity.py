@@ -31,7 +31,7 @@ PRIOR_WEIGHT = 1.0
 NEAREST = 0.05
 #: Examples in one block of the index; a term of more than this share of them has a weight for each instead of postings.
 BLOCK = 64
-COMMON = 1 / 16
+COMMON = 1 / 8
 #: Texts whose common terms are multiplied at once; always as many, so that a sum doesn't depend on a text's neighbours.
 GROUP = 64
 THRESHOLD = 0.7
@@ -86,7 +86,6 @@ class Index:
     common: np.ndarray  # by term: its row of the next, or -1
     full: np.ndarray  # weights of common terms by entry, up to the end of the last block
     rate: float
-    curve: tuple[float, float] | None = None
 
     def vector(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms, ascending, and their weights in the unit vector of all words."""
@@ -162,9 +161,6 @@ class Index:
                 voted = PRIOR_WEIGHT * self.rate + float(weight @ self.toxic[entries])
                 yield voted / (PRIOR_WEIGHT + float(weight.sum())), self.example[entries[:3]].tolist()
 
-    def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
-        return [(calibrated(share, self.curve), evidence) for share, evidence in self.votes(texts)]
-
 
 def build_index(rows: list, df: np.ndarray, n_docs: int, numbers: dict[str, int]) -> Index:
     """``rows``: words, counts, label, doc_id of each example; ``df``: documents that have a term, of ``n_docs``."""
@@ -190,18 +186,18 @@ def build_index(rows: list, df: np.ndarray, n_docs: int, numbers: dict[str, int]
     by_term = np.argsort(term, kind="stable")  # entries stay in order, hence blocks too
     term, weight, entry = term[by_term], weight[by_term], entry[by_term]
     often = seen > COMMON * len(rows)
-    index.common = np.where(often, np.cumsum(often) - 1, -1)
+    index.common = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
     index.full = np.zeros((int(often.sum()), -(-len(rows) // BLOCK) * BLOCK))
     dense = often[term]
     index.full[index.common[term[dense]], entry[dense]] = weight[dense]
     term, weight, entry = term[~dense], weight[~dense], entry[~dense]
     block = entry // BLOCK
     begins = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
-    index.segments = np.searchsorted(term[begins], np.arange(size + 1))
-    index.block = block[begins]
+    index.segments = np.searchsorted(term[begins], np.arange(size + 1)).astype(np.int32)
+    index.block = block[begins].astype(np.int32)
     index.largest = np.maximum.reduceat(weight, begins) if len(begins) else empty
-    index.first = np.append(begins, len(term))
-    index.entry, index.weight = entry, weight
+    index.first = np.append(begins, len(term)).astype(np.int32)
+    index.entry, index.weight = entry.astype(np.int32), weight
     index.toxic = label[order] if len(order) else empty
     index.example = np.array([rows[n]["doc_id"] for n in order], dtype=np.int64)
     return index
@@ -267,6 +263,7 @@ def document_frequencies(docs: DataFrame, numbers: dict[str, int]) -> np.ndarray
     df = np.zeros(len(numbers), dtype=np.int64)
     for r in found.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         df[r["term"]] = r["n"]
+    known.destroy()
     return df
 
 
@@ -292,13 +289,11 @@ class Scorer:
         rows = examples.select("doc_id", "label", _bags("text").alias("b")).select("doc_id", "label", "b.*").collect()
         numbers = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["words"]}))}
         n_docs = docs.count()
-        index = build_index(rows, document_frequencies(docs, numbers), n_docs, numbers)
-        index.curve = self._curve(examples, index)
-        self.index = spark.sparkContext.broadcast(index)
+        self.index = spark.sparkContext.broadcast(build_index(rows, document_frequencies(docs, numbers), n_docs, numbers))
+        self.curve = self._curve(examples)
 
-    @staticmethod
-    def _curve(examples: DataFrame, index: Index) -> tuple[float, float] | None:
-        known = examples.sparkSession.sparkContext.broadcast(index)
+    def _curve(self, examples: DataFrame) -> tuple[float, float] | None:
+        known = self.index
 
         @F.pandas_udf("double")
         def share(text: pd.Series, doc_id: pd.Series) -> pd.Series:
@@ -309,13 +304,13 @@ class Scorer:
 
     def score(self, text: Column) -> Column:
         """``score``, 0 to 1, and ``evidence``, the ids of up to three nearest examples."""
-        index = self.index
+        index, curve = self.index, self.curve
 
         @F.pandas_udf("score double, evidence array<long>")
         def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            found = index.value
             for texts in batches:
-                yield pd.DataFrame(found.scores(texts.tolist()), columns=["score", "evidence"])
+                found = [(calibrated(v, curve), e) for v, e in index.value.votes(texts.tolist())]
+                yield pd.DataFrame(found, columns=["score", "evidence"])
 
         return scores(F.coalesce(text, F.lit("")))
 
