@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import sys
-import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -106,7 +106,8 @@ def hashed_bag_encoder(dim: int = 64) -> Encoder:
         def encode(texts: list[str]) -> list[list[float]]:
             out = []
             for text in texts:
-                hashes = [zlib.crc32(w.encode("utf-8")) for w in word.findall(text.lower())]
+                found = word.findall(text.lower())
+                hashes = [int.from_bytes(hashlib.md5(w.encode("utf-8")).digest()[:4], "big") for w in found]
                 if not hashes:
                     raise ValueError("nothing to embed")
                 vector = [0.0] * dim

@@ -59,6 +59,14 @@ def last_hot_stats(log: DataFrame) -> DataFrame:
     return hot.select("term", "s.hits", "s.shards", "s.ts")
 
 
+def answered_hot_stats(responses: DataFrame, routed: DataFrame, asked: DataFrame) -> DataFrame:
+    """The last write per hot term after a search: ``responses`` give the hits, ``routed`` the shards that were asked, and
+    ``asked (query_id, ts)`` the time."""
+    shards = routed.select("query_id", F.size("route").cast("long").alias("shards"))
+    log = responses.select("query_id", F.col("query").alias("q"), "routing_type", F.col("total_hits").alias("hits"))
+    return last_hot_stats(log.join(shards, "query_id").join(asked.select("query_id", "ts"), "query_id"))
+
+
 def stats_entries(stats: DataFrame) -> DataFrame:
     """Statistics as routing entries."""
     value = F.format_string("hits:%d shards:%d ts:%d", "hits", "shards", "ts")

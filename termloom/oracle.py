@@ -139,6 +139,24 @@ candidates AS (
 RANKED = "SELECT query_id, rank, id, score, shard FROM top"
 
 
+def bag_vectors(dim: int) -> str:
+    """digests(k1, k2, dims, square, ramp, steep) of the hashed bag of words of texts(k1, k2, text)."""
+    return f"""
+bags AS (
+  SELECT k1, k2, h % {dim} AS place, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS signed, count(*) AS plain
+  FROM (SELECT k1, k2, ('0x' || substr(md5(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))), 1, 8))::BIGINT AS h
+    FROM texts) GROUP BY ALL),
+counted AS (
+  SELECT k1, k2, place, CASE WHEN max(abs(signed)) OVER (PARTITION BY k1, k2) > 0 THEN signed ELSE plain END::DOUBLE AS x FROM bags),
+sums AS (
+  SELECT k1, k2, sum(x * x) AS square, sum(x * (place + 1)) AS ramp, sum(x * (place + 1) * (place + 1)) AS steep
+  FROM counted GROUP BY ALL),
+digests AS (
+  SELECT t.k1, t.k2, CASE WHEN square IS NULL THEN 0 ELSE {dim} END::BIGINT AS dims, round(square / square, 5) AS square,
+    round(ramp / sqrt(square), 5) AS ramp, round(steep / sqrt(square), 5) AS steep
+  FROM texts t LEFT JOIN sums USING (k1, k2))"""
+
+
 def one_byte(term: str) -> str:
     """The SQL engine counts edits in bytes, we in characters: give each accented letter one byte of its own.
 
@@ -354,6 +372,22 @@ listed AS (SELECT query_id, count(*) AS n_hits, string_agg(id, ',' ORDER BY rank
 SELECT r.query_id, r.q AS query, 8::BIGINT AS shards, coalesce(total_hits, 0) AS total_hits, routing_type,
   coalesce(n_hits, 0) AS n_hits, coalesce(ids, '') AS ids, coalesce(match_count, 0) AS match_count
 FROM routes r LEFT JOIN totals_q USING (query_id) LEFT JOIN listed USING (query_id) LEFT JOIN matches USING (query_id)""",
+        "search_collapsed": f"""WITH {query_hits(KEYWORD_QUERIES)},{TOP},{CANDIDATES},
+{values([(n, q[0]) for n, q in enumerate(KEYWORD_QUERIES)], 'n, answer_id', 'picked')},
+totals_q AS (SELECT query_id, count(*) AS total_hits FROM candidates GROUP BY ALL),
+listed AS (SELECT query_id, string_agg(id, ',' ORDER BY rank) AS ids FROM top GROUP BY ALL)
+SELECT e.event_id AS query_id, a.q AS query, coalesce(total_hits, 0) AS total_hits, coalesce(ids, '') AS ids
+FROM events e JOIN picked p ON p.n = e.event_id % {len(KEYWORD_QUERIES)} JOIN asked a ON a.query_id = p.answer_id
+LEFT JOIN totals_q t ON t.query_id = p.answer_id LEFT JOIN listed l ON l.query_id = p.answer_id""",
+        "search_hot_stats": f"""WITH {query_hits(ROUTED_QUERIES, routed=True)},{CANDIDATES},
+{values([(n, q[0]) for n, q in enumerate(ROUTED_QUERIES)], 'n, answer_id', 'picked')},
+totals_q AS (SELECT query_id, count(*) AS total_hits FROM candidates GROUP BY ALL),
+written AS (
+  SELECT r.q AS term, coalesce(total_hits, 0) AS hits, len(r.route)::BIGINT AS shards, floor(epoch(e.ts))::BIGINT AS ts,
+    row_number() OVER (PARTITION BY r.q ORDER BY e.ts DESC, e.event_id DESC) AS rn
+  FROM events e JOIN picked p ON p.n = e.event_id % {len(ROUTED_QUERIES)} JOIN routes r ON r.query_id = p.answer_id
+  LEFT JOIN totals_q t ON t.query_id = p.answer_id WHERE r.routing_type = 'hot')
+SELECT term, hits, shards, ts FROM written WHERE rn = 1""",
         "search_fields": f"""WITH {query_hits(KEYWORD_QUERIES)},{TOP}
 SELECT t.query_id, t.rank, t.id, c.title, md5(c.body) AS body_md5, coalesce(len(c.title_vector), 0)::BIGINT AS dims
 FROM top t JOIN corpus c USING (id)""",
@@ -388,12 +422,14 @@ SELECT vec_id, CASE kind WHEN 0 THEN 4 WHEN 1 THEN 5 WHEN 2 THEN 6 ELSE -1 END::
   CASE WHEN kind < 3 THEN list_sum(w) + 0.0 END AS total, CASE kind WHEN 0 THEN w[1] + 0.0 WHEN 3 THEN NULL ELSE 0.0 END AS head FROM v""",
         "embed_text": f"""WITH {CORPUS}
 SELECT id, CASE WHEN lang = 'en' AND title <> '' THEN title ELSE substr(body, 1, 100) END AS embedding_text FROM corpus""",
-        "embed_docs": f"""WITH {CORPUS}, t AS (
-  SELECT id, regexp_matches(CASE WHEN title <> '' THEN title ELSE substr(body, 1, 100) END, '[\\p{{L}}\\p{{N}}_]') AS ok FROM corpus)
-SELECT id, CASE WHEN ok THEN 64 ELSE 0 END::BIGINT AS dims, CASE WHEN ok THEN 1.0 END::DOUBLE AS square FROM t""",
-        "embed_batch": "SELECT conv_id, turn, 16::BIGINT AS dims FROM conversations",
-        "embed_queries": """SELECT conv_id, turn,
-  CASE WHEN turn % 3 <> 0 AND regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 32 ELSE 0 END::BIGINT AS dims FROM conversations""",
+        "embed_docs": f"""WITH {CORPUS}, texts AS (
+  SELECT id AS k1, 0 AS k2, CASE WHEN title <> '' THEN title ELSE substr(body, 1, 100) END AS text FROM corpus),{bag_vectors(64)}
+SELECT k1 AS id, dims, square, ramp, steep FROM digests""",
+        "embed_batch": f"""WITH texts AS (SELECT conv_id AS k1, turn AS k2, text FROM conversations),{bag_vectors(16)}
+SELECT k1 AS conv_id, k2 AS turn, dims, square, ramp, steep FROM digests""",
+        "embed_queries": f"""WITH texts AS (
+  SELECT conv_id AS k1, turn AS k2, CASE WHEN turn % 3 = 0 THEN '?!' ELSE text END AS text FROM conversations),{bag_vectors(32)}
+SELECT k1 AS conv_id, k2 AS turn, dims, square, ramp, steep FROM digests""",
         "hybrid_rrf": hybrid_rows(lambda q: q[4] in ("rrf", None) and q[5]),
         "hybrid_weighted": hybrid_rows(lambda q: q[4] in ("weighted", "other")),
         "hybrid_fallback": hybrid_rows(lambda q: not q[5]),

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators.queries import Bounds, keyword_defaults, query_terms, small
+from ..operators.queries import Bounds, collapse_repeats, keyword_defaults, query_terms, small
 from ..operators.ranking import KEYWORD_DEPTH, fetch_fields, global_topk, rank_within, shard_topn
-from ..operators.routing import route, route_all
+from ..operators.routing import answered_hot_stats, route, route_all
 from ..operators.scoring import BestHits, score_hits
 from ..sources.index_store import SearchIndex
 
@@ -22,7 +22,8 @@ class KeywordSearch:
 
     ``queries`` has ``query_id, q`` and optionally ``limit``; ``kv`` holds the routing entries. With ``prune`` the best hits
     are found without scoring all (see ``BestHits``): the same answers by more but smaller steps, which pays where frequent
-    words have many millions of postings.
+    words have many millions of postings. With ``collapse`` equal ``(q, limit)`` are searched once, and ``results`` and
+    ``responses`` go to everyone who asked; other steps are those of one asker each.
     """
 
     index: SearchIndex
@@ -32,10 +33,23 @@ class KeywordSearch:
     scope: str = "shard"
     field: str = "_all"
     prune: bool = False
+    collapse: bool = False
+
+    @cached_property
+    def _collapsed(self) -> tuple[DataFrame, DataFrame]:
+        return collapse_repeats(keyword_defaults(self.queries))
 
     @cached_property
     def clean_queries(self) -> DataFrame:
-        return keyword_defaults(self.queries)
+        return self._collapsed[0].select("query_id", "q", "limit") if self.collapse else keyword_defaults(self.queries)
+
+    def _to_askers(self, answers: DataFrame, n_rows: int) -> DataFrame:
+        """Answers, at most ``n_rows``, once for everyone who asked. Any number may have asked the same: a bounded side is
+        broadcast, so that they stay where they are."""
+        if not self.collapse:
+            return answers
+        answers_side = small(answers.withColumnRenamed("query_id", "answer_id"), n_rows)
+        return self._collapsed[1].join(answers_side, "answer_id").select(*answers.columns)
 
     @cached_property
     def bounds(self) -> Bounds:
@@ -78,10 +92,11 @@ class KeywordSearch:
         """Hits as answered: ``query_id, rank, id, score, title, shard``."""
         n_winners = self.bounds.n_queries * self.bounds.max_limit
         found = fetch_fields(self.index, self.top(), n_winners, "title")
-        return found.select("query_id", "rank", "id", "score", F.coalesce("title", F.lit("")).alias("title"), "shard")
+        rows = found.select("query_id", "rank", "id", "score", F.coalesce("title", F.lit("")).alias("title"), "shard")
+        return self._to_askers(rows, n_winners)
 
     def responses(self) -> DataFrame:
-        """One row per query: ``query_id, query, shards, total_hits, routing_type, hits``.
+        """One row per query, or per asker: ``query_id, query, shards, total_hits, routing_type, hits``.
 
         ``total_hits`` counts the candidates the shards returned; ``shards`` is the number of all shards, even for
         a query that was routed to few.
@@ -99,7 +114,7 @@ class KeywordSearch:
             F.first("total_hits").alias("total_hits"), F.array_sort(F.collect_list(hit)).alias("hits")
         )
         asked = self.routed.select("query_id", F.col("q").alias("query"), "routing_type")
-        return asked.join(answered, "query_id", "left").select(
+        rows = asked.join(answered, "query_id", "left").select(
             "query_id",
             "query",
             F.lit(self.index.layout.shard_count).alias("shards"),
@@ -107,6 +122,12 @@ class KeywordSearch:
             "routing_type",
             F.coalesce(F.col("hits"), F.array().cast(answered.schema["hits"].dataType)).alias("hits"),
         )
+        return self._to_askers(rows, b.n_queries * b.max_limit)
+
+    def hot_stats(self, asked: DataFrame) -> DataFrame:
+        """What the search has to write back about hot terms: ``term, hits, shards, ts``, the last of ``asked (query_id, ts)``."""
+        routed = self._to_askers(self.routed, self.bounds.n_queries) if self.collapse else self.routed
+        return answered_hot_stats(self.responses(), routed, asked)
 
     def match_counts(self) -> DataFrame:
         """The true number of matching documents per query, whatever the limits."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.keys import shard_of
@@ -384,9 +384,10 @@ def q_range_match(spark, sf):
     return both.unionByName(alone.select(F.lit(20).alias("query_id"), "id", F.lit(0.0).alias("score")))
 
 
-def _routed_search(spark, sf, **options) -> KeywordSearch:
+def _routed_search(spark, sf, queries: DataFrame | None = None, **options) -> KeywordSearch:
     kv = local_table(spark, ROUTING_ENTRIES, "key string, value string")
-    return KeywordSearch(corpus_index(spark, sf), keyword_table(spark, ROUTED_QUERIES), kv, **options)
+    asked = keyword_table(spark, ROUTED_QUERIES) if queries is None else queries
+    return KeywordSearch(corpus_index(spark, sf), asked, kv, **options)
 
 
 def q_shard_topn(spark, sf):
@@ -422,6 +423,24 @@ def q_search_summary(spark, sf):
     )
 
 
+def repeated_queries(spark: SparkSession, sf_dir: str, rows: list[tuple]) -> DataFrame:
+    """Every event asks one of ``rows``: ``query_id, ts, q, limit``."""
+    numbered = local_table(spark, [(n, r[1], r[2]) for n, r in enumerate(rows)], "n long, q string, limit int")
+    log = query_log(spark, sf_dir).select("query_id", "ts", (F.col("query_id") % len(rows)).alias("n"))
+    return log.join(F.broadcast(numbered), "n").drop("n")  # a fixed handful of rows
+
+
+def q_search_collapsed(spark, sf):
+    search = KeywordSearch(corpus_index(spark, sf), repeated_queries(spark, sf, KEYWORD_QUERIES), collapse=True)
+    ids = F.array_join(F.transform("hits", lambda h: h["id"]), ",")
+    return search.responses().select("query_id", "query", "total_hits", ids.alias("ids"))
+
+
+def q_search_hot_stats(spark, sf):
+    asked = repeated_queries(spark, sf, ROUTED_QUERIES)
+    return _routed_search(spark, sf, queries=asked, collapse=True).hot_stats(asked)
+
+
 def q_search_fields(spark, sf):
     index = corpus_index(spark, sf)
     search = KeywordSearch(index, keyword_table(spark))
@@ -530,28 +549,40 @@ def q_embed_text(spark, sf):
     return corpus(spark, sf, vectors=False).select("id", text.alias("embedding_text"))
 
 
+def vector_digest(v: Column) -> list[Column]:
+    """Numbers that tell one vector from another: width, length, and its sums with two ramps."""
+    places = F.sequence(F.lit(0), F.size(v) - 1)
+
+    def total(weigh: Callable[[Column, Column], Column]) -> Column:
+        terms = F.zip_with(v, places, weigh)
+        return F.when(F.size(v) > 0, F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), 5))
+
+    return [
+        F.coalesce(F.size(v), F.lit(0)).cast("long").alias("dims"),
+        total(lambda x, i: x * x).alias("square"),
+        total(lambda x, i: x * (i + 1)).alias("ramp"),
+        total(lambda x, i: x * (i + 1) * (i + 1)).alias("steep"),
+    ]
+
+
 def q_embed_docs(spark, sf):
     docs = corpus(spark, sf, vectors=False)
     vectors = docs.select("id", embed(embedding_text(F.col("title"), F.col("body")), hashed_bag_encoder()).alias("v"))
-    return vectors.select(
-        "id",
-        F.coalesce(F.size("v"), F.lit(0)).cast("long").alias("dims"),
-        F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("square"),
-    )
+    return vectors.select("id", *vector_digest(F.col("v")))
 
 
 def q_embed_batch(spark, sf):
     turns = table(spark, sf, "conversations")
-    # One text without a word would fail the whole batch, which a test shows; the role gives every turn one.
-    v = embed(F.concat_ws(" ", "role", "text"), hashed_bag_encoder(16), on_error="fail")
-    return turns.select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", F.size("v").cast("long").alias("dims"))
+    # One text without a word would fail the whole batch, which a test shows; no given turn lacks one.
+    v = embed(F.col("text"), hashed_bag_encoder(16), on_error="fail")
+    return turns.select("conv_id", "turn", v.alias("v")).select("conv_id", "turn", *vector_digest(F.col("v")))
 
 
 def q_embed_queries(spark, sf):
     q = F.when(F.col("turn") % 3 == 0, F.lit("?!")).otherwise(F.col("text"))
     asked = table(spark, sf, "conversations").select("conv_id", "turn", q.alias("q"))
     v = embed_queries(asked, hashed_bag_encoder(32))
-    return v.select("conv_id", "turn", F.coalesce(F.size("query_vector"), F.lit(0)).cast("long").alias("dims"))
+    return v.select("conv_id", "turn", *vector_digest(F.col("query_vector")))
 
 
 def _hybrid(keep: Callable[[tuple], bool]) -> Query:
@@ -689,6 +720,8 @@ QUERIES: dict[str, Query] = {
     "fanout_union": q_fanout_union,
     "global_topk": q_global_topk,
     "search_summary": q_search_summary,
+    "search_collapsed": q_search_collapsed,
+    "search_hot_stats": q_search_hot_stats,
     "search_fields": q_search_fields,
     "highlights": q_highlights,
     "query_defaults": q_query_defaults,
