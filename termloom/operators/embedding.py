@@ -17,27 +17,32 @@ Encoder = Callable[[], Encode]
 """Called once per task, so that a model is loaded once and not per batch."""
 
 
-def _encode_each(encode: Encode, texts: list[str]) -> tuple[list[list[float] | None], bool]:
-    """Vectors, a batch at a time; when a batch fails, text by text, so that one bad text costs only its own vector. And
-    whether the encoder was out of reach: what it refuses for its content is no outage."""
+OK, REFUSED, LOST, NOT_TRIED = "ok", "refused", "lost", "not tried"
+"""What became of a text: a vector, none for its content, none as the encoder was out of reach, or not even asked for."""
+
+
+def _encode_each(encode: Encode, texts: list[str]) -> tuple[list[list[float] | None], list[str]]:
+    """Vectors and outcomes, a batch at a time; when a batch fails, text by text, so that one bad text costs only its own
+    vector. What the encoder refuses for its content is no outage."""
     try:
         vectors = encode(texts)
         if len(vectors) == len(texts) and all(len(v) > 0 for v in vectors):
-            return [list(v) for v in vectors], False
+            return [list(v) for v in vectors], [OK] * len(texts)
     except Exception:
         pass
     out: list[list[float] | None] = []
-    lost = 0
+    outcomes: list[str] = []
     for text in texts:
         try:
-            vector = list(encode([text])[0])
-            out.append(vector if vector else None)
+            vector = list(encode([text])[0]) or None
+            outcome = OK if vector else REFUSED
         except OUTAGES:
-            lost += 1
-            out.append(None)
+            vector, outcome = None, LOST
         except Exception:
-            out.append(None)
-    return out, lost > 0 and lost == len(texts)
+            vector, outcome = None, REFUSED
+        out.append(vector)
+        outcomes.append(outcome)
+    return out, outcomes
 
 
 def _encode_all(encode: Encode, texts: list[str]) -> list[list[float]]:
@@ -64,27 +69,38 @@ def embed(text: Column, encoder: Encoder, on_error: str = "null") -> Column:
     """
     if on_error not in ("null", "fail"):
         raise ValueError(f"unknown on_error: {on_error}")
+    if on_error == "null":
+        return embed_outcome(text, encoder)["vector"]
 
     @F.pandas_udf("array<double>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = encoder()
+        for batch in batches:
+            yield pd.Series(_encode_all(encode, batch.fillna("").tolist()), index=batch.index, dtype="object")
+
+    return vectors(text)
+
+
+def embed_outcome(text: Column, encoder: Encoder) -> Column:
+    """``vector`` as of ``embed``, and its ``outcome``: ok, refused, lost or not tried."""
+
+    @F.pandas_udf("vector array<double>, outcome string")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encode, failed, skipped = None, 0, 0
         try:
             encode = encoder()
         except Exception:
-            if on_error == "fail":
-                raise
+            pass
         try:
             for batch in batches:
                 texts = batch.fillna("").tolist()
-                if on_error == "fail":
-                    found = _encode_all(encode, texts)
-                elif encode is None or failed >= GIVE_UP:
-                    found = [None] * len(texts)
+                if encode is None or failed >= GIVE_UP:
+                    found, outcomes = [None] * len(texts), [NOT_TRIED] * len(texts)
                     skipped += len(texts)
                 else:
-                    found, outage = _encode_each(encode, texts)
-                    failed = failed + 1 if outage else 0
-                yield pd.Series(found, index=batch.index, dtype="object")
+                    found, outcomes = _encode_each(encode, texts)
+                    failed = failed + 1 if texts and all(o == LOST for o in outcomes) else 0
+                yield pd.DataFrame({"vector": pd.Series(found, dtype="object"), "outcome": pd.Series(outcomes, dtype="object")})
         finally:
             if skipped:
                 print(f"encoder out of reach: {skipped} rows without vector, not tried", file=sys.stderr, flush=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -22,8 +22,8 @@ from ..sources.index_store import (
     write_segment,
     write_sliced,
 )
-from .embedding import Encoder, embed
-from .ingest import take_first
+from .embedding import Encoder, embed_outcome
+from .ingest import build_counters, take_first
 from .lexicon import write_lexicon
 
 
@@ -34,9 +34,14 @@ def newest_per_id(docs: DataFrame) -> DataFrame:
 
 
 def prepare_docs(
-    docs: DataFrame, layout: Layout, encoder: Encoder | None = None, unique_ids: bool = False
+    docs: DataFrame,
+    layout: Layout,
+    encoder: Encoder | None = None,
+    unique_ids: bool = False,
+    seen: Observation | None = None,
 ) -> DataFrame:
-    """Documents in the shape of the ``docs`` table: empty ids dropped, one record per id, embedded, placed."""
+    """Documents in the shape of the ``docs`` table: empty ids dropped, one record per id, embedded, placed. ``seen`` gets
+    the counters of ``build_counters`` while they are written."""
     types = {"title_vector": "array<double>", "indexed_at": "timestamp"}
     for name, kind in types.items():
         if name not in docs.columns:
@@ -51,9 +56,12 @@ def prepare_docs(
         docs = newest_per_id(docs)
     if encoder is not None:
         # A failed embedding leaves the vector the document came with, if any.
-        fresh = embed(embedding_text(F.col("title"), F.col("body")), encoder)
-        docs = docs.withColumn("_fresh", fresh)
-        docs = docs.withColumn("title_vector", F.coalesce("_fresh", "title_vector")).drop("_fresh")
+        docs = docs.withColumn("_fresh", embed_outcome(embedding_text(F.col("title"), F.col("body")), encoder))
+    if seen is not None:
+        outcome = F.lit(None).cast("string") if encoder is None else F.col("_fresh")["outcome"]
+        docs = docs.observe(seen, *build_counters(outcome))
+    if encoder is not None:
+        docs = docs.withColumn("title_vector", F.coalesce(F.col("_fresh")["vector"], "title_vector")).drop("_fresh")
     v = F.col("title_vector")
     return docs.select(
         "id",
@@ -177,11 +185,13 @@ def build_index(
     unique_ids: bool = False,
     max_docs: int = 0,
     tag: str | None = None,
+    seen: Observation | None = None,
 ) -> SearchIndex:
     """Write a base segment from ``docs(id, title, body[, title_vector, indexed_at])`` and open it.
 
     ``unique_ids`` skips the search for repeated ids; ``max_docs`` indexes the first so many by id, 0 means all. An index
-    that is already at ``path`` gets a new version, which holds ``docs`` alone.
+    that is already at ``path`` gets a new version, which holds ``docs`` alone. ``seen`` counts documents and what the encoder
+    made of them while they are written.
     """
     spark = docs.sparkSession
     if max_docs > 0:
@@ -189,7 +199,7 @@ def build_index(
     older = open_or_none(spark, path)
     version = older.version + 1 if older else 1
     index = SearchIndex(spark, path, version, new_segment(version), (), layout, tag)
-    _write_base(index, prepare_docs(docs, layout, encoder, unique_ids))
+    _write_base(index, prepare_docs(docs, layout, encoder, unique_ids, seen))
     return commit(index)
 
 

@@ -129,6 +129,17 @@ def observe_counters(records: DataFrame, name: str = "ingest") -> tuple[DataFram
     return records.observe(seen, *[make().alias(k) for k, make in COUNTERS.items()]), seen
 
 
+def build_counters(outcome: Column) -> list[Column]:
+    """Counters of a build, by what became of each document's text at the encoder."""
+    failed = outcome.isNotNull() & (outcome != "ok")
+    return [
+        F.count("*").alias("indexed"),
+        F.count_if(outcome == "ok").alias("embeds_ok"),
+        F.count_if(failed).alias("embeds_failed"),
+        F.count_if(outcome == "not tried").alias("embeds_not_tried"),
+    ]
+
+
 def shard_distribution(docs: DataFrame, n_shards: int) -> DataFrame:
     """Documents per shard, with 0 for empty ones."""
     counts = docs.groupBy("shard").agg(F.count("*").alias("n_docs"))

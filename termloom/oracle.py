@@ -332,6 +332,11 @@ UNION ALL SELECT 'good', count(*), sum(length(body))::BIGINT FROM lines WHERE NO
 SELECT count(*) FILTER (NOT broken) AS indexed, count(*) FILTER (broken) AS skipped,
   count(*) FILTER (NOT broken AND len(title_vector) > 0) AS embeds_ok,
   count(*) FILTER (NOT broken AND title_vector IS NULL) AS embeds_failed FROM lines""",
+        "build_counters": f"""WITH {CORPUS}, texts AS (
+  SELECT CASE WHEN title <> '' THEN title ELSE substr(body, 1, 100) END AS text FROM corpus),
+tried AS (SELECT regexp_matches(text, '[\\p{{L}}\\p{{N}}_]') AND NOT contains(text, 'ß') AS ok FROM texts)
+SELECT count(*) AS indexed, count(*) FILTER (ok) AS embeds_ok, count(*) FILTER (NOT ok) AS embeds_failed, 0::BIGINT AS embeds_not_tried
+FROM tried""",
         "dense_ids": f"""SELECT doc_id, 'wiki_' || row_number() OVER (ORDER BY doc_id) AS id, md5(body) AS body_md5
 FROM (SELECT doc_id, {clean(MARKED, False)} AS body FROM documents) WHERE strlen(body) >= 50""",
         "stamped_docs": f"WITH {CORPUS} SELECT id, strftime(indexed_at, '%Y-%m-%d %H:%M:%S') AS indexed_at FROM corpus",

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.keys import shard_of
 from .functions.text import MAX_BODY, clean_markup, embedding_text, string_or_empty
 from .functions.vectors import cosine, vector_from_json
-from .operators.embedding import embed, embed_queries, hashed_bag_encoder
+from .operators.embedding import Encoder, embed, embed_queries, hashed_bag_encoder
 from .operators.highlight import with_fragments
 from .operators.indexing import build_index, postings_long, upsert_index
 from .operators.ingest import (
@@ -271,6 +271,30 @@ def q_ingest_counters(spark, sf):
     return ingest_counters(read_lines(spark, sf))
 
 
+def refusing(encoder: Encoder, part: str) -> Encoder:
+    """``encoder``, but it refuses texts that contain ``part``."""
+
+    def load():
+        encode = encoder()
+
+        def some(texts: list[str]) -> list[list[float]]:
+            if any(part in t for t in texts):
+                raise ValueError("refused")
+            return encode(texts)
+
+        return some
+
+    return load
+
+
+def q_build_counters(spark, sf):
+    seen = Observation("build")
+    docs = corpus(spark, sf, vectors=False)
+    build_index(docs, work_path(spark, "counted"), LAYOUT, refusing(hashed_bag_encoder(8), "ß"), unique_ids=True, seen=seen)
+    names = ["indexed", "embeds_ok", "embeds_failed", "embeds_not_tried"]
+    return local_table(spark, [tuple(seen.get[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
 def q_dense_ids(spark, sf):
     numbered = dense_ids(clean_pages(marked_up(spark, sf)), "doc_id")
     return numbered.select("doc_id", "id", F.md5("body").alias("body_md5"))
@@ -697,6 +721,7 @@ QUERIES: dict[str, Query] = {
     "jsonl_bad_rows": q_jsonl_bad_rows,
     "index_doc_cap": q_index_doc_cap,
     "ingest_counters": q_ingest_counters,
+    "build_counters": q_build_counters,
     "dense_ids": q_dense_ids,
     "stamped_docs": q_stamped_docs,
     "doc_shards": q_doc_shards,
