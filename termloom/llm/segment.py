@@ -8,9 +8,8 @@ score of its members, a Gumbel number at the log of its mass, so whole sets wait
 from __future__ import annotations
 
 import math
-import random
+import re
 from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import add
@@ -30,8 +29,13 @@ SPACE = "▁"
 SAMPLES = 2
 ALPHA = 0.5
 SEED = 42
-#: Units (words) whose lattices a worker remembers.
-REMEMBERED = 100_000
+#: Characters whose places a worker remembers, and characters of texts that are looked at together.
+REMEMBERED = 600_000
+TOGETHER = 2_000_000
+#: Places up to this far from the end of a unit are worked out side by side, the rest of a long unit one by one.
+SIDE_BY_SIDE = 64
+#: Walks go side by side as long as there are so many, and are looked through for ended ones after so many steps.
+WALKS, STEPS = 96, 32
 
 _SAMPLE = [
     T.StructField("sample", T.IntegerType()),
@@ -93,7 +97,15 @@ class Model:
         self.byte_score = min(score.values(), default=0.0)
         #: Neighbouring characters inside a piece. No piece crosses a place between two others.
         self.joined = {p[i : i + 2] for p in self.edges for i in range(len(p) - 1)}
-        self.known: dict[str, Lattice] = {}
+        self.tables = Tables(self, score)
+        #: Words can be looked at singly if no piece goes on after a word with a space.
+        alone = "".join(c for c in "\t\n\r" if not any(c in pair for pair in self.joined))
+        self.word = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone or SPACE}]")
+        if any(b == SPACE != a for a, b in self.joined):
+            self.word = re.compile(".+", re.DOTALL)
+        self.texts = np.array(
+            [bytes([self.bytes[i]]) if i in self.bytes else p.encode("utf-8") for i, p in enumerate(self.pieces)], dtype=object
+        )
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -105,46 +117,268 @@ class Model:
         cuts = [i for i, pair in enumerate(map(add, marked, marked[1:]), 1) if pair not in joined]
         return [marked[a:b] for a, b in zip([0, *cuts], [*cuts, len(marked)])]
 
+    def words(self, text: str) -> list[str]:
+        """Parts of a text that no piece crosses, of which there are few different ones."""
+        if not text:
+            return []
+        marked = SPACE + text.replace(" ", SPACE)
+        return self.word.findall(marked)
+
     def lattice(self, unit: str) -> Lattice:
-        found = self.known.get(unit)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            edges = []
-            for at in range(len(unit)):
-                here, end = [], at + 1
-                while end <= len(unit):
-                    part = unit[at:end]
-                    edge = self.edges.get(part)
-                    if edge:
-                        here.append((end, *edge))
-                    if part not in self.beginnings:
-                        break
-                    end += 1
-                if not here or here[0][0] != at + 1:  # the character is no piece: its bytes are
-                    raw = unit[at].encode("utf-8", "surrogatepass")
-                    ids = self._pack([self.byte_ids[b] for b in raw])
-                    here.insert(0, (at + 1, ids, self.byte_score * len(raw)))
-                edges.append(here)
-            self.known[unit] = found = Lattice(edges)
-        return found
+        """Of one unit, in plain lists."""
+        edges = []
+        for at in range(len(unit)):
+            here, end = [], at + 1
+            while end <= len(unit):
+                part = unit[at:end]
+                edge = self.edges.get(part)
+                if edge:
+                    here.append((end, *edge))
+                if part not in self.beginnings:
+                    break
+                end += 1
+            if not here or here[0][0] != at + 1:  # the character is no piece: its bytes are
+                raw = unit[at].encode("utf-8", "surrogatepass")
+                ids = self._pack([self.byte_ids[b] for b in raw])
+                here.insert(0, (at + 1, ids, self.byte_score * len(raw)))
+            edges.append(here)
+        return Lattice(edges)
 
     def decode(self, ids: np.ndarray) -> str:
-        out, raw = [], bytearray()
-        for i in ids.tolist():
-            byte = self.bytes.get(i)
-            if byte is not None:
-                raw.append(byte)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.pieces[i])
-        out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        # Bytes that are no UTF-8 become the same replacements beside other pieces as alone: these begin a character.
+        text = b"".join(self.texts[ids].tolist()).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
+class Tables:
+    """Lattices of words, as ``Lattice`` defines them, in flat tables: the edges of a place stand side by side from
+    ``first`` on. All new words of a batch are worked out together: edges by their length, sums by the distance from the end
+    of a unit. Place 0 is the end of a text; its edge leads to itself."""
+
+    def __init__(self, m: Model, score: dict[int, float]):
+        self.byte_ids, self.byte_score = m.byte_ids, m.byte_score
+        letters = {c: n for n, c in enumerate(sorted({c for p in m.edges for c in p}), 1)}
+        self.wide = len(letters) + 1
+        self.symbol = np.zeros(0x110000, dtype=np.int64)  # 0: in no piece
+        for c, n in letters.items():
+            self.symbol[ord(c)] = n
+        self.joined = np.zeros(self.wide**2, dtype=bool)
+        self.joined[[letters[a] * self.wide + letters[b] for a, b in m.joined]] = True
+        # State 0 is before any character; ``steps`` are the keys state and character of the states in ``to_state``.
+        states, self.piece_at, found = {"": 0}, [-1], {}
+        for p in m.edges:
+            for k in range(1, len(p) + 1):
+                if p[:k] not in states:
+                    states[p[:k]] = len(states)
+                    self.piece_at.append(-1)
+                    found[states[p[: k - 1]] * self.wide + letters[p[k - 1]]] = states[p[:k]]
+            self.piece_at[states[p]] = array("I", m.edges[p][0])[0]
+        self.piece_at = np.array(self.piece_at, dtype=np.int64)
+        self.steps = np.array([*sorted(found), np.iinfo(np.int64).max], dtype=np.int64)
+        self.to_state = np.array([*(found[x] for x in sorted(found)), 0], dtype=np.int64)
+        self.begin = np.zeros(self.wide, dtype=np.int64)
+        for c, n in letters.items():
+            self.begin[n] = states.get(c, 0)
+        self.score = np.zeros(len(m.pieces))
+        self.score[list(score)] = list(score.values())
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        #: Of a place: first edge, how many, whether there is a choice, cumulative probabilities (1 beyond the last).
+        self.first, self.count, self.several = (np.array([x]) for x in (0, 1, 0))
+        self.cumulative = np.ones((1, 1))
+        #: Of an edge: where it leads, whether it ends a word, log of its conditional probability and of that of the others
+        #: of its place, id (below 0: a character without one), place.
+        self.to, self.piece, self.place = (np.array([0]) for _ in range(3))
+        self.last = np.array([False])
+        self.log_p, self.rest = np.zeros(1), np.array([-np.inf])
+
+    def places(self, texts: list[list[str]]) -> list[list[int]]:
+        """The first places of the words of each text, and 0. Places of earlier calls may no longer hold."""
+        if len(self.first) > REMEMBERED:
+            self._clear()
+        new = list(set().union(*texts).difference(self.known))
+        if new:
+            self._learn(new)
+        return [[*map(self.known.__getitem__, words), 0] for words in texts]
+
+    def _edges(self, symbols: np.ndarray, codes: np.ndarray, places: np.ndarray):
+        """``place, to, id, score, rank`` of all edges, shorter ones of a place first."""
+        count = np.zeros(len(symbols), dtype=np.int64)
+        found = []
+
+        def add(at: np.ndarray, length: int, ids: np.ndarray, scores: np.ndarray) -> None:
+            found.append((at, at + length, ids, scores, count[at]))
+            count[at] += 1
+
+        at, state, length = places, places, 0
+        while len(at):
+            if length:
+                key = state * self.wide + symbols[at + length]
+                n = np.searchsorted(self.steps, key)
+                on = np.flatnonzero(self.steps[n] == key)
+                at, state, length = at[on], self.to_state[n[on]], length + 1
+            else:
+                state, length = self.begin[symbols[at]], 1
+                on = np.flatnonzero(state)
+                at, state = at[on], state[on]
+            ids = self.piece_at[state]
+            ok = ids >= 0
+            add(at[ok], length, ids[ok], self.score[ids[ok]])
+            if length == 1:  # a character that is no piece: its bytes are
+                bare = places[count[places] == 0]
+                c = codes[bare].astype(np.int64)
+                size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+                ids = -1 - c
+                for x in np.unique(c[size == 1]).tolist():
+                    ids[c == x] = self.byte_ids[x]
+                add(bare, 1, ids, self.byte_score * size)
+        return [np.concatenate(x) for x in zip(*found)], count
+
+    def _learn(self, words: list[str]) -> None:
+        base, edge_base = len(self.first), len(self.to)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        codes = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        symbols = self.symbol[codes]
+        symbols[ends] = 0
+        inner = np.ones(len(symbols), dtype=bool)
+        inner[ends] = False
+        begins = np.ones(len(symbols), dtype=bool)  # a unit
+        begins[1:] = ~self.joined[symbols[:-1] * self.wide + symbols[1:]]
+        everywhere = np.arange(len(symbols))
+        following = np.minimum.accumulate(np.where(begins, everywhere, len(symbols))[::-1])[::-1]
+        places = np.flatnonzero(inner)
+        depth = following[places + 1] - places
+        (at, to, ids, scores, rank), count = self._edges(symbols, codes, places)
+
+        # Edges stand in order of their place's distance from the end of its unit.
+        order = np.argsort(depth.astype(np.uint16) if depth.max() < 1 << 16 else depth, kind="stable")
+        places, depth = places[order], depth[order]
+        n = count[places]
+        start = np.cumsum(n) - n
+        first = np.zeros(len(symbols), dtype=np.int64)
+        first[places] = start
+        where = first[at] + rank
+        laid = [np.empty_like(x) for x in (at, to, ids, scores)]
+        for x, values in zip(laid, (at, to, ids, scores)):
+            x[where] = values
+        at, to, ids, scores = laid
+
+        beta = np.zeros(len(symbols))  # 0 where a unit begins: seen from the unit before
+        log_p, share = np.empty(len(to)), np.empty(len(to))
+        levels = np.searchsorted(depth, np.arange(1, SIDE_BY_SIDE + 2)).tolist()
+        for i, j in zip(levels, levels[1:]):
+            if i == j:
+                continue
+            a, b, c = int(start[i]), int(start[j - 1] + n[j - 1]), n[i:j]
+            s = scores[a:b] + beta[to[a:b]]
+            top = np.maximum.reduceat(s, start[i:j] - a)
+            weights = np.exp(s - np.repeat(top, c))
+            total = np.add.reduceat(weights, start[i:j] - a)
+            here = top + np.log(total)
+            share[a:b] = weights / np.repeat(total, c)
+            log_p[a:b] = np.minimum(0.0, s - np.repeat(here, c))
+            beta[places[i:j]] = np.where(begins[places[i:j]], 0.0, here)
+        for i in range(levels[-1], len(places)):
+            a, b = int(start[i]), int(start[i] + n[i])
+            values = [x + y for x, y in zip(scores[a:b].tolist(), beta[to[a:b]].tolist())]
+            top = max(values)
+            weights = [math.exp(x - top) for x in values]
+            total = sum(weights)
+            here = top + math.log(total)
+            share[a:b] = [w / total for w in weights]
+            log_p[a:b] = [min(0.0, x - here) for x in values]
+            if not begins[places[i]]:
+                beta[places[i]] = here
+        with np.errstate(divide="ignore"):
+            rest = np.log1p(-np.minimum(1.0, np.exp(log_p)))
+        rest[start[n == 1]] = -np.inf
+
+        run = np.zeros(len(places))
+        wide = max(int(n.max()), self.cumulative.shape[1])
+        cumulative = np.ones((len(symbols), wide))
+        for r in range(wide - 1):
+            more = n > r + 1
+            run[more] += share[start[more] + r]
+            cumulative[places[more], r] = run[more]
+
+        self.first = np.concatenate([self.first, first + edge_base])
+        self.count, self.several = np.concatenate([self.count, count]), np.concatenate([self.several, (count > 1).astype(np.int64)])
+        known = np.ones((base, wide))
+        known[:, : self.cumulative.shape[1]] = self.cumulative
+        self.cumulative = np.concatenate([known, cumulative])
+        self.to, self.place = np.concatenate([self.to, to + base]), np.concatenate([self.place, at + base])
+        self.last = np.concatenate([self.last, ~inner[to]])
+        self.log_p, self.rest = np.concatenate([self.log_p, log_p]), np.concatenate([self.rest, rest])
+        self.piece = np.concatenate([self.piece, ids])
+        self.known.update(zip(words, (ends - sizes + base).tolist()))
+
+    def walks(self, places: np.ndarray, words: list[np.ndarray], uniforms: list[np.ndarray]) -> list[np.ndarray]:
+        """Edges from each place, then from each of its ``words`` on to the end (0), drawn by their conditional probabilities:
+        one of ``uniforms`` for each place with a choice."""
+        lane = np.arange(len(places))
+        word_at = np.cumsum([0, *map(len, words)])[:-1]
+        number_at = np.cumsum([0, *map(len, uniforms)])[:-1]
+        out_at, done = number_at + STEPS * lane, np.zeros(len(places), dtype=np.int64)
+        words, numbers = np.concatenate([*words, [0]]), np.concatenate([*uniforms, [0.0]])
+        out = np.zeros(len(numbers) + STEPS * len(places), dtype=np.int64)
+        first, several, cumulative, to, last = self.first, self.several, self.cumulative, self.to, self.last
+        on = np.flatnonzero(places)
+        place, word, number = places[on], word_at[on], number_at[on]
+        block = np.empty((STEPS, len(on)), dtype=np.int64)
+        while len(on) >= WALKS:
+            for step in range(STEPS):
+                edge = (cumulative.take(place, axis=0) > numbers.take(number)[:, None]).argmax(axis=1)
+                edge += first.take(place)
+                number += several.take(place)
+                block[step, : len(on)] = edge
+                place = to.take(edge)
+                ended = last.take(edge)
+                np.copyto(place, words.take(word), where=ended)
+                word += ended
+            out[(out_at[on] + done[on])[:, None] + np.arange(STEPS)] = block[:, : len(on)].T
+            done[on] += STEPS
+            left = place != 0
+            on, place, word, number = on[left], place[left], word[left], number[left]
+        first, several, cumulative, to, last, words, numbers = map(
+            memoryview, (first, several, cumulative, to, last, words, numbers)
+        )
+        for i, p, w, x in zip(on.tolist(), place.tolist(), word.tolist(), number.tolist()):
+            edges = array("q")
+            while p:
+                edge = first[p]
+                if several[p]:
+                    u, x, k = numbers[x], x + 1, 0
+                    while cumulative[p, k] <= u:
+                        k += 1
+                    edge += k
+                edges.append(edge)
+                p = to[edge]
+                if last[edge]:
+                    p = words[w]
+                    w += 1
+            at = int(out_at[i] + done[i])
+            out[at : at + len(edges)] = edges
+            done[i] += len(edges)
+        # What stands after a text's end in its last block is edge 0.
+        walked = (out[a : a + n] for a, n in zip(out_at.tolist(), done.tolist()))
+        return [x[x > 0] for x in walked]
+
+    def ids(self, edges: np.ndarray) -> bytes:
+        ids = self.piece[edges]
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):
+            raw = [chr(-1 - c).encode("utf-8", "surrogatepass") for c in ids[bare].tolist()]
+            copies = np.ones(len(ids), dtype=np.int64)
+            copies[bare] = [len(r) for r in raw]
+            bare = np.repeat(ids < 0, copies)
+            ids = np.repeat(ids, copies)
+            ids[bare] = [self.byte_ids[b] for r in raw for b in r]
+        return ids.astype("<u4").tobytes()
+
+
 @lru_cache(maxsize=2)
 def model(path: str, alpha: float) -> Model:
     return Model(path, alpha)
@@ -157,123 +391,169 @@ def _gumbel_below(location, bound: float, exponential):
 
 
 class Path:
-    """One segmentation: at each node on its way the log of the probability before it, what was chosen and what else
-    could be (``waiting``: the perturbed score of the set of all segmentations that leave here)."""
+    """One segmentation: its edges, the log of the probability before each, and for each place what else could be
+    (``waiting``: the perturbed score of the set of all segmentations that leave there)."""
+
+    __slots__ = ("edges", "before", "waiting", "taken", "log_prob", "perturbed")
 
-    __slots__ = ("places", "chosen", "before", "waiting", "taken", "log_prob", "perturbed")
+
+_SOURCE = np.random.RandomState(0)
 
 
 class Search:
-    def __init__(self, lattices: list[Lattice], seed: int):
-        self.lattices, self.uniform = lattices, random.Random(seed).random
+    """``words``: their first places in ``tables``, then 0; ``size``: a bound of the places on a way."""
+
+    def __init__(self, tables: Tables, words: list[int], size: int, seed: int, k: int):
+        self.tables, self.words = tables, np.array(words, dtype=np.int64)
+        # The numbers of Python's ``random.Random(seed).random()``: as many as ``k`` paths can take.
+        _SOURCE.seed([seed & 0xFFFFFFFF, seed >> 32] if seed >> 32 else [seed])
+        self.numbers = _SOURCE.random_sample(k * (size + 1))
         self.noise = np.random.Generator(np.random.PCG64(seed))
         self.paths: list[Path] = []
-
-    def _walk(self, unit: int, at: int, places: list, chosen: list, logs: list) -> None:
-        """From a node to the end, each piece drawn by its conditional probability."""
-        uniform, lattices = self.uniform, self.lattices
-        for u in range(unit, len(lattices)):
-            nodes, size = lattices[u].nodes, lattices[u].size
-            while at < size:
-                cumulative, ends, _, log_p = nodes[at]
-                j = bisect_right(cumulative, uniform()) if len(cumulative) > 1 else 0
-                places.append((u, at))
-                chosen.append(j)
-                logs.append(log_p[j])
-                at = ends[j]
-            at = 0
-
-    def _close(self, places: list, chosen: list, logs: list, perturbed: float, first: int, taken: set[int]) -> Path:
+        self.ended = False
+        #: What the next path goes on from: perturbed score, edges and steps before, node, what is taken there.
+        self.branch: tuple = (-math.log(self.noise.standard_exponential()), np.empty(0, dtype=np.int64), np.empty(0), 0, set())
+
+    def start(self) -> tuple[int, np.ndarray, np.ndarray]:
+        """What ``walks`` takes to end the next path."""
+        t, edges = self.tables, self.branch[1]
+        word = int(t.last[edges].sum())
+        if len(edges) and not t.last[edges[-1]]:
+            return int(t.to[edges[-1]]), self.words[word + 1 :], self.numbers
+        return int(self.words[word]), self.words[word + 1 :], self.numbers
+
+    def add(self, walked: np.ndarray) -> None:
+        """The next path, whose rest has been walked."""
+        t = self.tables
+        self.numbers = self.numbers[int(t.several[t.place[walked]].sum()) :]
+        perturbed, edges, steps, node, taken = self.branch
+        edges, steps = np.concatenate([edges, walked]), np.concatenate([steps, t.log_p[walked]])
+        self.paths.append(self._close(edges, steps, perturbed, node, taken))
+
+    def _close(self, edges: np.ndarray, steps: np.ndarray, perturbed: float, first: int, taken: set[int]) -> Path:
         """Sets that leave the way from node ``first`` on; ``taken`` there are used up by earlier paths."""
         p = Path()
-        p.places, p.chosen, p.perturbed = places, chosen, perturbed
-        steps = np.array(logs)
+        p.edges, p.perturbed = edges, perturbed
         p.before = np.concatenate([[0.0], np.cumsum(steps)])
         p.log_prob = float(p.before[-1])
         p.taken = {first: taken} if taken else {}
         p.waiting = np.full(len(steps), -np.inf)
         if first < len(steps):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                rest = np.log1p(-np.minimum(1.0, np.exp(steps[first:])))
-                single = [len(self.lattices[u].nodes[a][0]) == 1 for u, a in places[first:]]
-                rest[np.array(single)] = -np.inf
-                if taken:
-                    rest[0] = self._rest(places[first], taken | {chosen[first]})
+            rest = self.tables.rest[edges[first:]]
+            if taken:
+                rest[0] = self._rest(taken | {int(edges[first])})
             location = p.before[first:-1] + rest
             drawn = _gumbel_below(location, perturbed, self.noise.standard_exponential(len(location)))
             p.waiting[first:] = np.where(np.isneginf(location), -np.inf, drawn)
         return p
 
-    def _rest(self, place: tuple[int, int], taken: set[int]) -> float:
-        u, at = place
-        left = [x for j, x in enumerate(self.lattices[u].nodes[at][3]) if j not in taken]
+    def _others(self, taken: set[int]) -> list[int]:
+        """The edges beside these, which are of one place."""
+        t = self.tables
+        place = t.place[next(iter(taken))]
+        first = int(t.first[place])
+        return [e for e in range(first, first + int(t.count[place])) if e not in taken]
+
+    def _rest(self, taken: set[int]) -> float:
+        left = self.tables.log_p[self._others(taken)].tolist()
         return math.log(sum(map(math.exp, left))) if left and max(left) > -700 else -math.inf
 
-    def _first(self) -> Path:
-        places, chosen, logs = [], [], []
-        self._walk(0, 0, places, chosen, logs)
-        gumbel = -math.log(self.noise.standard_exponential())
-        return self._close(places, chosen, logs, gumbel, 0, set())
-
-    def _branch(self, path: Path, node: int) -> Path:
-        """Opens the set that leaves ``path`` at ``node``: its best member has the set's perturbed score."""
-        perturbed = float(path.waiting[node])
-        u, at = path.places[node]
-        _, ends, _, log_p = self.lattices[u].nodes[at]
-        taken = path.taken.get(node, set()) | {path.chosen[node]}
-        left = [j for j in range(len(ends)) if j not in taken]
-        weights = [math.exp(log_p[j]) for j in left]
-        pick, j = self.uniform() * sum(weights), left[-1]
+    def best_left(self) -> tuple[float, Path]:
+        return max(((float(p.waiting.max(initial=-math.inf)), p) for p in self.paths), key=lambda x: x[0])
+
+    def open(self) -> None:
+        """The set of largest perturbed score: its best member has the set's. None is left if all are taken."""
+        perturbed, path = self.best_left()
+        self.ended = perturbed == -math.inf
+        if self.ended:
+            return
+        t, node = self.tables, int(path.waiting.argmax())
+        taken = path.taken.get(node, set()) | {int(path.edges[node])}
+        left = self._others(taken)
+        weights = [math.exp(x) for x in t.log_p[left].tolist()]
+        pick, edge = float(self.numbers[0]) * sum(weights), left[-1]
+        self.numbers = self.numbers[1:]
         for candidate, w in zip(left, weights):
             pick -= w
             if pick < 0:
-                j = candidate
+                edge = candidate
                 break
-        logs = np.diff(path.before[: node + 1]).tolist() + [log_p[j]]
-        places, chosen = path.places[: node + 1], [*path.chosen[:node], j]
-        if ends[j] < self.lattices[u].size:
-            self._walk(u, ends[j], places, chosen, logs)
-        else:
-            self._walk(u + 1, 0, places, chosen, logs)
         path.waiting[node] = -math.inf
-        return self._close(places, chosen, logs, perturbed, node, taken)
+        edges = np.concatenate([path.edges[:node], [edge]])
+        steps = np.concatenate([np.diff(path.before[: node + 1]), t.log_p[[edge]]])
+        self.branch = perturbed, edges, steps, node, taken
+
+
+def best(searches: list[Search], k: int) -> None:
+    """The ``k`` segmentations of largest perturbed score, of all texts side by side."""
+    on = searches
+    for n in range(k):
+        if n:
+            for x in on:
+                x.open()
+            on = [x for x in on if not x.ended]
+        if not on:
+            return
+        places, words, numbers = zip(*(x.start() for x in on))
+        for x, walked in zip(on, on[0].tables.walks(np.array(places), words, numbers)):
+            x.add(walked)
+
+
+def samples(
+    texts: list[str], keys: list[tuple], m: Model, k: int = SAMPLES, seed: int = SEED
+) -> Iterator[list[tuple[bytes, float, float, float]]]:
+    """For each text ``(ids, log probability, perturbed score, inclusion probability)`` of ``k`` distinct segmentations, or
+    of all there are. Inclusion: the chance to exceed the first score left out, 1 if nothing is."""
+    done = 0
+    while done < len(texts):
+        size, some = 0, []
+        while done < len(texts) and (not some or size + len(texts[done]) <= TOGETHER):
+            size += len(texts[done])
+            some.append(done)
+            done += 1
+        t = m.tables
+        places = t.places([m.words(texts[i]) for i in some])
+        searches = [
+            Search(t, words, len(texts[i]) + 1, xxhash.xxh64_intdigest(repr(keys[i]), seed), k) for i, words in zip(some, places)
+        ]
+        best(searches, k)
+        found = []
+        for search in searches:
+            next_score, _ = search.best_left()
+            out: list[tuple[bytes, float, float, float]] = []
+            for p in search.paths:
+                # 1 - exp(-exp(log p - limit)), the chance that a Gumbel number at log p exceeds the limit.
+                inclusion = 1.0 if next_score == -math.inf else -math.expm1(-math.exp(min(50.0, p.log_prob - next_score)))
+                out.append((t.ids(p.edges), p.log_prob, p.perturbed, inclusion))
+            found.append(out)
+        yield from found
 
-    def best(self, k: int) -> tuple[list[Path], float]:
-        """The ``k`` segmentations of largest perturbed score, and the next score after theirs."""
-        self.paths = [self._first()]
-        while True:
-            top = [(float(p.waiting.max(initial=-math.inf)), p) for p in self.paths]
-            score, path = max(top, key=lambda x: x[0])
-            if len(self.paths) == k or score == -math.inf:
-                return self.paths, score
-            self.paths.append(self._branch(path, int(path.waiting.argmax())))
 
-    def ids(self, path: Path) -> bytes:
-        lattices = self.lattices
-        return b"".join([lattices[u].nodes[a][2][j] for (u, a), j in zip(path.places, path.chosen)])
+def sample(text: str, key: tuple, m: Model, k: int = SAMPLES, seed: int = SEED) -> list[tuple[bytes, float, float, float]]:
+    """Those of one text."""
+    return next(samples([text], [key], m, k, seed))
 
 
-def sample(text: str, key: tuple, m: Model, k: int = SAMPLES, seed: int = SEED) -> list[tuple[bytes, float, float, float]]:
-    """``(ids, log probability, perturbed score, inclusion probability)`` of ``k`` distinct segmentations, or of all there
-    are. Inclusion: the chance to exceed the first score left out, 1 if nothing is."""
-    search = Search([m.lattice(u) for u in m.units(text)] if text else [], xxhash.xxh64_intdigest(repr(key), seed))
-    paths, next_score = search.best(k)
-    out = []
-    for p in paths:
-        # 1 - exp(-exp(log p - limit)), the chance that a Gumbel number at log p exceeds the limit.
-        inclusion = 1.0 if next_score == -math.inf else -math.expm1(-math.exp(min(50.0, p.log_prob - next_score)))
-        out.append((search.ids(p), p.log_prob, p.perturbed, inclusion))
-    return out
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together while their texts are short of ``TOGETHER``."""
+    some, size = [], 0
+    for batch in batches:
+        if some and size + batch.nbytes > TOGETHER:
+            yield pa.concat_batches(some)
+            some, size = [], 0
+        some.append(batch)
+        size += batch.nbytes
+    if some:
+        yield pa.concat_batches(some)
 
 
 def _sampled(path: str, k: int, alpha: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path, alpha)
-        for batch in batches:
+        for batch in _united(batches):
             *keys, texts = [c.to_pylist() for c in batch.columns]
-            rows = []
-            for text, *key in zip(texts, *keys):
-                rows += [(*key, n, *s) for n, s in enumerate(sample(text, tuple(key), m, k, seed))]
+            keys = list(zip(*keys)) or [()] * len(texts)
+            rows = [(*key, n, *s) for key, found in zip(keys, samples(texts, keys, m, k, seed)) for n, s in enumerate(found)]
             kinds = [*batch.schema.types[:-1], pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
             columns = list(zip(*rows)) if rows else [[]] * len(kinds)
             names = [*batch.schema.names[:-1], *(f.name for f in _SAMPLE)]
