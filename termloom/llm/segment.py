@@ -30,8 +30,8 @@ SAMPLES = 2
 ALPHA = 0.5
 SEED = 42
 #: Characters whose places a worker remembers, and characters of texts that are looked at together.
-REMEMBERED = 600_000
-TOGETHER = 2_000_000
+REMEMBERED = 300_000
+TOGETHER = 1_000_000
 #: Places up to this far from the end of a unit are worked out side by side, the rest of a long unit one by one.
 SIDE_BY_SIDE = 64
 #: Walks go side by side as long as there are so many, and are looked through for ended ones after so many steps.
@@ -190,7 +190,7 @@ class Tables:
         self.cumulative = np.ones((1, 1))
         #: Of an edge: where it leads, whether it ends a word, log of its conditional probability and of that of the others
         #: of its place, id (below 0: a character without one), place.
-        self.to, self.piece, self.place = (np.array([0]) for _ in range(3))
+        self.to, self.piece, self.place = np.array([0]), np.array([0], dtype=np.int32), np.array([0], dtype=np.int32)
         self.last = np.array([False])
         self.log_p, self.rest = np.zeros(1), np.array([-np.inf])
 
@@ -298,21 +298,20 @@ class Tables:
 
         run = np.zeros(len(places))
         wide = max(int(n.max()), self.cumulative.shape[1])
-        cumulative = np.ones((len(symbols), wide))
+        cumulative = np.ones((base + len(symbols), wide))
+        cumulative[:base, : self.cumulative.shape[1]] = self.cumulative
         for r in range(wide - 1):
             more = n > r + 1
             run[more] += share[start[more] + r]
-            cumulative[places[more], r] = run[more]
+            cumulative[base + places[more], r] = run[more]
+        self.cumulative = cumulative
 
         self.first = np.concatenate([self.first, first + edge_base])
         self.count, self.several = np.concatenate([self.count, count]), np.concatenate([self.several, (count > 1).astype(np.int64)])
-        known = np.ones((base, wide))
-        known[:, : self.cumulative.shape[1]] = self.cumulative
-        self.cumulative = np.concatenate([known, cumulative])
-        self.to, self.place = np.concatenate([self.to, to + base]), np.concatenate([self.place, at + base])
+        self.to, self.place = np.concatenate([self.to, to + base]), np.concatenate([self.place, (at + base).astype(np.int32)])
         self.last = np.concatenate([self.last, ~inner[to]])
         self.log_p, self.rest = np.concatenate([self.log_p, log_p]), np.concatenate([self.rest, rest])
-        self.piece = np.concatenate([self.piece, ids])
+        self.piece = np.concatenate([self.piece, ids.astype(np.int32)])
         self.known.update(zip(words, (ends - sizes + base).tolist()))
 
     def walks(self, places: np.ndarray, words: list[np.ndarray], uniforms: list[np.ndarray]) -> list[np.ndarray]:
