@@ -10,9 +10,10 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from operator import add
+from operator import add, length_hint
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ TOGETHER = 1_000_000
 #: Places up to this far from the end of a unit are worked out side by side, the rest of a long unit one by one.
 SIDE_BY_SIDE = 64
 #: Walks go side by side as long as there are so many, and are looked through for ended ones after so many steps.
-WALKS, STEPS = 96, 32
+WALKS, STEPS = 16, 32
 
 _SAMPLE = [
     T.StructField("sample", T.IntegerType()),
@@ -164,7 +165,7 @@ class Tables:
             self.symbol[ord(c)] = n
         self.joined = np.zeros(self.wide**2, dtype=bool)
         self.joined[[letters[a] * self.wide + letters[b] for a, b in m.joined]] = True
-        # State 0 is before any character; ``steps`` are the keys state and character of the states in ``to_state``.
+        # State 0 is before any character; a step's key is state and character.
         states, self.piece_at, found = {"": 0}, [-1], {}
         for p in m.edges:
             for k in range(1, len(p) + 1):
@@ -174,8 +175,7 @@ class Tables:
                     found[states[p[: k - 1]] * self.wide + letters[p[k - 1]]] = states[p[:k]]
             self.piece_at[states[p]] = array("I", m.edges[p][0])[0]
         self.piece_at = np.array(self.piece_at, dtype=np.int64)
-        self.steps = np.array([*sorted(found), np.iinfo(np.int64).max], dtype=np.int64)
-        self.to_state = np.array([*(found[x] for x in sorted(found)), 0], dtype=np.int64)
+        self._hash(np.array([*found], dtype=np.int64), np.array([*found.values()], dtype=np.int64))
         self.begin = np.zeros(self.wide, dtype=np.int64)
         for c, n in letters.items():
             self.begin[n] = states.get(c, 0)
@@ -183,6 +183,41 @@ class Tables:
         self.score[list(score)] = list(score.values())
         self._clear()
 
+    def _hash(self, keys: np.ndarray, states: np.ndarray) -> None:
+        """``steps`` has each key at its slot or, if that is taken, soon after it, and ``to_state`` its state there."""
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.steps, self.to_state = np.full((1 << bits) + len(keys) + 1, -1), np.zeros((1 << bits) + len(keys) + 1, dtype=np.int64)
+        slot, self.probes = self._slot(keys), 0
+        while len(keys):
+            free = np.flatnonzero(self.steps[slot] < 0)
+            slots, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.steps[slots], self.to_state[slots] = keys[put], states[put]
+            left = np.ones(len(keys), dtype=bool)
+            left[put] = False
+            keys, states, slot = keys[left], states[left], slot[left] + 1
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def _step(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys there are, ascending, and their states."""
+        slot = self._slot(keys)
+        at, there = np.arange(len(keys)), []
+        for _ in range(max(1, self.probes)):
+            held = self.steps.take(slot)
+            same = held == keys
+            there.append((at[same], self.to_state.take(slot[same])))
+            on = np.flatnonzero((held >= 0) & ~same)
+            if not len(on):
+                break
+            at, keys, slot = at[on], keys[on], slot[on] + 1
+        at, states = (np.concatenate(x) for x in zip(*there))
+        order = np.argsort(at, kind="stable") if len(there) > 1 else slice(None)
+        return at[order], states[order]
+
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         #: Of a place: first edge, how many, whether there is a choice, cumulative probabilities (1 beyond the last).
@@ -215,10 +250,8 @@ class Tables:
         at, state, length = places, places, 0
         while len(at):
             if length:
-                key = state * self.wide + symbols[at + length]
-                n = np.searchsorted(self.steps, key)
-                on = np.flatnonzero(self.steps[n] == key)
-                at, state, length = at[on], self.to_state[n[on]], length + 1
+                on, state = self._step(state * self.wide + symbols[at + length])
+                at, length = at[on], length + 1
             else:
                 state, length = self.begin[symbols[at]], 1
                 on = np.flatnonzero(state)
@@ -314,19 +347,21 @@ class Tables:
         self.piece = np.concatenate([self.piece, ids.astype(np.int32)])
         self.known.update(zip(words, (ends - sizes + base).tolist()))
 
-    def walks(self, places: np.ndarray, words: list[np.ndarray], uniforms: list[np.ndarray]) -> list[np.ndarray]:
+    def walks(self, places: np.ndarray, words: list[np.ndarray], uniforms: list[np.ndarray]) -> list[tuple[np.ndarray, int]]:
         """Edges from each place, then from each of its ``words`` on to the end (0), drawn by their conditional probabilities:
-        one of ``uniforms`` for each place with a choice."""
+        one of ``uniforms`` for each place with a choice. With each walk, how many it took of them."""
         lane = np.arange(len(places))
         word_at = np.cumsum([0, *map(len, words)])[:-1]
         number_at = np.cumsum([0, *map(len, uniforms)])[:-1]
         out_at, done = number_at + STEPS * lane, np.zeros(len(places), dtype=np.int64)
+        word_ends, ends = word_at + [len(w) for w in words], number_at + [len(u) for u in uniforms]
         words, numbers = np.concatenate([*words, [0]]), np.concatenate([*uniforms, [0.0]])
         out = np.zeros(len(numbers) + STEPS * len(places), dtype=np.int64)
         first, several, cumulative, to, last = self.first, self.several, self.cumulative, self.to, self.last
         on = np.flatnonzero(places)
         place, word, number = places[on], word_at[on], number_at[on]
         block = np.empty((STEPS, len(on)), dtype=np.int64)
+        used = np.zeros(len(places), dtype=np.int64)
         while len(on) >= WALKS:
             for step in range(STEPS):
                 edge = (cumulative.take(place, axis=0) > numbers.take(number)[:, None]).argmax(axis=1)
@@ -339,31 +374,34 @@ class Tables:
                 word += ended
             out[(out_at[on] + done[on])[:, None] + np.arange(STEPS)] = block[:, : len(on)].T
             done[on] += STEPS
+            used[on] = number - number_at[on]
             left = place != 0
             on, place, word, number = on[left], place[left], word[left], number[left]
-        first, several, cumulative, to, last, words, numbers = map(
-            memoryview, (first, several, cumulative, to, last, words, numbers)
-        )
+        if len(on):
+            wide = cumulative.shape[1]
+            # Where a place's probabilities begin, below 0 without a choice; where an edge leads to, below 0 at a word's end.
+            chances, rows = memoryview(cumulative.reshape(-1)), memoryview(np.where(several > 0, np.arange(len(several)) * wide, -1))
+            first, onward = memoryview(first), memoryview(np.where(last, -1, to))
         for i, p, w, x in zip(on.tolist(), place.tolist(), word.tolist(), number.tolist()):
             edges = array("q")
-            while p:
-                edge = first[p]
-                if several[p]:
-                    u, x, k = numbers[x], x + 1, 0
-                    while cumulative[p, k] <= u:
-                        k += 1
-                    edge += k
-                edges.append(edge)
-                p = to[edge]
-                if last[edge]:
-                    p = words[w]
-                    w += 1
+            more = edges.append
+            rest = iter(numbers[x : ends[i]].tolist())
+            uniform = rest.__next__
+            for following in words[w : word_ends[i]].tolist():
+                while p >= 0:
+                    edge, at = first[p], rows[p]
+                    if at >= 0:
+                        edge += bisect_right(chances, uniform(), at, at + wide) - at
+                    more(edge)
+                    p = onward[edge]
+                p = following
             at = int(out_at[i] + done[i])
             out[at : at + len(edges)] = edges
             done[i] += len(edges)
+            used[i] = ends[i] - length_hint(rest) - number_at[i]
         # What stands after a text's end in its last block is edge 0.
         walked = (out[a : a + n] for a, n in zip(out_at.tolist(), done.tolist()))
-        return [x[x > 0] for x in walked]
+        return [(x[x > 0], n) for x, n in zip(walked, used.tolist())]
 
     def ids(self, edges: np.ndarray) -> bytes:
         ids = self.piece[edges]
@@ -421,10 +459,10 @@ class Search:
             return int(t.to[edges[-1]]), self.words[word + 1 :], self.numbers
         return int(self.words[word]), self.words[word + 1 :], self.numbers
 
-    def add(self, walked: np.ndarray) -> None:
-        """The next path, whose rest has been walked."""
+    def add(self, walked: np.ndarray, used: int) -> None:
+        """The next path, whose rest has been walked with so many numbers."""
         t = self.tables
-        self.numbers = self.numbers[int(t.several[t.place[walked]].sum()) :]
+        self.numbers = self.numbers[used:]
         perturbed, edges, steps, node, taken = self.branch
         edges, steps = np.concatenate([edges, walked]), np.concatenate([steps, t.log_p[walked]])
         self.paths.append(self._close(edges, steps, perturbed, node, taken))
@@ -495,7 +533,7 @@ def best(searches: list[Search], k: int) -> None:
             return
         places, words, numbers = zip(*(x.start() for x in on))
         for x, walked in zip(on, on[0].tables.walks(np.array(places), words, numbers)):
-            x.add(walked)
+            x.add(*walked)
 
 
 def samples(

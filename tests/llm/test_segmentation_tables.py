@@ -65,3 +65,28 @@ def test_bytes_beside_pieces_decode_as_alone(pieces):
     word = pieces.edges[segment.SPACE + "the"][0]
     ids = np.concatenate([np.frombuffer(word, "<u4"), [byte[0x80], byte[0xE2], byte[0x96]], np.frombuffer(word, "<u4")])
     assert pieces.decode(ids) == "the" + "�" + "�" + " the"
+
+
+def test_steps_of_pieces_are_found_by_slot(pieces):
+    t, rng = pieces.tables, np.random.default_rng(2)
+    keys = t.steps[t.steps >= 0]
+    assert len(keys) == len(set(keys.tolist())) and t.probes < 40
+    asked = np.concatenate([keys, rng.integers(0, keys.max(), 5000)])
+    rng.shuffle(asked)
+    states = dict(zip(keys.tolist(), t.to_state[t.steps >= 0].tolist()))
+    at, found = t._step(asked)
+    want = [(i, states[k]) for i, k in enumerate(asked.tolist()) if k in states]
+    assert list(zip(at.tolist(), found.tolist())) == want
+    assert t._step(asked[:0])[0].tolist() == []
+
+
+@pytest.mark.parametrize("side_by_side", [1, 10**9])
+def test_walks_count_the_numbers_they_take(pieces, monkeypatch, side_by_side):
+    monkeypatch.setattr(segment, "WALKS", side_by_side)
+    t = pieces.tables
+    places = t.places([pieces.words(x) for x in TEXTS])
+    words = [np.array(p[1:], dtype=np.int64) for p in places]
+    uniforms = [np.random.default_rng(i).random(len(x) + 1) for i, x in enumerate(TEXTS)]
+    walked = t.walks(np.array([p[0] for p in places]), words, uniforms)
+    for edges, used in walked:
+        assert used == int(t.several[t.place[edges]].sum())
